@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltworks.llm import bpe, idstore, quality, shards, simhash
+from siltworks.llm import bpe, idstore, langid, leaks, quality, secrets, shards, simhash
 from siltworks.llm.common import table
 
 
@@ -10,14 +10,26 @@ def op1_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_token_ids(spark, sf_dir):
     return idstore.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark, sf_dir):
+    return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -26,5 +38,5 @@ def op10_sharding(spark, sf_dir):
     return shards.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_token_ids, op7_simhash, op9_byte_bpe, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_ids, op6_secret_scan, op7_simhash, op8_decontamination, op9_byte_bpe, op10_sharding)}
 SQL = {"op1_quality_rules": quality.SQL}
