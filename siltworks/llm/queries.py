@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltworks.llm import bpe, idstore, langid, leaks, quality, secrets, shards, simhash, suffix
+from siltworks.llm import bpe, idstore, langid, leaks, lm, quality, secrets, shards, simhash, suffix
 from siltworks.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_suffix_dedup(spark, sf_dir):
     return suffix.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_sharding(spark, sf_dir):
     return shards.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_ids, op4_suffix_dedup, op6_secret_scan, op7_simhash, op8_decontamination, op9_byte_bpe, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_ids, op4_suffix_dedup, op5_lm_score, op6_secret_scan, op7_simhash, op8_decontamination, op9_byte_bpe, op10_sharding)}
 SQL = {"op1_quality_rules": quality.SQL}
