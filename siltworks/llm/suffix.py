@@ -37,8 +37,8 @@ from siltworks.session import ship
 SPAN = 200
 GRAM = 32
 REACH = SPAN - GRAM
-HOT = 2000
-BATCH_BYTES = 1 << 20
+HOT = 500
+BATCH_BYTES = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 #: Prefix lengths of the doubling; the last is longer than any context.
 LEVELS = (7, 14, 28, 56, 112, 224, 448)

@@ -46,7 +46,7 @@ def test_maximal_repeats():
     assert got == {(5, (1, 8, 15)), (6, (1, 15))}
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
+@pytest.mark.parametrize("hot", [500, 1])
 def test_deduplicate(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
     rng = random.Random(9)
