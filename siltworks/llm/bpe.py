@@ -31,7 +31,7 @@ from siltworks.llm.common import arrow_map
 WIDTH = 16
 NONE = np.int32(2**31 - 1)
 #: Chunks kept by a task; a chunk is one space-separated stretch of text.
-KEEP = 400_000
+KEEP = 800_000
 
 
 @cache
@@ -221,7 +221,7 @@ def encode_decode(docs: DataFrame, ranks: str | None = None, pattern: str | None
 
         return step
 
-    return arrow_map(_rows(docs, id_col, text_col), make, "doc_id long, ids array<int>, decoded binary", rows=2048)
+    return arrow_map(_rows(docs, id_col, text_col), make, "doc_id long, ids array<int>, decoded binary", rows=4096)
 
 
 def digests(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,4 +249,4 @@ def digests(docs: DataFrame, ranks: str | None = None, pattern: str | None = Non
 
         return step
 
-    return arrow_map(_rows(docs, id_col, text_col), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows=2048)
+    return arrow_map(_rows(docs, id_col, text_col), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows=4096)

@@ -20,7 +20,7 @@ class ChunkEncoder:
     ``keep`` bounds the number of chunks a task remembers; beyond it the memory starts anew.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], keep: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], keep: int = 800_000):
         self.encode, self.keep = encode, keep
         self.known: dict[str, bytes | None] = {}
 

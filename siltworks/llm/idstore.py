@@ -106,8 +106,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id_col:
             return out
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
                 part = b.column("part")[0].as_py()
                 ids, cuts = column(b.column("text"))
                 for doc, lo, hi in zip(b.column("doc_id").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
