@@ -3,14 +3,15 @@
 Every byte covered by a ``SPAN``-byte string that also starts elsewhere is removed.
 
 Method: an enhanced suffix array (suffix order and common-prefix lengths) is scanned with a stack, which
-walks its common-prefix interval tree; an interval whose occurrences differ in the byte to their left is a
-maximal repeat, and is put out with all its occurrences, not just neighbouring ones. What maximal repeats
-cover is what all repeated strings of the length cover.
+walks its common-prefix interval tree; the left extensions of an interval's occurrences are tested for
+diversity, and each maximal repeat is put out with all its occurrences, not just neighbouring ones. What
+maximal repeats cover is what all repeated strings of the length cover.
 
 No suffix array of the whole corpus is built. Every ``SPAN``-byte window has an anchor: its leftmost
 ``GRAM``-byte gram of least hash. Equal windows have equal anchors, so an anchor whose gram is nowhere else
 has no repeat around it, and goes. For the others, all that can hold a window with this anchor is its
-context, ``2 * SPAN - GRAM`` bytes. Equal contexts are repeats as a whole and are counted, not compared;
+context, ``2 * SPAN - GRAM`` bytes. Equal windows lie alike around their anchors, so the arrays hold the
+suffixes that begin at anchors only, with what precedes them for the left extensions. Equal contexts are repeats as a whole and are counted, not compared;
 of grams with several different contexts, one of each kind goes to the suffix arrays, many grams to one
 array. A gram with over ``HOT`` different contexts is not gathered: its windows are hashed (128 bits), and
 counted by a distributed aggregation instead. Both ways are exact, and linear in the number of anchors.
@@ -38,10 +39,8 @@ SPAN = 200
 GRAM = 32
 REACH = SPAN - GRAM
 HOT = 500
-BATCH_BYTES = 1 << 18
+BATCH_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
-#: Prefix lengths of the doubling; the last is longer than any context.
-LEVELS = (7, 14, 28, 56, 112, 224, 448)
 
 
 def anchor_positions(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -109,108 +108,96 @@ def _anchors(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, make, "doc_id long, th long, pos int, left short, right short, gram long, c1 long, c2 long", rows=512)
 
 
-class SuffixArray:
-    """Order, ranks and common-prefix lengths of all suffixes of several strings, by prefix doubling in numpy.
+def prefix_order(strings: list[bytes], groups: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings by group, then bytes, a prefix first; and the common prefix of each with the one before.
 
-    Strings end in a symbol below all bytes; a suffix never reaches into the next string.
+    Strings have at most ``width`` bytes. Strings of different groups have nothing in common.
     """
-
-    def __init__(self, strings: list[bytes]):
-        size = np.fromiter(map(len, strings), np.int64, len(strings))
-        self.owner = np.repeat(np.arange(len(strings)), size)
-        self.start = np.cumsum(size) - size
-        n = int(size.sum())
-        self.data = np.frombuffer(b"".join(strings), np.uint8)
-        self.rem = np.repeat(self.start + size, size) - np.arange(n)
-        key = np.zeros(n, np.int64)
-        padded = np.concatenate([self.data.astype(np.int64) + 1, np.zeros(8, np.int64)])
-        for j in range(LEVELS[0]):
-            key = key << 9 | np.where(self.rem > j, padded[j : j + n], 0)
-        self.ranks = [self._rank(key)]
-        for width in LEVELS[:-1]:
-            last = self.ranks[-1].astype(np.int64)
-            after = np.where(self.rem > width, last[np.minimum(np.arange(n) + width, n - 1)], 0)
-            self.ranks.append(self._rank(last * (n + 1) + after))
-        self.order = np.argsort(self.ranks[-1], kind="stable")
-        self.lcp = self._common()
-
-    @staticmethod
-    def _rank(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.append(True, ordered[1:] != ordered[:-1])
-        out = np.empty(len(key), np.int32)
-        out[order] = np.cumsum(new)
-        return out
-
-    def _common(self) -> np.ndarray:
-        """Common prefix of each suffix with the one before it in order; 0 for the first."""
-        a, b = self.order[:-1], self.order[1:]
-        most = np.minimum(self.rem[a], self.rem[b])
-        now = np.zeros(len(a), np.int64)
-        top = len(self.data) - 1
-        for rank, width in zip(self.ranks[::-1], LEVELS[::-1]):
-            for _ in range(2 if width == LEVELS[-1] else 1):
-                same = (now < most) & (rank[np.minimum(a + now, top)] == rank[np.minimum(b + now, top)])
-                now += np.where(same, width, 0)
-        now = np.minimum(now, most)
-        for _ in range(LEVELS[0]):
-            same = (now < most) & (self.data[np.minimum(a + now, top)] == self.data[np.minimum(b + now, top)])
-            now += same
-        return np.append(0, now) if len(self.order) else np.zeros(0, np.int64)
-
-    def left_bytes(self) -> np.ndarray:
-        """For each suffix in order the byte to its left; a string's first suffix has none, which differs from all."""
-        p = self.order
-        return np.where(p == self.start[self.owner[p]], -1 - p, self.data[np.maximum(p - 1, 0)].astype(np.int64))
-
-
-def maximal_repeats(strings: list[bytes], least: int = SPAN) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, positions in the joined strings) of each maximal repeat of ``least`` bytes or more.
-
-    A stack scan of the common-prefix lengths walks the interval tree bottom-up. Stretches of suffixes that
-    share ``least`` bytes and whose left bytes are all equal hold no maximal repeat and are passed over.
+    n = len(strings)
+    size = np.fromiter(map(len, strings), np.int64, n)
+    keys = np.zeros((n, width + 5), np.uint8)
+    keys[:, :4] = groups.astype(">u4").view(np.uint8).reshape(n, 4)
+    keys[:, 4:-1] = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in strings]), np.uint8).reshape(n, width)
+    keys[:, -1] = size + 1
+    order = np.argsort(keys.view(f"S{width + 5}").ravel(), kind="stable")
+    body, size, groups = keys[order, 4:-1], size[order], groups[order]
+    differs = body[1:] != body[:-1]
+    common = np.where(differs.any(1), differs.argmax(1), width)
+    common = np.minimum(common, np.minimum(size[1:], size[:-1]))
+    common[groups[1:] != groups[:-1]] = 0
+    return order, np.append(0, common)
+
+
+def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(length, first, end) of each node of the common-prefix interval tree, bottom-up, by a stack scan.
+
+    ``common`` are the common prefixes of one sorted element and the next; a node's elements are first..end-1.
+    """
+    stack: list[tuple[int, int]] = []
+    for i, depth in enumerate([*common, -1], 1):
+        first = i - 1
+        while stack and stack[-1][0] > depth:
+            length, first = stack.pop()
+            yield length, first, i
+        if depth >= 0 and (not stack or stack[-1][0] < depth):
+            stack.append((depth, first))
+
+
+def maximal_repeats(lefts: list[bytes], rights: list[bytes], groups: np.ndarray, least: int = SPAN) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(left, right, members) of each maximal repeat of ``least`` bytes or more around the anchors of a group.
+
+    ``rights`` are the suffixes that begin at the anchors and ``lefts`` what precedes them. The suffixes are
+    sorted and a stack scan walks the interval tree of their common prefixes. A node's occurrences are tested for
+    the diversity of their left extension: the same scan over what precedes them gives the sets that agree on
+    ``left`` bytes and not on one more. A set that agrees on more than ``right`` bytes belongs to a deeper node.
     """
-    s = SuffixArray(strings)
-    left = s.left_bytes()
-    deep = s.lcp >= least
+    order, common = prefix_order(rights, groups, SPAN)
+    left_order, left_common = prefix_order([x[::-1] for x in lefts], groups, REACH)
+    left_rank, rank = np.empty_like(left_order), np.empty_like(order)
+    left_rank[left_order] = rank[order] = np.arange(len(order))
+    deep = common > 0
     edge = np.flatnonzero(np.diff(np.concatenate([[0], deep.astype(np.int8), [0]])))
-    for lo, hi in zip(edge[::2] - 1, edge[1::2]):  # suffixes lo..hi-1 share at least ``least`` bytes
-        stretch = left[lo:hi]
-        if stretch[0] >= 0 and (stretch == stretch[0]).all():
-            continue
-        lcp = s.lcp[lo + 1 : hi].tolist()
-        stack: list[tuple[int, int]] = []  # (length, first suffix of the interval)
-        for i, depth in enumerate([*lcp, 0], 1):
-            first = i - 1
-            while stack and stack[-1][0] > depth:
-                length, first = stack.pop()
-                part = stretch[first:i]
-                if part.min() < 0 or (part != part[0]).any():
-                    yield length, s.order[lo + first : lo + i]
-            if depth and (not stack or stack[-1][0] < depth):
-                stack.append((depth, first))
+    for lo, hi in zip((edge[::2] - 1).tolist(), edge[1::2].tolist()):  # suffixes lo..hi-1 are of one group
+        for right, first, end in intervals(common[lo + 1 : hi].tolist()):
+            by_left = np.sort(left_rank[order[lo + first : lo + end]])
+            agree = np.minimum.reduceat(left_common[: by_left[-1] + 1], by_left[:-1] + 1)
+            if agree.max() + right < least:
+                continue
+            for left, a, b in intervals(agree.tolist()):
+                if left + right < least:
+                    continue
+                members = left_order[by_left[a:b]]
+                if b - a < end - first:
+                    at = rank[members]
+                    if common[at.min() + 1 : at.max() + 1].min() > right:
+                        continue
+                yield left, right, members
 
 
 def _in_arrays(contexts: DataFrame) -> DataFrame:
     """doc_id, th, a, b: repeated ranges, from suffix arrays over contexts gathered by gram."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        strings = [r[3] for r in rows]
-        size = np.fromiter(map(len, strings), np.int64, len(strings))
-        begin = np.cumsum(size) - size
-        first = np.array([r[2] for r in rows], np.int64)  # where in its document a context begins
-        document = np.unique([f"{r[0]}/{r[1]}" for r in rows], return_inverse=True)[1]
-        owner = np.repeat(np.arange(len(rows)), size)
-        out = set()
-        for length, at in maximal_repeats(strings):
-            k = owner[at]
-            place = first[k] + at - begin[k]
-            # contexts of one document overlap; only different places are a repeat
-            if len(np.unique(document[k] << 40 | place)) > 1:
-                out.update(zip(k.tolist(), place.tolist(), (place + length).tolist()))
+        cut = [r[3] for r in rows]
+        groups = np.unique([r[5] for r in rows], return_inverse=True)[1]
+        held, size = [np.zeros(0, np.int64)], 0
+        for left, right, members in maximal_repeats([r[4][:k] for r, k in zip(rows, cut)], [r[4][k:] for r, k in zip(rows, cut)], groups):
+            held.append(members << 16 | left << 8 | right)
+            size += len(members)
+            if size > 1 << 20:
+                held = [np.unique(np.concatenate(held))]
+                size = 0
+        found = np.unique(np.concatenate(held))
+        row = found >> 16
+        take = row.tolist()
+        anchor = np.fromiter((r[2] + r[3] for r in rows), np.int64, len(rows))[row]
         return pa.RecordBatch.from_arrays(
-            [pa.array([rows[k][0] for k, _, _ in out], pa.int64()), pa.array([rows[k][1] for k, _, _ in out], pa.int64()), pa.array([a for _, a, _ in out], pa.int32()), pa.array([b for _, _, b in out], pa.int32())],
+            [
+                pa.array([rows[k][0] for k in take], pa.int64()),
+                pa.array([rows[k][1] for k in take], pa.int64()),
+                pa.array((anchor - (found >> 8 & 255)).astype(np.int32)),
+                pa.array((anchor + (found & 255)).astype(np.int32)),
+            ],
             ["doc_id", "th", "a", "b"],
         )
 
@@ -218,18 +205,18 @@ def _in_arrays(contexts: DataFrame) -> DataFrame:
         held: list[tuple] = []
         size, last = 0, None
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "at", "bytes", "gram"))):
-                if size >= BATCH_BYTES and r[4] != last:
+            for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "at", "left", "bytes", "gram"))):
+                if size >= BATCH_BYTES and r[5] != last:
                     yield flush(held)
                     held, size = [], 0
-                held.append(r[:4])
-                size += len(r[3])
-                last = r[4]
+                held.append(r)
+                size += len(r[4])
+                last = r[5]
         if held:
             yield flush(held)
 
     ordered = contexts.repartition("gram").sortWithinPartitions("gram")
-    return ordered.select("doc_id", "th", "at", "bytes", "gram").mapInArrow(run, "doc_id long, th long, a int, b int")
+    return ordered.select("doc_id", "th", "at", "left", "bytes", "gram").mapInArrow(run, "doc_id long, th long, a int, b int")
 
 
 def _by_windows(contexts: DataFrame) -> DataFrame:
@@ -280,10 +267,10 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = kinds.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1")
     places = kinds.join(several, "gram").select("gram", "k", "one.*")
     # the contexts' bytes, cut inside the row
-    places = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "k", (F.col("pos") - F.col("left")).alias("at"), (F.col("left") + F.col("right")).alias("n"))).alias("p"))
+    places = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "k", "left", (F.col("pos") - F.col("left")).alias("at"), (F.col("left") + F.col("right")).alias("n"))).alias("p"))
     cut = rows.join(places, ["doc_id", "th"]).select("doc_id", "th", F.encode("text", "UTF-8").alias("raw"), F.explode("p").alias("q"))
     contexts = written(
-        cut.select("doc_id", "th", F.col("q.gram").alias("gram"), F.col("q.k").alias("k"), F.col("q.at").alias("at"), F.expr("substring(raw, q.at + 1, q.n)").alias("bytes")),
+        cut.select("doc_id", "th", F.col("q.gram").alias("gram"), F.col("q.k").alias("k"), F.col("q.at").alias("at"), F.col("q.left").alias("left"), F.expr("substring(raw, q.at + 1, q.n)").alias("bytes")),
         "contexts",
     )
     return same.union(_in_arrays(contexts.filter(F.col("k") <= HOT))).union(_by_windows(contexts.filter(F.col("k") > HOT)))

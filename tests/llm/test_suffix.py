@@ -29,21 +29,42 @@ def brute(data, span=200):
     return sorted(out, key=key)
 
 
-def test_suffix_array():
+def common(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_prefix_order():
     rng = random.Random(2)
-    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 60))) for _ in range(12)] + [b"abab" * 30, b"abab" * 30]
-    s = suffix.SuffixArray(strings)
-    joined = b"".join(strings)
-    suf = [joined[p : p + s.rem[p]] for p in s.order]
-    assert [x[:448] for x in suf] == sorted(x[:448] for x in suf)
-    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    assert s.lcp[1:].tolist() == [common(a, b) for a, b in zip(suf, suf[1:])]
+    strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 9))) for _ in range(300)] + [b"abab" * 5] * 2
+    groups = np.array([rng.randint(0, 2) for _ in strings])
+    order, lcp = suffix.prefix_order(strings, groups, 20)
+    told = [(groups[i], strings[i]) for i in order]
+    assert told == sorted(told)
+    assert lcp[1:].tolist() == [common(a, b) if g == h else 0 for (g, a), (h, b) in zip(told, told[1:])]
 
 
 def test_maximal_repeats():
-    strings = [b"xabcdey", b"zabcdew", b"qabcdey"]
-    got = {(n, tuple(sorted(at.tolist()))) for n, at in suffix.maximal_repeats(strings, 3)}
-    assert got == {(5, (1, 8, 15)), (6, (1, 15))}
+    """Each set that agrees on (left, right) bytes and, as a set, on no more on either side; all of its members."""
+    rng = random.Random(5)
+    n = 60
+    lefts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 6))) for _ in range(n)]
+    rights = [b"x" + bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 6))) for _ in range(n)]
+    groups = np.array([rng.randint(0, 1) for _ in range(n)])
+    expected = set()
+    for g in (0, 1):
+        own = [i for i in range(n) if groups[i] == g]
+        for i in own:
+            for left in range(len(lefts[i]) + 1):
+                for right in range(1, len(rights[i]) + 1):
+                    tail = lefts[i][len(lefts[i]) - left :]
+                    members = [j for j in own if lefts[j].endswith(tail) and rights[j].startswith(rights[i][:right])]
+                    if len(members) < 2 or left + right < 4:
+                        continue
+                    most = min(common(lefts[i][::-1], lefts[j][::-1]) for j in members), min(common(rights[i], rights[j]) for j in members)
+                    if most == (left, right):
+                        expected.add((left, right, tuple(members)))
+    got = [(x, y, tuple(sorted(m.tolist()))) for x, y, m in suffix.maximal_repeats(lefts, rights, groups, 4)]
+    assert len(got) == len(set(got)) and set(got) == expected
 
 
 @pytest.mark.parametrize("hot", [500, 1])
