@@ -15,7 +15,7 @@ Edge cases: null text has only the end id; null doc_id sorts first; repeated ids
 the order of their texts' checksums; an empty table writes no block; a text of any length is one frame.
 
 Scale: one range exchange of the texts by id. The dictionary is trained on at most ``TRAIN_DOCS``
-documents of at most ``TRAIN_IDS`` ids each (a model parameter: it changes sizes, never results); all
+whole documents of at most ``TRAIN_CHARS`` characters each (a model parameter: it changes sizes, never results); all
 documents are encoded and written. Totals for ``start`` are one row for each part.
 """
 
@@ -40,7 +40,7 @@ END = 0
 BLOCK_BYTES = 4 << 20
 DICT_BYTES = 64 << 10
 TRAIN_DOCS = 512
-TRAIN_IDS = 4096
+TRAIN_CHARS = 16_384
 LEVEL = 1
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "<u8"), ("offset", "<u8"), ("length", "<u8"), ("n", "<u8")])
 HEAD = "<8s32sQQ"
@@ -66,9 +66,8 @@ def train_dictionary(docs: DataFrame, path: str | None = None) -> bytes:
     """A shared dictionary from the id arrays of a bounded sample; empty where there is too little to learn."""
     import zstandard
 
-    rows = docs.filter(F.length("text") > 0).select(F.substring("text", 1, 4 * TRAIN_IDS)).limit(TRAIN_DOCS).collect()
-    encode = tokenizer_encode(path)
-    samples = [x[: 4 * TRAIN_IDS] for x in encode([r[0] for r in rows])]
+    rows = docs.filter(F.length("text").between(1, TRAIN_CHARS)).select("text").limit(TRAIN_DOCS).collect()
+    samples = tokenizer_encode(path)([r[0] for r in rows])
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
