@@ -15,6 +15,13 @@ exact, and linear in the number of fingerprints.
 Distinct fingerprints are compared, not documents; equal texts cost one row. Components come from
 alternating large-star and small-star rounds over written tables, none of it on the driver.
 
+``similar`` is the wide relation: texts whose sets of shingles have a Jaccard similarity of ``similarity`` or
+more. At 0.8 fingerprints differ by up to 11 bits, which no affordable radius of the covering reaches, so
+candidates come from prefixes instead: with all sets in one common order, two sets as similar as that share
+a shingle among the first n - ceil(similarity n) + 1 of each. That misses no pair; each candidate's whole sets
+are then compared. The order is by hash, with the shingles that are common in a sample last; it decides how many
+candidates there are, never which pairs are found.
+
 Edge cases: null or word-less text has fingerprint zero, linked like any other; fewer words than a shingle
 give the whole sequence; a tie at exactly half the shingles gives a 0 bit; null doc_id is never the
 smallest id of a component unless all are null; an empty table gives an empty result.
@@ -37,6 +44,8 @@ SEED = 42
 THRESHOLD = 2
 HOT = 64
 BLOCK = 23
+#: ``similar`` orders shingles by how many of about this many sets have them; the commonest of those come last.
+ORDER_SETS, ORDER_LIMIT = 5_000, 100_000
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 RADIUS = 3
@@ -62,6 +71,19 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(bits)).tobytes(), "big")
 
 
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of the shingles, sorted; few or no words give the whole sequence, as in ``fingerprint``."""
+    words = text.lower().split()
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_digest
+    if len(words) <= shingle:
+        return np.frombuffer(digest(joined, SEED), ">i8").astype(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends[:-shingle].tolist()]
+    stops = (ends[shingle - 1 :] - 1).tolist()
+    return np.unique(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, stops)]), ">i8").astype(np.int64))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (signed 64-bit) of each document."""
 
@@ -201,3 +223,85 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_fp = written(rooted.join(named, "root").select("fp", "component_id"), "classes")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _flat_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all sets of a batch, and how many each has."""
+    raw = batch.column("shingles").to_pylist()
+    return np.frombuffer(b"".join(raw), "<i8"), np.array([len(x) // 8 for x in raw], np.int64)
+
+
+def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id (smallest doc_id reachable over pairs with a Jaccard similarity of ``similarity`` or more)."""
+    spark = docs.sparkSession
+
+    def sets():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            raw = [shingle_set(t, shingle).astype("<i8").tobytes() for t in as_bytes(batch)]
+            node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], np.uint64).astype(np.int64)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node), pa.array(raw, pa.binary())], ["doc_id", "node", "shingles"])
+
+        return step
+
+    def each():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(_flat_sets(batch)[0])], ["shingle"])
+
+        return step
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = written(arrow_map(rows, sets, "doc_id long, node long, shingles binary", rows=512), "sets")
+    some = rows.filter(F.pmod("node", F.lit(max(1, rows.count() // ORDER_SETS))) == 0).dropDuplicates(["node"])
+    common = arrow_map(some.select("shingles"), each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") > 3)
+    last = spark.sparkContext.broadcast(np.sort(np.array([r.shingle for r in common.orderBy(F.desc("n"), "shingle").limit(ORDER_LIMIT).collect()], np.int64)))
+
+    def prefixes():
+        late = last.value
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            flat, size = _flat_sets(batch)
+            hot = np.zeros(len(flat), bool)
+            if len(late):
+                hot = late[np.minimum(np.searchsorted(late, flat), len(late) - 1)] == flat
+            owner = np.repeat(np.arange(len(size)), size)
+            flat = flat[np.lexsort((hot, owner))]  # stable: by hash inside both kinds
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            take = at < (size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1)[owner]
+            node = batch.column("node").to_numpy(zero_copy_only=False)
+            return pa.RecordBatch.from_arrays([pa.array(flat[take]), pa.array(node[owner[take]]), pa.array(at[take]), pa.array(size[owner[take]])], ["shingle", "node", "at", "size"])
+
+        return step
+
+    spread = arrow_map(rows.select("node", "shingles"), prefixes, "shingle long, node long, at long, size long", rows=512)
+    spread = written(spread.distinct(), "prefixes")  # equal sets once
+    shared = spread.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
+    spread = written(spread.join(shared, "shingle", "left_semi"), "shared")
+    a, b = (spread.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "at", "size"))) for x in "ab")
+    fits = (
+        (F.col("node_a") < F.col("node_b"))
+        & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6)
+        # the first shared shingle of a pair leaves room for the overlap that the similarity asks for
+        & (F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6)
+    )
+    pairs = written(a.join(b, "shingle").filter(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    of = written(rows.select("node", "shingles").join(ends, "node", "left_semi").dropDuplicates(["node"]), "ends")
+
+    def compare():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ok = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                x, y = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both / (len(x) + len(y) - both) >= similarity)
+            return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        return step
+
+    sided = pairs.join(of.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    roots = components(arrow_map(sided.select("a", "b", "x", "y"), compare, "a long, b long", rows=512))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least_id")).join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    nodes = written(nodes, "rooted")
+    named = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    by_node = written(nodes.join(named, "root").select("node", "component_id"), "classes")
+    return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from siltworks.llm import simhash
 from tests.llm.fixtures import docs, key, rows
 
@@ -93,3 +94,52 @@ def test_long_chain(spark):
 
 def test_empty(spark):
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
+
+
+def brute_sets(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def planted():
+    """Texts, and copies of them with some words changed: similarities on both sides of 0.8."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    line = [word() for _ in range(12)]  # in every long text
+    texts = [None, "", " \n", "one two", "One  two", "one two three four five", "one two three four five six"]
+    for n in [12, 40, 60, 100, 200, 400]:
+        for _ in range(4):
+            base = line * (n > 40) + [word() for _ in range(n)]
+            texts += [" ".join(base), " ".join(base).upper()]
+            for changes in (1, 2, 3, 5, 8, 16):
+                copy = list(base)
+                for i in rng.sample(range(n), min(n, changes)):
+                    copy[i] = word()
+                texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("sets", [1, 5000])
+def test_similar_against_all_pairs(spark, monkeypatch, sets):
+    monkeypatch.setattr(simhash, "ORDER_SETS", sets)
+    texts = planted()
+    s = [brute_sets(t) for t in texts]
+    root = list(range(len(s)))
+    far = 0
+    for i in range(len(s)):
+        for j in range(i):
+            if len(s[i] & s[j]) / len(s[i] | s[j]) >= 0.8:
+                far += (brute_fp(texts[i]) ^ brute_fp(texts[j])).bit_count() > 2
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    assert far > 20  # pairs that the two bits of op7 leave apart
+    least = {r: min(i for i, x in enumerate(root) if x == r) for r in root}
+    data = [(i, t, *[None] * 6) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs(spark, data), 5, 0.8).collect()}
+    assert got == {i: least[r] for i, r in enumerate(root)}
+    kept = {r.doc_id for r in corpus_pipeline.unique(spark, docs(spark, data), "").collect()}
+    assert kept == set(least.values())
+
+
+def test_similar_empty(spark):
+    assert simhash.similar(docs(spark, []), 5, 0.8).collect() == []
