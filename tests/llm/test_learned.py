@@ -135,6 +135,22 @@ def test_paraphrase_and_edges(spark):
     assert leaks.find(docs(spark), bench.limit(0)).collect() == []
 
 
+def test_long_items(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aeioklmnprst") for _ in range(7))
+    items = {n: [word() for _ in range(n)] for n in (65, 214, 500, 3000)}
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    filler = [word() for _ in range(700)]
+    data = [(0, " ".join(filler))]
+    for n, x in items.items():
+        lost = [w for i, w in enumerate(x) if i % 9]
+        for k, body in enumerate((x, lost, x[: n // 2])):  # whole, every ninth word lost, too little of it
+            data.append((10 * n + k, " ".join(filler[: 77 + k] + body + filler[77 + k :])))
+    got = leaks.find(spark.createDataFrame([(*r, *[None] * 6) for r in data], SCHEMA), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(10 * n + k, n) for n in items for k in (0, 1)]
+    assert leaks.find(docs(spark), spark.createDataFrame([(1, "?!")], "item_id long, text string")).collect() == []
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     d = table(spark, sf, "documents")
