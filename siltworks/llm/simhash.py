@@ -34,7 +34,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.llm.common import arrow_map, as_bytes, written
@@ -46,6 +46,8 @@ HOT = 64
 BLOCK = 23
 #: ``similar`` orders shingles by how many of about this many sets have them; the commonest of those come last.
 ORDER_SETS, ORDER_LIMIT = 5_000, 100_000
+#: Buckets of a set's sketch, a power of two; they bound a pair's overlap from above before whole sets are compared.
+SKETCH = 256
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 RADIUS = 3
@@ -264,18 +266,37 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
             if len(late):
                 hot = late[np.minimum(np.searchsorted(late, flat), len(late) - 1)] == flat
             owner = np.repeat(np.arange(len(size)), size)
+            buckets = np.bincount(owner * SKETCH + (flat & (SKETCH - 1)), minlength=len(size) * SKETCH).astype("<u4").reshape(-1, SKETCH)
             flat = flat[np.lexsort((hot, owner))]  # stable: by hash inside both kinds
-            at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            take = at < (size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1)[owner]
-            node = batch.column("node").to_numpy(zero_copy_only=False)
-            return pa.RecordBatch.from_arrays([pa.array(flat[take]), pa.array(node[owner[take]]), pa.array(at[take]), pa.array(size[owner[take]])], ["shingle", "node", "at", "size"])
+            cuts = np.cumsum(size) - size
+            first = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+            return pa.RecordBatch.from_arrays(
+                [
+                    batch.column("node"),
+                    pa.array(size),
+                    pa.array([flat[i : i + n].tobytes() for i, n in zip(cuts.tolist(), first.tolist())], pa.binary()),
+                    pa.array([x.tobytes() for x in buckets], pa.binary()),
+                ],
+                ["node", "size", "shingles", "sketch"],
+            )
 
         return step
 
-    spread = arrow_map(rows.select("node", "shingles"), prefixes, "shingle long, node long, at long, size long", rows=512)
-    spread = written(spread.distinct(), "prefixes")  # equal sets once
-    shared = spread.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
-    spread = written(spread.join(shared, "shingle", "left_semi"), "shared")
+    def spreading():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            flat, n = _flat_sets(batch)
+            owner = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            node, size = (batch.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("node", "size"))
+            return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node), pa.array(at), pa.array(size)], ["shingle", "node", "at", "size"])
+
+        return step
+
+    heads = arrow_map(rows.select("node", "shingles"), prefixes, "node long, size long, shingles binary, sketch binary", rows=512)
+    heads = written(heads.dropDuplicates(["node"]), "heads")  # equal sets once
+    spread = arrow_map(heads.select("node", "size", "shingles"), spreading, "shingle long, node long, at long, size long", rows=512)
+    spread = spread.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).filter("n > 1").drop("n")
+    spread = written(spread, "shared")
     a, b = (spread.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "at", "size"))) for x in "ab")
     fits = (
         (F.col("node_a") < F.col("node_b"))
@@ -284,6 +305,23 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
         & (F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6)
     )
     pairs = written(a.join(b, "shingle").filter(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
+
+    def bound():
+        """The overlap is at most the sum of the lesser counts of each bucket."""
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SKETCH) for c in "xy")
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            ok = most >= similarity * (x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64) - most) - 1e-6
+            return batch.select(["a", "b"]).filter(pa.array(ok))
+
+        return step
+
+    def sides(pairs: DataFrame, what: DataFrame, column: str) -> DataFrame:
+        x, y = (what.select(F.col("node").alias(end), F.col(column).alias(c)) for end, c in (("a", "x"), ("b", "y")))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+
+    pairs = written(arrow_map(sides(pairs, heads, "sketch"), bound, "a long, b long", rows=512), "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     of = written(rows.select("node", "shingles").join(ends, "node", "left_semi").dropDuplicates(["node"]), "ends")
 
@@ -298,8 +336,7 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
 
         return step
 
-    sided = pairs.join(of.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    roots = components(arrow_map(sided.select("a", "b", "x", "y"), compare, "a long, b long", rows=512))
+    roots = components(arrow_map(sides(pairs, of, "shingles"), compare, "a long, b long", rows=512))
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least_id")).join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     nodes = written(nodes, "rooted")
     named = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
