@@ -297,15 +297,6 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
     spread = arrow_map(heads.select("node", "size", "shingles"), spreading, "shingle long, node long, at long, size long", rows=512)
     spread = spread.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).filter("n > 1").drop("n")
     spread = written(spread, "shared")
-    a, b = (spread.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "at", "size"))) for x in "ab")
-    fits = (
-        (F.col("node_a") < F.col("node_b"))
-        & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6)
-        # the first shared shingle of a pair leaves room for the overlap that the similarity asks for
-        & (F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6)
-    )
-    pairs = written(a.join(b, "shingle").filter(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
-
     def bound():
         """The overlap is at most the sum of the lesser counts of each bucket."""
 
@@ -321,10 +312,6 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
         x, y = (what.select(F.col("node").alias(end), F.col(column).alias(c)) for end, c in (("a", "x"), ("b", "y")))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
-    pairs = written(arrow_map(sides(pairs, heads, "sketch"), bound, "a long, b long", rows=512), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    of = written(rows.select("node", "shingles").join(ends, "node", "left_semi").dropDuplicates(["node"]), "ends")
-
     def compare():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ok = []
@@ -336,7 +323,29 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
 
         return step
 
-    roots = components(arrow_map(sides(pairs, of, "shingles"), compare, "a long, b long", rows=512))
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(arrow_map(sides(written(pairs, "pairs"), heads, "sketch"), bound, "a long, b long", rows=512), "bounded")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        of = written(rows.select("node", "shingles").join(ends, "node", "left_semi").dropDuplicates(["node"]), "ends")
+        return written(arrow_map(sides(pairs, of, "shingles"), compare, "a long, b long", rows=512), "links")
+
+    fits = (
+        (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6)
+        # the first shared shingle of a pair leaves room for the overlap that the similarity asks for
+        & (F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6)
+    )
+    # first each set with the least one of its shingle, so that a large group of near copies is linked by few
+    # pairs; then all pairs that this has left in different components
+    hub = F.min(F.struct("node", "at", "size")).over(Window.partitionBy("shingle"))
+    stars = spread.withColumn("h", hub).select(
+        *(F.col(f"h.{c}").alias(f"{c}_a") for c in ("node", "at", "size")), *(F.col(c).alias(f"{c}_b") for c in ("node", "at", "size"))
+    )
+    star_links = verified(stars.filter((F.col("node_a") < F.col("node_b")) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    linked = written(spread.join(components(star_links), "node", "left").select("shingle", "node", "at", "size", F.coalesce("root", "node").alias("root")), "linked")
+    a, b = (linked.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "at", "size", "root"))) for x in "ab")
+    apart = (a.shingle == b.shingle) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits
+    others = verified(a.join(b, apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    roots = components(star_links.union(others))
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least_id")).join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     nodes = written(nodes, "rooted")
     named = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
