@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 # Fixed values.
 TRANSIENT = ("network", "timeout", "econnrefused", "enotfound", "etimedout", "rate limit", "429", "500", "502", "503", "504")
 DOUBTFUL = ("test", "mock", "example", "sample", "placeholder", "demo", "todo", "fixme")
-BASE_PRIORITY = {"CRITICAL": 40.0, "HIGH": 30.0, "MEDIUM": 20.0, "LOW": 10.0}
-LEVELS = ((80, "critical"), (55, "high"), (30, "medium"))
 
 
 def confidence(match: Column, severity: Column) -> Column:
@@ -19,29 +17,39 @@ def confidence(match: Column, severity: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.lit(0.7) + more + grave), 6)
 
 
-def false_positive(match: Column) -> Column:
-    """0.2, and 0.1 for each doubtful word in the match, at most 0.9."""
+def false_positive(match: Column, patterns=()) -> Column:
+    """0.2, and 0.1 for each doubtful word in the match, 0.15 for each pattern of the rule, at most 0.9."""
     low, total = F.lower(match), F.lit(0.2)
     for word in DOUBTFUL:
         total = total + F.when(F.contains(low, F.lit(word)), 0.1).otherwise(0.0)
+    for regex in patterns:
+        total = total + F.when(match.rlike(f"(?i){regex}"), 0.15).otherwise(0.0)
     return F.round(F.least(total, F.lit(0.9)), 6)
 
 
-def priority(severity: Column, known: Column, epss: Column, cvss: Column, confidence: Column) -> Column:
-    """Weighted sum of severity, active exploitation, exploit probability and confidence, at most 100."""
-    base = F.lit(0.0)
-    for name, value in BASE_PRIORITY.items():
-        base = F.when(severity == name, value).otherwise(base)
-    likely = F.when(epss >= 0.9, base * 0.8).when(epss >= 0.5, base * 0.3).otherwise(0.0)
-    exploit = F.when((cvss >= 9) | (epss >= 0.95), base * 0.5).otherwise(0.0)
-    return F.round(F.least(F.lit(100.0), base + F.when(known, base * 1.5).otherwise(0.0) + likely + exploit + base * 0.2 * confidence), 6)
+def epss_band(epss: Column) -> Column:
+    """Bands of an exploit probability by its rounded percentage: 75, 50 and 25."""
+    percent = half_up(epss * 100)
+    return F.when(percent >= 75, "CRITICAL").when(percent >= 50, "HIGH").when(percent >= 25, "MEDIUM").when(percent.isNotNull(), "LOW")
 
 
-def level(score: Column) -> Column:
-    expr = F
-    for least, name in LEVELS:
-        expr = expr.when(score >= least, name)
-    return expr.otherwise("low")
+# The types of errors, and what tells them, tried in this order.
+ERROR_TYPES = ("NETWORK_ERROR", "TIMEOUT_ERROR", "AUTH_ERROR", "VALIDATION_ERROR", "RATE_LIMIT_ERROR", "SERVER_ERROR", "CONFIGURATION_ERROR", "CACHE_ERROR", "UNKNOWN_ERROR")
+_TELLING = (
+    (0, ("network", "econnrefused", "enotfound")), (1, ("timeout", "etimedout")), (4, ("rate limit", "429")), (5, ("500", "502", "503", "504")),
+    (2, ("401", "403", "unauthorized")), (3, ("400", "validation")), (6, ("config",)), (7, ("cache",)),
+)
+
+
+def error_type(message: Column) -> Column:
+    """The type of an error by its message."""
+    low, expr = F.lower(message), F
+    for at, words in _TELLING:
+        test = F.lit(False)
+        for w in words:
+            test = test | F.contains(low, F.lit(w))
+        expr = expr.when(test, ERROR_TYPES[at])
+    return expr.otherwise(ERROR_TYPES[-1])
 
 
 def backoff(attempt: Column, first: float = 1000.0, factor: float = 2.0, most: float = 30000.0) -> Column:

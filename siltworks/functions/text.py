@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,10 +34,10 @@ def short_hash(col: Column) -> Column:
 
 
 def poly_hash(col: Column) -> Column:
-    """The signed 32-bit polynomial hash of base 31 over characters, as lower-case hex of its absolute value."""
+    """The signed 32-bit polynomial hash of base 31 over UTF-16 code units, as lower-case hex of its absolute value."""
     wrap = lambda x: ((x + F.lit(2**31)) % F.lit(2**32) + F.lit(2**32)) % F.lit(2**32) - F.lit(2**31)
-    chars = F.filter(F.split(col, ""), lambda c: c != "")
-    h = F.aggregate(chars, F.lit(0).cast("long"), lambda a, c: wrap(a * 31 + F.ascii(c)))
+    units = F.regexp_extract_all(F.hex(F.encode(col, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    h = F.aggregate(units, F.lit(0).cast("long"), lambda a, c: wrap(a * 31 + F.conv(c, 16, 10).cast("long")))
     return F.lower(F.hex(F.abs(h)))
 
 
@@ -93,3 +97,94 @@ def snippet(text: Column, line: Column, before: int = 1, after: int = 2) -> Colu
 def first_text(*cols: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in cols))
+
+
+#: Longer input is cut after it is escaped.
+INPUT_LIMIT = 200_000
+# Replacements of the input sanitizer, in their order.
+INPUT_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("/", "&#x2F;"))
+
+
+def sanitize_input(col: Column, limit: int = INPUT_LIMIT) -> Column:
+    """Control characters go, markup is escaped, the rest is cut to the limit; null gives the empty text."""
+    col = F.regexp_replace(F.coalesce(col, F.lit("")), r"[\x00-\x1F\x7F]", "")
+    for raw, safe in INPUT_ESCAPES:
+        col = F.replace(col, F.lit(raw), F.lit(safe))
+    return F.substring(col, 1, limit)
+
+
+def replace_first(col: Column, old: Column, new: Column) -> Column:
+    """The first exact occurrence of ``old`` replaced; unchanged where there is none."""
+    at = F.position(old, col)
+    return F.when((at > 0) & (F.length(old) > 0), F.concat(F.substring(col, F.lit(1), at - 1), new, F.substring(col, at + F.length(old), F.length(col)))).otherwise(col)
+
+
+def template(message: Column, values: dict[str, Column]) -> Column:
+    """``{{name}}`` replaced by its value, the first occurrence of each name only; null counts as empty."""
+    for name, value in values.items():
+        message = replace_first(message, F.lit("{{" + name + "}}"), F.coalesce(value.cast("string"), F.lit("")))
+    return message
+
+
+# Field names that tell of personal data.
+PERSONAL = r"(?i)email|password|token|key|secret|username|user.*name|api.*key|auth|credential"
+
+
+def anonymize_properties(props: Column) -> Column:
+    """A flat map<string,string>: null values go, personal fields are masked, paths are anonymised."""
+    kept = F.map_filter(props, lambda k, v: v.isNotNull())
+    return F.transform_values(kept, lambda k, v: F.when(k.rlike(PERSONAL), "[REDACTED]").when(looks_like_path(v), anonymize_path(v)).otherwise(v))
+
+
+def anonymize_json(col: Column) -> Column:
+    """The same for a JSON object of any depth (objects are followed, arrays stay as they are), in Arrow batches."""
+    personal, path, cut = re.compile(PERSONAL), re.compile(r"[/\\]|^[~.]"), re.compile(r"[/\\]")
+
+    def clean(value: dict) -> dict:
+        out = {}
+        for key, x in value.items():
+            if x is None:
+                continue
+            if personal.search(key):
+                x = "[REDACTED]"
+            elif isinstance(x, str) and path.search(x):
+                parts = cut.split(x)
+                dot = parts[-1].rfind(".")
+                x = f"<path-depth-{len(parts)}>/<file>{parts[-1][dot:] if dot >= 0 else ''}"
+            elif isinstance(x, dict):
+                x = clean(x)
+            out[key] = x
+        return out
+
+    def one(text: str | None) -> str | None:
+        try:
+            value = json.loads(text) if text is not None else None
+        except ValueError:
+            return None
+        return json.dumps(clean(value), separators=(",", ":"), ensure_ascii=False) if isinstance(value, dict) else text
+
+    @F.pandas_udf("string")
+    def batch(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action=None)
+
+    return batch(col)
+
+
+def valid_token(col: Column) -> Column:
+    """Three parts of base64url characters with dots between them."""
+    return F.coalesce(col.rlike(r"^[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+$"), F.lit(False))
+
+
+def token_expiry(col: Column) -> Column:
+    """The number ``exp`` of the token's payload; null where there is none."""
+    part = F.translate(F.split_part(col, F.lit("."), F.lit(2)), "-_", "+/")
+    padded = F.rpad(part, (F.ceil(F.length(part) / 4) * 4).cast("int"), F.lit("="))
+    body = F.try_to_binary(padded, F.lit("base64")).cast("string")
+    raw = F.get_json_object(body, "$.exp")
+    return F.when(F.regexp_like(body, F.lit(r'"exp"\s*:\s*-?[0-9]')), raw.try_cast("double"))
+
+
+def token_expired(col: Column, now_seconds: Column) -> Column:
+    """A token that is malformed, or has no number ``exp`` or a zero, counts as expired."""
+    exp = token_expiry(col)
+    return ~F.coalesce(valid_token(col) & (exp != 0) & ~(exp < F.floor(now_seconds)), F.lit(False))

@@ -8,29 +8,10 @@ from pyspark.sql import functions as F
 from siltworks.functions import scoring, severity, text
 from siltworks.operators import joins, match, state, windows
 from siltworks.plans import rules
-from siltworks.session import ship
+from siltworks.registry import QUERIES, SQL, query, table
 from siltworks.sources import reports
 from siltworks.streaming import rates
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 _RE = {r.id: r.patterns[0].regex for r in rules.CORPUS_PACK}
 _SEV = {r.id: r.severity for r in rules.CORPUS_PACK}
 #: One row a match and rule, in DuckDB.
@@ -196,11 +177,6 @@ def content_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.short_hash(F.col("text")).alias("hash"))
 
 
-@query()
-def fingerprints(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", text.poly_hash(F.col("c_name")).alias("fingerprint"))
-
-
 @query("SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')) AS html_digest, CASE WHEN regexp_matches(url || ', x', '[,\"\\n]') THEN '\"' || replace(url || ', x', '\"', '\"\"') || '\"' ELSE url || ', x' END AS csv FROM pages")
 def escapes(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2(text.escape_html(F.col("html")), 256).alias("html_digest"), text.escape_csv(F.concat("url", F.lit(", x"))).alias("csv"))
@@ -347,40 +323,6 @@ def cache_status(spark, sf):
     return table(spark, sf, "events").select("event_id", F.when(age <= 86400, "fresh").when(age <= 86700, "stale").otherwise("expired").alias("status"))
 
 
-_V2 = "SELECT doc_id, source, lang, CASE quality WHEN 1 THEN CASE toxic WHEN 1 THEN 'CRITICAL' ELSE 'LOW' END ELSE CASE toxic WHEN 1 THEN 'HIGH' ELSE 'MEDIUM' END END AS severity, toxic = 1 AS known, (doc_id % 100) / 100 AS epss, (doc_id % 10)::DOUBLE AS cvss, least(1.0, n_chars / 4000) AS confidence FROM documents JOIN labels USING (doc_id)"
-
-
-def vulnerabilities(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars").join(table(spark, sf, "labels"), "doc_id")
-    q, t = F.col("quality") == 1, F.col("toxic") == 1
-    level = F.when(q & t, "CRITICAL").when(q, "LOW").when(t, "HIGH").otherwise("MEDIUM")
-    return d.select("doc_id", "source", "lang", level.alias("severity"), t.alias("known"), ((F.col("doc_id") % 100) / 100).alias("epss"), (F.col("doc_id") % 10).cast("double").alias("cvss"), F.least(F.lit(1.0), F.col("n_chars") / 4000).alias("confidence"))
-
-
-@query(f"WITH v AS ({_V2}), b AS (SELECT *, CASE severity WHEN 'CRITICAL' THEN 40.0 WHEN 'HIGH' THEN 30.0 WHEN 'MEDIUM' THEN 20.0 ELSE 10.0 END::DOUBLE AS base FROM v), s AS (SELECT doc_id, round(least(100.0, base + CASE WHEN known THEN base * 1.5 ELSE 0 END + CASE WHEN epss >= 0.9 THEN base * 0.8 WHEN epss >= 0.5 THEN base * 0.3 ELSE 0 END + CASE WHEN cvss >= 9 OR epss >= 0.95 THEN base * 0.5 ELSE 0 END + base * 0.2::DOUBLE * confidence), 6) AS score FROM b) SELECT doc_id, score, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 55 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS level FROM s")
-def priority_score(spark, sf):
-    v = vulnerabilities(spark, sf)
-    s = v.select("doc_id", scoring.priority(F.col("severity"), F.col("known"), F.col("epss"), F.col("cvss"), F.col("confidence")).alias("score"))
-    return s.withColumn("level", scoring.level(F.col("score")))
-
-
-@query(f"SELECT source, count(*) AS n, round(1 - least(1, var_pop(confidence) / 0.1), 6) AS consistency, round(avg(confidence) - CASE WHEN count(DISTINCT lang) > 2 THEN 0.2 ELSE 0 END, 6) AS lang_score, round(least(1, count(*) FILTER (known) / count(*)), 6) AS risk FROM ({_V2}) GROUP BY source HAVING count(*) > 1")
-def quality_gate(spark, sf):
-    return (
-        vulnerabilities(spark, sf).groupBy("source").agg(
-            F.count("*").alias("n"),
-            F.round(1 - F.least(F.lit(1.0), F.var_pop("confidence") / 0.1), 6).alias("consistency"),
-            F.round(F.avg("confidence") - F.when(F.count_distinct("lang") > 2, 0.2).otherwise(0.0), 6).alias("lang_score"),
-            F.round(F.least(F.lit(1.0), F.count_if("known") / F.count("*")), 6).alias("risk"),
-        ).filter("n > 1")
-    )
-
-
-@query(f"SELECT severity, count(*) AS n, count(*) FILTER (known) AS exploited, count(*) FILTER (epss >= 0.9) AS likely, floor(avg(cvss) * 10 + 0.5)::BIGINT AS mean_cvss10 FROM ({_V2}) GROUP BY 1")
-def intelligence_summary(spark, sf):
-    return vulnerabilities(spark, sf).groupBy("severity").agg(F.count("*").alias("n"), F.count_if("known").alias("exploited"), F.count_if(F.col("epss") >= 0.9).alias("likely"), scoring.half_up(F.avg("cvss") * 10).alias("mean_cvss10"))
-
-
 def report_findings(spark, sf):
     """Findings in prose with a file name, a message and weaknesses, for the report formats."""
     f = match.best_of_place(corpus_findings(spark, sf), "doc_id")
@@ -441,3 +383,7 @@ def backoff_schedule(spark, sf):
 def thresholds(spark, sf):
     op = F.element_at(F.array(*map(F.lit, ("gt", "gte", "lt", "lte", "eq"))), (F.col("event_id") % 5 + 1).cast("int"))
     return table(spark, sf, "events").select("event_id", scoring.compare(F.col("value"), op, F.lit(50.0)).alias("breach"))
+
+
+# The other families register themselves.
+from siltworks import queries_functions, queries_vulnerabilities  # noqa: E402, F401
