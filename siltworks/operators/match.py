@@ -7,25 +7,43 @@ stage; nothing is shuffled until findings are ranked. Matches of zero width are
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions import scoring, severity, text
 from siltworks.plans.rules import Rule
+from siltworks.session import spread
+
+
+def newlines(col: Column) -> Column:
+    return F.length(col) - F.length(F.translate(col, "\n", ""))
 
 
 def matches(col: Column, regex: str) -> Column:
-    """array<struct<match, start>>: all non-overlapping matches with their 0-based offsets.
+    """array<struct<match, start, line, col, k>>: all non-overlapping matches with their 0-based offsets, 1-based lines,
+    0-based columns and numbers from 0; null where nothing matches.
 
-    What lies between matches is what ``split`` gives, so an offset is the length of all gaps up to a match
-    and of all matches before it.
+    What lies between matches is what ``split`` gives. One fold over gaps and matches carries the position along.
     """
     found = F.regexp_extract_all(col, F.lit(regex), F.lit(0))
-    gaps = F.split(col, regex, -1)
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-    start = lambda i: total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
-    out = F.transform(found, lambda m, i: F.struct(m.alias("match"), start(i).alias("start")))
+    pairs = F.zip_with(F.slice(F.split(col, regex, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    start = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("line"), F.lit(0).alias("col"), F.array().cast("array<struct<match:string,start:int,line:int,col:int,k:int>>").alias("out"))
+
+    def after(line: Column, column: Column, part: Column) -> tuple[Column, Column]:
+        n = newlines(part)
+        return line + n, F.when(n > 0, F.length(F.substring_index(part, "\n", -1))).otherwise(column + F.length(part))
+
+    def step(acc: Column, pair: Column) -> Column:
+        gap, match = F.coalesce(pair["g"], F.lit("")), pair["m"]
+        at = acc["pos"] + F.length(gap)
+        line, column = after(acc["line"], acc["col"], gap)
+        here = F.struct(match.alias("match"), at.alias("start"), line.alias("line"), column.alias("col"), F.size(acc["out"]).alias("k"))
+        next_line, next_column = after(line, column, match)
+        return F.struct((at + F.length(match)).alias("pos"), next_line.alias("line"), next_column.alias("col"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    out = F.aggregate(pairs, start, step, lambda acc: acc["out"])
     return F.when(col.rlike(regex), F.filter(out, lambda s: s["match"] != ""))
 
 
@@ -35,12 +53,12 @@ def applicable(rules: Iterable[Rule], disabled: Iterable[str] = (), categories:
     return sorted((r for r in rules if r.enabled and r.id not in off and (only is None or r.category in only)), key=lambda r: r.priority)
 
 
-_FINDINGS = "array<struct<rule_id:string,severity:string,category:string,seq:int,match:string,start:int>>"
+_FINDINGS = "array<struct<rule_id:string,severity:string,category:string,seq:int,match:string,start:int,line:int,col:int>>"
 
 
 def _finding(rule: Rule, seq: int):
     fixed = (F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.category).alias("category"), F.lit(seq).alias("seq"))
-    return lambda s: F.struct(*fixed, s["match"].alias("match"), s["start"].alias("start"))
+    return lambda s: F.struct(*fixed, *(s[c].alias(c) for c in ("match", "start", "line", "col")))
 
 
 def _without(regex: str):
@@ -48,23 +66,43 @@ def _without(regex: str):
     return lambda s: ~s["match"].rlike(f"(?i){regex}")
 
 
-def scan(docs: DataFrame, rules: Iterable[Rule], key: str, content: str, language: str | None = None) -> DataFrame:
-    """One row a match: key, rule_id, severity, category, seq, match, start, line, col, confidence."""
+def here(rule: Rule, language: str | None) -> Column:
+    return F.lit(True) if language is None or "*" in rule.languages else F.col(language).isin(*rule.languages)
+
+
+def scan(docs: DataFrame, rules: Iterable[Rule], key: str, content: str, language: str | None = None, keep: Iterable[str] = (), details: bool = False) -> DataFrame:
+    """One row a match: key, the columns to ``keep``, rule_id, severity, category, seq, match, start, line, col, confidence.
+
+    With ``details`` also name, cwe, likelihood (of a false positive) and snippet (one line before, two after).
+    """
+    rules = applicable(rules)
     body = F.col(content)
     arrays = []
-    for i, rule in enumerate(applicable(rules)):
-        here = F.lit(True) if language is None or "*" in rule.languages else F.col(language).isin(*rule.languages)
+    for i, rule in enumerate(rules):
         for j, p in enumerate(rule.patterns):
             found = matches(body, p.regex)
             if p.negative:
                 found = F.filter(found, _without("|".join(p.negative)))
-            arrays.append(F.coalesce(F.transform(F.when(here, found), _finding(rule, 100 * i + j)), F.array().cast(_FINDINGS)))
-    rows = docs.select(F.col(key), body.alias("_text"), F.explode(F.flatten(F.array(*arrays))).alias("m")).select(key, "_text", "m.*")
-    return rows.select(
-        key, "rule_id", "severity", "category", "seq", "match", F.col("start").cast("long").alias("start"),
-        text.line_of(F.col("_text"), F.col("start")).alias("line"), text.column_of(F.col("_text"), F.col("start")).alias("col"),
-        scoring.confidence(F.col("match"), F.col("severity")).alias("confidence"),
+            arrays.append(F.coalesce(F.transform(F.when(here(rule, language), found), _finding(rule, 100 * i + j)), F.array().cast(_FINDINGS)))
+    all_found = F.flatten(F.array(*arrays)) if arrays else F.array().cast(_FINDINGS)
+    if details:
+        # the lines around are cut inside the row, so that the text is not copied to each finding
+        all_found = F.transform(all_found, lambda s: s.withField("snippet", text.snippet(body, s["line"])))
+    rows = spread(docs).select(F.col(key), *keep, F.explode(all_found).alias("m")).select(key, *keep, "m.*")
+    out = rows.select(
+        key, *keep, "rule_id", "severity", "category", "seq", "match", F.col("start").cast("long").alias("start"), F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"),
+        scoring.confidence(F.col("match"), F.col("severity")).alias("confidence"), *(["snippet"] if details else []),
     )
+    if not details:
+        return out
+    of = lambda get, none: reduce(lambda e, r: F.when(F.col("rule_id") == r.id, get(r)).otherwise(e), rules, none)
+    return out.withColumns(
+        {
+            "name": of(lambda r: F.lit(r.name), F.lit(None).cast("string")),
+            "cwe": of(lambda r: F.array(*map(F.lit, r.cwe)).cast("array<string>"), F.lit(None).cast("array<string>")),
+            "likelihood": of(lambda r: scoring.false_positive(F.col("match"), r.false_positives), scoring.false_positive(F.col("match"))),
+        }
+    )
 
 
 def best_of_place(findings: DataFrame, key: str) -> DataFrame:
@@ -78,21 +116,18 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 
 def line_scan(files: DataFrame, rules: Iterable[Rule], path: str = "path", content: str = "content") -> DataFrame:
-    """Line rules: each line at most once a rule. path, rule_id, severity, line."""
+    """Line rules: each line at most once a rule. path, rule_id, name, severity, line."""
     lines = files.select(path, F.posexplode(F.split(content, "\n", -1)).alias("pos", "line_text"))
-    hits = F.filter(F.array(*(F.when(F.col("line_text").rlike(r.patterns[0].regex), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"))) for r in rules)), lambda x: x.isNotNull())
-    return lines.select(path, (F.col("pos") + 1).cast("long").alias("line"), F.explode(hits).alias("h")).select(path, "h.rule_id", "h.severity", "line")
+    hits = F.filter(F.array(*(F.when(F.col("line_text").rlike(r.patterns[0].regex), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"))) for r in rules)), lambda x: x.isNotNull())
+    return lines.select(path, (F.col("pos") + 1).cast("long").alias("line"), F.explode(hits).alias("h")).select(path, "h.rule_id", "h.name", "h.severity", "line")
 
 
 def missing_user(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Container files that name no user, or root, at their first FROM line (else line 1)."""
-    lines = files.select(path, F.posexplode(F.split(content, "\n", -1)).alias("pos", "t"))
-    each = lines.groupBy(path).agg(
-        F.bool_or(F.col("t").rlike(r"(?i)^USER\s+")).alias("has"),
-        F.bool_or(F.col("t").rlike(r"(?i)^USER\s+root")).alias("root"),
-        F.min(F.when(F.col("t").rlike(r"(?i)^FROM\s+"), F.col("pos"))).alias("at"),
-    )
-    return each.filter(~F.col("has") | F.col("root")).select(path, F.lit("IAC-D11").alias("rule_id"), F.lit("high").alias("severity"), (F.coalesce("at", F.lit(0)) + 1).cast("long").alias("line"))
+    """Container files that name no user, or root, at their first FROM line (else line 1). All inside the row."""
+    body = F.coalesce(F.col(content), F.lit(""))
+    bad = ~body.rlike(r"(?im)^USER\s+\S+") | body.rlike(r"(?im)^USER\s+root\s*$")
+    at = F.array_position(F.transform(F.split(body, "\n", -1), lambda t: t.rlike(r"(?i)^FROM\s")), True)
+    return files.filter(bad).select(path, F.lit("IAC-D11").alias("rule_id"), F.lit("No non-root USER specified").alias("name"), F.lit("high").alias("severity"), F.greatest(F.lit(1), at).cast("long").alias("line"))
 
 
 def file_type(path: Column, content: Column) -> Column:
@@ -112,6 +147,22 @@ def file_type(path: Column, content: Column) -> Column:
     )
 
 
+def helm_scan(files: DataFrame, rules: Iterable[Rule], path: str = "path", content: str = "content") -> DataFrame:
+    """Templates are scanned like manifests; the rule ids tell them apart."""
+    return manifest_scan(files, rules, path, content).withColumn("rule_id", F.regexp_replace("rule_id", "kubernetes", "helm"))
+
+
+def infra_scan(files: DataFrame, line_rules: dict[str, Iterable[Rule]], manifest_rules: Iterable[Rule], path: str = "path", content: str = "content") -> DataFrame:
+    """All scans of infrastructure files by their kind, united. ``type`` is computed where it is missing."""
+    if "type" not in files.columns:
+        files = files.withColumn("type", file_type(F.col(path), F.col(content)))
+    of = lambda kind: files.filter(F.col("type") == kind)
+    out = missing_user(of("dockerfile"), path, content)
+    for kind, rules in line_rules.items():
+        out = out.unionByName(line_scan(of(kind), rules, path, content))
+    return out.unionByName(manifest_scan(of("kubernetes"), manifest_rules, path, content)).unionByName(helm_scan(of("helm"), manifest_rules, path, content))
+
+
 def manifest_scan(files: DataFrame, rules: Iterable[Rule], path: str = "path", content: str = "content", before: int = 5, after: int = 4) -> DataFrame:
     """Multi-line rules of a manifest: a line is hit if the text from it to the end matches and so does the line
     or the lines around it; of the rules that hit a line the first wins. All inside the row."""
@@ -126,6 +177,6 @@ def manifest_scan(files: DataFrame, rules: Iterable[Rule], path: str = "path", c
     for r in rules:
         regex = r.patterns[0].regex
         test = F.col("rest").rlike(regex) & (F.col("t").rlike(regex) | ((F.col("pos") > 0) & F.col("near").rlike(regex)))
-        found = F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"))
+        found = F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"))
         hit = F.when(test, found) if hit is None else hit.when(test, found)
-    return lines.select(path, (F.col("pos") + 1).cast("long").alias("line"), hit.alias("h")).filter("h is not null").select(path, "h.rule_id", "h.severity", "line")
+    return lines.select(path, (F.col("pos") + 1).cast("long").alias("line"), hit.alias("h")).filter("h is not null").select(path, "h.rule_id", "h.name", "h.severity", "line")

@@ -24,6 +24,7 @@ class Rule:
     priority: int = 3
     enabled: bool = True
     cwe: tuple[str, ...] = field(default=())
+    false_positives: tuple[str, ...] = field(default=())
 
 
 #: A pack for prose: what the redaction chains look for, and licence lines.

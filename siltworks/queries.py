@@ -9,7 +9,6 @@ from siltworks.functions import scoring, severity, text
 from siltworks.operators import joins, match, state, windows
 from siltworks.plans import rules
 from siltworks.registry import QUERIES, SQL, query, table
-from siltworks.sources import reports
 from siltworks.streaming import rates
 
 _RE = {r.id: r.patterns[0].regex for r in rules.CORPUS_PACK}
@@ -114,36 +113,6 @@ def html_tag_lines(spark, sf):
     return match.line_scan(table(spark, sf, "pages"), [rule], "page_id", "html").groupBy("page_id").agg(F.count("*").alias("lines"))
 
 
-INFRA = (
-    ("a/Dockerfile", "FROM node:latest\nENV API_KEY=x\nRUN apt-get install curl\nEXPOSE 22\nUSER root"),
-    ("b/Dockerfile", "FROM alpine:3\nADD http://x/y /y\nCOPY . .\nHEALTHCHECK NONE"),
-    ("c/docker-compose.yml", "services:\n  a:\n    privileged: true\n    network_mode: host\n    volumes:\n      - /var/run/docker.sock:/x"),
-    ("d/main.tf", 'encrypted = false\nacl = "public-read"\npassword = "hunter2"'),
-    ("e/pod.yaml", "apiVersion: v1\nkind: Pod\nspec:\n  hostNetwork: true\n  containers:\n  - securityContext:\n      privileged: true"),
-    ("f/stack.yaml", "AWSTemplateFormatVersion: 2010\nResources:\n  X:\n    PubliclyAccessible: true"),
-    ("g/readme.txt", "nothing here"),
-)
-
-
-def infra(spark):
-    files = spark.createDataFrame(INFRA, "path string, content string")
-    return files.withColumn("type", match.file_type(F.col("path"), F.col("content")))
-
-
-@query("SELECT * FROM (VALUES ('a/Dockerfile', 'dockerfile'), ('b/Dockerfile', 'dockerfile'), ('c/docker-compose.yml', 'docker-compose'), ('d/main.tf', 'terraform'), ('e/pod.yaml', 'kubernetes'), ('f/stack.yaml', 'cloudformation'), ('g/readme.txt', NULL)) AS t(path, type)")
-def infra_types(spark, sf):
-    return infra(spark).select("path", "type")
-
-
-@query()
-def infra_findings(spark, sf):
-    files = infra(spark)
-    out = match.missing_user(files.filter("type = 'dockerfile'"))
-    for kind, some in rules.LINE_RULES.items():
-        out = out.unionByName(match.line_scan(files.filter(F.col("type") == kind), some))
-    return out.unionByName(match.manifest_scan(files.filter("type = 'kubernetes'"), rules.KUBERNETES))
-
-
 def _chain_sql(col, chain):
     for p, m in chain:
         col = f"regexp_replace({col}, '{p}', '{m.replace('$1', chr(92) + '1')}', 'g')"
@@ -323,43 +292,6 @@ def cache_status(spark, sf):
     return table(spark, sf, "events").select("event_id", F.when(age <= 86400, "fresh").when(age <= 86700, "stale").otherwise("expired").alias("status"))
 
 
-def report_findings(spark, sf):
-    """Findings in prose with a file name, a message and weaknesses, for the report formats."""
-    f = match.best_of_place(corpus_findings(spark, sf), "doc_id")
-    return f.select("rule_id", "severity", F.concat(F.lit("doc, "), F.col("doc_id").cast("string")).alias("file"), "line", F.concat(F.lit('found "'), F.col("rule_id"), F.lit('"')).alias("message"), F.array(F.lit("CWE-200"), F.lit("CWE-798")).alias("cwe"))
-
-
-_LINED = " UNION ALL ".join(
-    f"SELECT doc_id, '{i}' AS rule_id, '{_SEV[i]}' AS severity, line, unnest(regexp_extract_all(t, '{_RE[i]}')) AS m FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)"
-    for i in ("TXT001", "TXT002", "TXT003", "TXT005")
-)
-
-
-@query(f"SELECT 'doc, ' || doc_id AS file, line, rule_id || ',' || severity || ',\"found \"\"' || rule_id || '\"\"\",\"doc, ' || doc_id || '\",' || line || ',CWE-200;CWE-798' AS csv FROM ({_LINED})")
-def report_csv_rows(spark, sf):
-    return reports.csv_rows(report_findings(spark, sf).filter("rule_id != 'TXT004'"))
-
-
-@query(f"SELECT 'doc, ' || doc_id AS file, count(*) AS tests, count(*) FILTER (severity IN ('critical', 'high')) AS failures FROM ({_HITS}) GROUP BY 1")
-def report_junit(spark, sf):
-    return reports.junit(report_findings(spark, sf)).select("file", "tests", "failures")
-
-
-@query(f"SELECT severity, count(*) AS n, {_RANK}::INT AS section FROM ({_HITS}) GROUP BY ALL")
-def report_markdown(spark, sf):
-    return reports.markdown(report_findings(spark, sf)).select("severity", "n", "section")
-
-
-@query()
-def report_code_climate(spark, sf):
-    return reports.code_climate(report_findings(spark, sf))
-
-
-@query(f"SELECT rule_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM ({_HITS}) GROUP BY ALL")
-def report_sarif_levels(spark, sf):
-    return reports.sarif(report_findings(spark, sf)).groupBy("rule_id", "level").agg(F.count("*").alias("n"))
-
-
 @query()
 def circuit_breaker(spark, sf):
     e = table(spark, sf, "events")
@@ -386,4 +318,4 @@ def thresholds(spark, sf):
 
 
 # The other families register themselves.
-from siltworks import queries_functions, queries_vulnerabilities  # noqa: E402, F401
+from siltworks import queries_functions, queries_infra, queries_reports, queries_rules, queries_vulnerabilities  # noqa: E402, F401

@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -24,6 +24,15 @@ def session(app: str = "siltworks", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=base | conf).getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a scan out to all cores where the files give fewer partitions than there are cores.
+
+    For work that costs far more than moving its rows; a scan of many files stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package's sources to the executors once an application, so that workers can import it."""
     app = spark.sparkContext.applicationId
