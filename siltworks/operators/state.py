@@ -1,73 +1,167 @@
-"""Sequential state machines per key, on grouped batches: circuit breaker and alerts with cooldown.
+"""Sequential state machines per key: circuit breaker and alerts with cooldown, on tables and on streams.
 
-Both are Arrow-batched group operators, since a transition depends on all earlier ones of its key; a key's
-history must fit into one task.
+Each step depends on all earlier ones of its key, so a key's rows are worked off in order, in Arrow batches; the
+state itself is small and bounded. On a table a key's history is one group; on a stream only the state stays.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siltworks.session import ship
 
+_TESTS: dict[str, Callable[[float, float], bool]] = {
+    "gt": lambda v, t: v > t,
+    "gte": lambda v, t: v >= t,
+    "lt": lambda v, t: v < t,
+    "lte": lambda v, t: v <= t,
+    "eq": lambda v, t: v == t,
+}
+
 
 class Breaker:
-    """Closed; open after ``failures`` within ``window``; half-open after ``wait``; closed after ``successes``."""
+    """Closed; open after ``failures`` within ``window``; half-open after ``wait``; closed after ``successes``.
+
+    A failure exactly one window old does not count any more; a success while closed clears the failures.
+    """
+
+    STATE = "state string, recent array<double>, good int, next double"
 
     def __init__(self, failures: int = 5, window: float = 60, wait: float = 60, successes: int = 2):
         self.limit, self.window, self.wait, self.need = failures, window, wait, successes
-        self.state, self.recent, self.good, self.opened = "closed", deque(), 0, 0.0
+        self.state, self.recent, self.good, self.next = "closed", [], 0, 0.0
+
+    def dump(self) -> tuple:
+        return self.state, list(self.recent), self.good, float(self.next)
+
+    def load(self, state: tuple) -> Breaker:
+        self.state, self.recent, self.good, self.next = state[0], list(state[1]), state[2], state[3]
+        return self
 
     def __call__(self, at: float, ok: bool) -> str:
         if self.state == "open":
-            if at - self.opened < self.wait:
+            if at < self.next:
                 return self.state
             self.state, self.good = "half-open", 0
-        if ok:
-            self.recent.clear()
-            if self.state == "half-open":
-                self.good += 1
-                if self.good >= self.need:
-                    self.state = "closed"
-        elif self.state == "half-open":
-            self.state, self.opened = "open", at
+        if ok and self.state == "half-open":
+            self.good += 1
+            if self.good >= self.need:
+                self.state, self.recent = "closed", []
+        elif ok:
+            self.recent = []
         else:
-            self.recent.append(at)
-            while self.recent and at - self.recent[0] > self.window:
-                self.recent.popleft()
-            if len(self.recent) >= self.limit:
-                self.state, self.opened = "open", at
-                self.recent.clear()
+            self.recent = [t for t in (*self.recent, at) if t > at - self.window]
+            if self.state == "half-open" or len(self.recent) >= self.limit:
+                self.state, self.next = "open", at + self.wait
         return self.state
 
 
+class Alarm:
+    """Raises an alert whenever a value is beyond a threshold, and a resolution when it no longer is; both only after
+    the ``cooldown`` of the last alert. A resolution does not start a cooldown."""
+
+    STATE = "last double, open boolean"
+
+    def __init__(self, warn: float, critical: float, cooldown: float = 60, op: str = "gte"):
+        self.warn, self.critical, self.cooldown, self.beyond = warn, critical, cooldown, _TESTS[op]
+        self.last, self.open = float("-inf"), False
+
+    def dump(self) -> tuple:
+        return self.last, self.open
+
+    def load(self, state: tuple) -> Alarm:
+        self.last, self.open = state
+        return self
+
+    def __call__(self, at: float, value: float) -> str | None:
+        if at - self.last < self.cooldown:
+            return None
+        level = "critical" if self.beyond(value, self.critical) else "warning" if self.beyond(value, self.warn) else None
+        if level:
+            self.last, self.open = at, True
+        elif self.open:
+            self.open, level = False, "resolved"
+        return level
+
+
+_CALLS = "endpoint long, seq long, at double, ok boolean, state string"
+_ALERTS = "metric string, at double, level string, value double"
+
+
+def _called(step: Breaker, pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["at", "seq"])
+    return pdf.assign(state=[step(a, o) for a, o in zip(pdf["at"], pdf["ok"])])[["endpoint", "seq", "at", "ok", "state"]]
+
+
+def _raised(step: Alarm, pdf: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for metric, at, value in pdf.sort_values("at")[["metric", "at", "value"]].itertuples(index=False):
+        if (level := step(at, value)) is not None:
+            out.append((metric, at, level, value))
+    return pd.DataFrame(out, columns=["metric", "at", "level", "value"])
+
+
+def _run(rows: DataFrame, key: str, make: Callable, apply: Callable, schema: str) -> DataFrame:
+    """A machine for each key: over whole groups of a table, or with its state kept between the batches of a stream."""
+    ship(rows.sparkSession)
+    if not rows.isStreaming:
+        return rows.groupBy(key).applyInPandas(lambda pdf: apply(make(), pdf), schema)
+
+    def step(_key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        machine = make()
+        if state.exists:
+            machine.load(state.get)
+        pdf = pd.concat(list(batches), ignore_index=True)
+        out = apply(machine, pdf)
+        state.update(machine.dump())
+        yield out
+
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    return rows.groupBy(key).applyInPandasWithState(step, schema, make().STATE, "append", GroupStateTimeout.NoTimeout)
+
+
 def circuit_breaker(calls: DataFrame, **limits) -> DataFrame:
     """calls(endpoint long, seq long, at double, ok boolean) with the state after each call."""
-    ship(calls.sparkSession)
+    return _run(calls, "endpoint", lambda: Breaker(**limits), _called, _CALLS)
+
+
+def alerts(snapshots: DataFrame, warn: float, critical: float, cooldown: float = 60, op: str = "gte") -> DataFrame:
+    """snapshots(metric string, at double, value double): alerts raised and resolved, in the order of time."""
+    return _run(snapshots, "metric", lambda: Alarm(warn, critical, cooldown, op), _raised, _ALERTS)
+
+
+class Documents:
+    """The last hash of a document: whether a version is new, changed or as before."""
+
+    STATE = "hash string, version long"
+
+    def __init__(self):
+        self.hash, self.version = None, -1
+
+    def dump(self) -> tuple:
+        return self.hash, self.version
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"])
-        step = Breaker(**limits)
-        return pdf.assign(state=[step(a, o) for a, o in zip(pdf["at"], pdf["ok"])])
+    def load(self, state: tuple) -> Documents:
+        self.hash, self.version = state
+        return self
 
-    return calls.groupBy("endpoint").applyInPandas(run, "endpoint long, seq long, at double, ok boolean, state string")
+    def __call__(self, version: int, digest: str) -> str:
+        kind = "new" if self.hash is None else "same" if digest == self.hash else "changed"
+        self.hash, self.version = digest, int(version)
+        return kind
 
 
-def alerts(snapshots: DataFrame, warn: float, critical: float, cooldown: float = 60) -> DataFrame:
-    """snapshots(metric string, at double, value double): raised and resolved alerts, one open at a time a metric."""
-    ship(snapshots.sparkSession)
+def _versioned(step: Documents, pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("version")
+    return pdf.assign(change=[step(v, h) for v, h in zip(pdf["version"], pdf["hash"])])[["uri", "version", "hash", "change"]]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, level, last = [], None, float("-inf")
-        for metric, at, value in pdf.sort_values("at")[["metric", "at", "value"]].itertuples(index=False):
-            now = "critical" if value >= critical else "warning" if value >= warn else None
-            if now == level or at - last < cooldown:
-                continue
-            out.append((metric, at, now or "resolved", value))
-            level, last = now, at
-        return pd.DataFrame(out, columns=["metric", "at", "level", "value"])
 
-    return snapshots.groupBy("metric").applyInPandas(run, "metric string, at double, level string, value double")
+def document_changes(versions: DataFrame) -> DataFrame:
+    """versions(uri string, version long, content string): uri, version, hash, change (new, changed, same)."""
+    rows = versions.select(F.col("uri").cast("string"), F.col("version").cast("long"), F.substring(F.sha2("content", 256), 1, 16).alias("hash"))
+    return _run(rows, "uri", Documents, _versioned, "uri string, version long, hash string, change string")

@@ -171,14 +171,6 @@ def file_score(spark, sf):
     return c.join(o, "custkey", "full").groupBy("custkey").agg(severity.score(F.col("severity")).alias("score"))
 
 
-@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, round(sum(value), 4) AS total, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
-def latency_stats(spark, sf):
-    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by value)")
-    return table(spark, sf, "events").groupBy("event_type").agg(
-        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.sum("value"), 4).alias("total"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99")
-    )
-
-
 @query("SELECT event_id, round(count(*) OVER (PARTITION BY event_type ORDER BY epoch_ms(ts) RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) / 3600, 9) AS rate FROM events")
 def sliding_rate(spark, sf):
     return windows.sliding_rate(table(spark, sf, "events"), "event_type", "ts", 3600).select("event_id", "rate")
@@ -217,14 +209,6 @@ def asof_view_to_action(spark, sf):
     return joins.asof(e.filter("event_type = 'purchase'"), views, "user_id", "ts", "view_ts").select("event_id", F.col("asof_value").alias("view_ts"))
 
 
-@query("SELECT event_type, bucket, accepted, rejected, CASE WHEN accepted + rejected = 0 THEN 0 ELSE round(accepted / (accepted + rejected), 6) END::DOUBLE AS rate FROM (SELECT event_type, bucket, count(*) FILTER (event_type = 'purchase') AS accepted, count(*) FILTER (event_type = 'error') AS rejected FROM (SELECT event_type, user_id % 4 AS bucket FROM events) GROUP BY GROUPING SETS ((), (event_type), (bucket)))")
-def feedback_accuracy(spark, sf):
-    table(spark, sf, "events").select("event_type", (F.col("user_id") % 4).alias("bucket")).createOrReplaceTempView("_feedback")
-    e = spark.sql("SELECT event_type, bucket, count_if(event_type = 'purchase') AS accepted, count_if(event_type = 'error') AS rejected FROM _feedback GROUP BY GROUPING SETS ((), (event_type), (bucket))")
-    both = F.col("accepted") + F.col("rejected")
-    return e.withColumn("rate", F.when(both == 0, F.lit(0.0)).otherwise(F.round(F.col("accepted") / both, 6)))
-
-
 @query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 100")
 def keep_last_n(spark, sf):
     return windows.keep_last(table(spark, sf, "events"), 100, ["event_type"], [F.desc("ts"), F.desc("event_id")]).select("event_type", "event_id")
@@ -273,38 +257,6 @@ def upsert_latest(spark, sf):
     return joins.upsert(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), "user_id", "seq").select("user_id", "event_id")
 
 
-_CACHE = "SELECT user_id AS key, count(*) AS hits, max(ts) AS accessed, min(ts) AS created, sum(length(props))::BIGINT AS size FROM events GROUP BY 1"
-_NOW = "TIMESTAMP '2024-02-01 00:00:00'"
-
-
-@query(f"SELECT key, round(0.1 * (epoch_us({_NOW}) - epoch_us(created)) / 3600000000 + 0.3 * (epoch_us({_NOW}) - epoch_us(accessed)) / 60000000 + 0.2 / ln(hits + 2) + 0.2 / (key % 4 + 1) + 0.1 * size / 1000000 * 10, 6) AS score FROM ({_CACHE})")
-def eviction_rank(spark, sf):
-    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("hits"), F.max("ts").alias("accessed"), F.min("ts").alias("created"), F.sum(F.length("props")).alias("size"))
-    us = lambda c: F.unix_micros(c.cast("timestamp"))
-    now = us(F.lit("2024-02-01 00:00:00"))
-    score = 0.1 * (now - us(F.col("created"))) / 3600000000 + 0.3 * (now - us(F.col("accessed"))) / 60000000 + 0.2 / F.log(F.col("hits") + 2) + 0.2 / (F.col("key") % 4 + 1) + 0.1 * F.col("size") / 1000000 * 10
-    return e.select("key", F.round(score, 6).alias("score"))
-
-
-@query("SELECT event_id, CASE WHEN age <= 86400 THEN 'fresh' WHEN age <= 86400 + 300 THEN 'stale' ELSE 'expired' END AS status FROM (SELECT event_id, (epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(ts)) / 1000000 AS age FROM events)")
-def cache_status(spark, sf):
-    age = (F.unix_micros(F.lit("2024-01-20 00:00:00").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000000
-    return table(spark, sf, "events").select("event_id", F.when(age <= 86400, "fresh").when(age <= 86700, "stale").otherwise("expired").alias("status"))
-
-
-@query()
-def circuit_breaker(spark, sf):
-    e = table(spark, sf, "events")
-    calls = e.select((F.col("user_id") % 10).alias("endpoint"), F.col("event_id").alias("seq"), (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).alias("at"), (F.col("event_type") != "error").alias("ok"))
-    return state.circuit_breaker(calls, failures=5, window=86400, wait=3600)
-
-
-@query()
-def alerts(spark, sf):
-    hourly = table(spark, sf, "events").groupBy(F.col("event_type").alias("metric"), F.date_trunc("hour", "ts").alias("h")).agg(F.avg("value").alias("value"))
-    return state.alerts(hourly.select("metric", F.unix_seconds(F.col("h").cast("timestamp")).cast("double").alias("at"), "value"), 60, 80, 7200)
-
-
 @query("SELECT event_id, least(1000 * pow(2, event_id % 8), 30000)::DOUBLE AS delay, (event_id % 3 = 0) AS retryable FROM events")
 def backoff_schedule(spark, sf):
     message = F.when(F.col("event_id") % 3 == 0, "HTTP 503 from host").when(F.col("event_id") % 3 == 1, "401 unauthorized").otherwise("validation failed")
@@ -318,4 +270,4 @@ def thresholds(spark, sf):
 
 
 # The other families register themselves.
-from siltworks import queries_functions, queries_infra, queries_reports, queries_rules, queries_vulnerabilities  # noqa: E402, F401
+from siltworks import queries_functions, queries_infra, queries_reports, queries_rules, queries_state, queries_views, queries_vulnerabilities  # noqa: E402, F401
