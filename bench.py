@@ -9,7 +9,7 @@ import time
 from siltworks import queries as engine
 from siltworks.session import session
 
-HEADLINE = ("corpus_scan_by_source", "finding_lines", "redact_documents", "severity_histogram", "file_score", "latency_stats", "sliding_rate", "sessions", "asof_view_to_action", "feedback_accuracy", "topk_per_group", "interval_overlap", "quality_gate", "priority_score", "report_csv_rows", "resolved_findings")
+HEADLINE = ("corpus_scan_by_source", "finding_lines", "redact_documents", "severity_histogram", "file_score", "latency_stats", "sliding_rate", "sessions", "asof_view_to_action", "feedback_accuracy", "topk_per_group", "interval_overlap", "quality_gate", "priority_score", "report_csv", "builtin_rules", "infra_findings", "confidence_parts", "false_positives", "custom_matches", "version_scopes", "circuit_breaker", "resolved_findings")
 
 
 def main() -> None:

@@ -94,11 +94,6 @@ def snippet(text: Column, line: Column, before: int = 1, after: int = 2) -> Colu
     return F.array_join(F.slice(lines, first.cast("int"), (line + after - first + 1).cast("int")), "\n")
 
 
-def first_text(*cols: Column) -> Column:
-    """The first that is neither null nor empty."""
-    return F.coalesce(*(F.nullif(c, F.lit("")) for c in cols))
-
-
 #: Longer input is cut after it is escaped.
 INPUT_LIMIT = 200_000
 # Replacements of the input sanitizer, in their order.

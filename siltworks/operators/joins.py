@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +27,11 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, margin: int = 0) ->
 
 
 def resolved(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Rows of the previous set that are not in the current one, compared whole."""
-    row = lambda df: F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    return previous.withColumn("_row", row(previous)).join(current.select(row(current).alias("_row")), "_row", "left_anti").drop("_row")
+    """Rows of the previous set that are not in the current one, compared whole; null equals null."""
+    names = previous.columns
+    now = current.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names))).distinct()
+    same = reduce(lambda a, b: a & b, (F.col(f"`{c}`").eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(names)))
+    return previous.join(now, same, "left_anti")
 
 
 def difference(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

@@ -6,22 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-
-
 def keep_last(df: DataFrame, n: int, keys: list[str], order: list) -> DataFrame:
     """The last n rows of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
-def sliding_rate(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Rows of the key in the window that ends at each row, by the window's seconds."""
+def sliding_rate(df: DataFrame, key: str, ts: str, seconds: int, stretch: int = 24) -> DataFrame:
+    """Rows of the key in the window that ends at each row, by the window's seconds.
+
+    Time is cut into stretches of so many windows, so that a key is not one task; the rows of the last window of a
+    stretch go to the next one as well, to be counted there.
+    """
+    span = 1000 * seconds * stretch
     ms = F.unix_millis(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(ms).rangeBetween(-1000 * seconds, 0)
-    return df.withColumn("rate", F.round(F.count("*").over(w) / seconds, 9))
+    at = F.floor(F.col("_ms") / span)
+    rows = df.withColumn("_ms", ms).withColumn("_at", at)
+    carried = F.when(F.col("_ms") >= (F.col("_at") + 1) * span - 1000 * seconds, F.array("_at", F.col("_at") + 1)).otherwise(F.array("_at"))
+    rows = rows.withColumn("_own", F.col("_at")).withColumn("_at", F.explode(carried))
+    w = Window.partitionBy(key, "_at").orderBy("_ms").rangeBetween(-1000 * seconds, 0)
+    return rows.withColumn("rate", F.round(F.count("*").over(w) / seconds, 9)).filter("_own = _at").drop("_ms", "_at", "_own")
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions import scoring, severity, text
-from siltworks.operators import joins, match, state, windows
+from siltworks.operators import joins, match, windows
+from siltworks.oracles import positions
 from siltworks.plans import rules
-from siltworks.registry import QUERIES, SQL, query, table
+from siltworks.registry import QUERIES, SQL, lit, query, table
+from siltworks.session import spread
 from siltworks.streaming import rates
 
 _RE = {r.id: r.patterns[0].regex for r in rules.CORPUS_PACK}
@@ -20,29 +24,19 @@ _HITS = " UNION ALL ".join(
 _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE -1 END"
 
 
-def corpus_findings(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return match.scan(docs, rules.CORPUS_PACK, "doc_id", "text")
+def corpus_findings(spark, sf, keep=()) -> DataFrame:
+    return match.scan(table(spark, sf, "documents"), rules.CORPUS_PACK, "doc_id", "text", keep=keep)
 
 
 @query(f"SELECT source, rule_id, severity, count(*) AS findings, count(DISTINCT doc_id) AS docs FROM ({_HITS}) GROUP BY ALL")
 def corpus_scan_by_source(spark, sf):
-    found = match.best_of_place(corpus_findings(spark, sf), "doc_id")
-    docs = table(spark, sf, "documents").select("doc_id", "source")
-    return found.join(docs, "doc_id").groupBy("source", "rule_id", "severity").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("docs"))
-
-
-@query(
-    "SELECT doc_id, rule_id, line, count(*) AS n, sum(length(m))::BIGINT AS chars FROM ("
-    + " UNION ALL ".join(
-        f"SELECT doc_id, '{i}' AS rule_id, line, unnest(regexp_extract_all(t, '{_RE[i]}')) AS m FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)"
-        for i in ("TXT001", "TXT002", "TXT003", "TXT005")
-    )
-    + ") GROUP BY ALL"
-)
+    found = match.best_of_place(corpus_findings(spark, sf, ["source"]), "doc_id")
+    return found.groupBy("source", "rule_id", "severity").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("SELECT doc_id, rule_id, line, count(*) AS n, sum(length(m))::BIGINT AS chars FROM (" + " UNION ALL ".join(f"SELECT key AS doc_id, '{i}' AS rule_id, m, line FROM ({positions(r, 'SELECT doc_id AS key, text AS body FROM documents')})" for i, r in _RE.items()) + ") GROUP BY ALL")
 def finding_lines(spark, sf):
-    found = corpus_findings(spark, sf).filter("rule_id != 'TXT004'")
-    return found.groupBy("doc_id", "rule_id", "line").agg(F.count("*").alias("n"), F.sum(F.length("match")).alias("chars"))
+    return corpus_findings(spark, sf).groupBy("doc_id", "rule_id", "line").agg(F.count("*").alias("n"), F.sum(F.length("match")).alias("chars"))
 
 
 @query(f"SELECT doc_id, rule_id, round(least(1.0, 0.7 + CASE WHEN length(m) > 50 THEN 0.1 ELSE 0 END + CASE WHEN length(m) > 100 THEN 0.1 ELSE 0 END + CASE severity WHEN 'critical' THEN 0.1 WHEN 'high' THEN 0.05 ELSE 0 END), 6)::DOUBLE AS confidence, length(m)::BIGINT AS size FROM ({_HITS})")
@@ -61,50 +55,56 @@ SAMPLES = (
     ("s01", "javascript", 'db.query("SELECT * FROM t WHERE id=" + req.params.id)'),
     ("s02", "javascript", "document.write(name)"),
     ("s03", "python", "subprocess.run(cmd, shell=True)"),
+    ("s04", "javascript", "fs.readFile(req.query.path)"),
     ("s05", "python", 'api_key = "abcd1234efgh"'),
     ("s06", "python", "pickle.loads(data)"),
+    ("s07", "python", "etree.parse(f)"),
+    ("s08", "javascript", "fetch(req.body.url)"),
     ("s09", "javascript", "createHash('md5')"),
+    ("s10", "javascript", "db.users(req.body)"),
     ("s11", "javascript", "o.__proto__ = x"),
     ("s12", "javascript", "Math.random()"),
+    ("s13", "javascript", "res.redirect(req.query.next)"),
+    ("s14", "javascript", "app.get('/admin', handler)"),
     ("s15", "javascript", "origin: '*'"),
+    ("s16", "java", "DocumentBuilderFactory f = g();\nf.newDocumentBuilder(); el.innerHTML = x"),
     ("n01", "javascript", "el.textContent = name"),
     ("n02", "python", 'password = "placeholder1"'),
+    ("d01", "javascript", "document.write(name)\n  Math.random()"),
 )
 
 
-def _lit(x):
-    return "'" + x.replace("'", "''") + "'"
-
+def code_samples(spark, sf):
+    """One sample a customer, by turns."""
+    of = lambda part: F.element_at(F.array(*(F.lit(x[part]) for x in SAMPLES)), (F.col("c_custkey") % len(SAMPLES) + 1).cast("int"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("file"), of(1).alias("language"), of(2).alias("content"))
 
-#: Without look-arounds, which DuckDB's dialect has not.
-_PLAIN_RULES = [(r, p) for r in rules.BUILT_IN for p in r.patterns if "(?!" not in p.regex]
 
+def _expected() -> list[tuple]:
+    """What another regex engine finds in the samples: sample, rule, severity, line, column, confidence, snippet, most confident and first of a place."""
+    best: dict[tuple, tuple] = {}
+    for at, (_, language, code) in enumerate(SAMPLES):
+        for n, rule in enumerate(sorted(rules.BUILT_IN, key=lambda r: r.priority)):
+            if language not in rule.languages and "*" not in rule.languages:
+                continue
+            for k, p in enumerate(rule.patterns):
+                for m in re.finditer(p.regex, code):
+                    if not m[0] or any(re.search(x, m[0], re.I) for x in p.negative):
+                        continue
+                    before = code[: m.start()]
+                    line, col = before.count("\n") + 1, len(before.rpartition("\n")[2])
+                    sure = round(min(1.0, 0.7 + 0.1 * (len(m[0]) > 50) + 0.1 * (len(m[0]) > 100) + {"critical": 0.1, "high": 0.05}.get(rule.severity, 0)), 6)
+                    old = best.get((at, rule.id, line, col))
+                    if old is None or sure > old[0]:
+                        snippet = "\n".join(code.split("\n")[max(0, line - 2) : line + 2])
+                        best[at, rule.id, line, col] = (sure, rule.severity, rule.name, snippet, 100 * n + k)
+    return [(at, rid, sev, line, col, sure, name, snippet) for (at, rid, line, col), (sure, sev, name, snippet, _) in best.items()]
 
-@query(
-    "SELECT sample_id, rule_id, count(*) AS n FROM ("
-    + " UNION ALL ".join(
-        f"SELECT sample_id, '{r.id}' AS rule_id, m FROM (SELECT sample_id, unnest(regexp_extract_all(content, {_lit(p.regex)})) AS m FROM s WHERE language IN ({', '.join(map(_lit, r.languages))})) WHERE "
-        + " AND ".join(["true", *(f"NOT regexp_matches(m, {_lit('(?i)' + n)})" for n in p.negative)])
-        for r, p in _PLAIN_RULES
-    )
-    + ") GROUP BY ALL"
-)
-def builtin_rules_on_samples(spark, sf):
-    files = spark.createDataFrame(SAMPLES, "sample_id string, language string, content string")
-    plain = {}
-    for r, p in _PLAIN_RULES:
-        plain.setdefault(r.id, []).append(p)
-    chosen = [rules.Rule(r.id, r.name, r.severity, r.category, tuple(plain[r.id]), r.languages, r.priority) for r in rules.BUILT_IN if r.id in plain]
-    return match.scan(files, chosen, "sample_id", "content", "language").groupBy("sample_id", "rule_id").agg(F.count("*").alias("n"))
 
-
-SQL["builtin_rules_on_samples"] = "WITH s(sample_id, language, content) AS (VALUES " + ", ".join(f"({_lit(a)}, {_lit(b)}, {_lit(c)})" for a, b, c in SAMPLES) + ") " + SQL["builtin_rules_on_samples"]
-
-
-@query()
-def builtin_rules_all(spark, sf):
-    files = spark.createDataFrame(SAMPLES, "sample_id string, language string, content string")
-    return match.ordered(match.best_of_place(match.scan(files, rules.BUILT_IN, "sample_id", "content", "language"), "sample_id"))
+@query("SELECT c_custkey AS file, rule_id, severity, line, col, confidence, name, snippet FROM customer JOIN (VALUES " + ", ".join(f"({a}, {lit(r)}, {lit(s)}, {ln}::BIGINT, {c}::BIGINT, {x}::DOUBLE, {lit(n)}, {lit(t)})" for a, r, s, ln, c, x, n, t in _expected()) + f") AS t(sample, rule_id, severity, line, col, confidence, name, snippet) ON c_custkey % {len(SAMPLES)} = t.sample")
+def builtin_rules(spark, sf):
+    found = match.scan(code_samples(spark, sf), rules.BUILT_IN, "file", "content", "language", details=True)
+    return match.ordered(match.best_of_place(found, "file")).select("file", "rule_id", "severity", "line", "col", "confidence", "name", "snippet")
 
 
 @query("SELECT page_id, count(*) AS lines FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS t FROM pages) WHERE regexp_matches(t, '<script') GROUP BY page_id")
@@ -121,7 +121,7 @@ def _chain_sql(col, chain):
 
 @query(f"SELECT doc_id, sha256({_chain_sql('text', text.ERROR_CHAIN)}) AS digest, length({_chain_sql('text', text.ERROR_CHAIN)})::BIGINT AS size FROM documents")
 def redact_documents(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", text.redact(F.col("text")).alias("t"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text.redact(F.col("text")).alias("t"))
     return d.select("doc_id", F.sha2("t", 256).alias("digest"), F.length("t").cast("long").alias("size"))
 
 
@@ -130,6 +130,11 @@ def redact_conversations(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(text.redact(F.col("text"), text.TELEMETRY_CHAIN), 256).alias("digest"))
 
 
+@query(f"SELECT page_id, sha256({_chain_sql('html', text.STACK_CHAIN)}) AS digest FROM pages")
+def redact_stacks(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.sha2(text.redact(F.col("html"), text.STACK_CHAIN), 256).alias("digest"))
+
+
 @query("SELECT page_id, '<path-depth-' || len(regexp_split_to_array(url, '[/\\\\]')) || '>/<file>' || CASE WHEN contains(regexp_split_to_array(url, '[/\\\\]')[-1], '.') THEN '.' || string_split(regexp_split_to_array(url, '[/\\\\]')[-1], '.')[-1] ELSE '' END AS path, regexp_matches(url, '[/\\\\]|^[~.]') AS is_path FROM pages")
 def path_anonymize(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.anonymize_path(F.col("url")).alias("path"), text.looks_like_path(F.col("url")).alias("is_path"))

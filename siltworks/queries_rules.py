@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltworks.operators import custom_rules as C
 from siltworks.operators import match
+from siltworks.oracles import positions
 from siltworks.plans import rules as plans
 from siltworks.registry import lit, query, table
 
@@ -147,20 +148,8 @@ def rule_export(spark, sf):
 
 
 # custom matches over whole pages and documents; a split at marks around each match gives lines and columns in SQL
-def _marked(regex: str, flags: str = "g") -> str:
-    return f"string_split(regexp_replace(body, {lit('(' + regex + ')')}, chr(1) || '\\1' || chr(2), '{flags}'), chr(1))"
-
-
-def _positions(regex: str, source: str, flags: str = "g") -> str:
-    """key, m, line, col of each match."""
-    return (
-        f"SELECT key, m, length(before) - length(replace(before, chr(10), '')) + 1 AS line, length(string_split(before, chr(10))[-1]) AS col FROM (SELECT key, string_split(parts[i], chr(2))[1] AS m, replace(array_to_string(parts[1:i - 1], ''), chr(2), '') AS before "
-        f"FROM (SELECT key, parts, unnest(generate_series(2, len(parts))) AS i FROM (SELECT key, {_marked(regex, flags)} AS parts FROM ({source}))))"
-    )
-
-
 @query(
-    f"SELECT key AS page_id, 'link to ' || m[7:-2] AS message, line, col AS \"column\", line + length(m) - length(replace(m, chr(10), '')) AS end_line, CASE WHEN contains(m, chr(10)) THEN length(string_split(m, chr(10))[-1]) ELSE col + length(m) END AS end_column, 0.9 AS confidence FROM ({_positions(_RULES[3][5][0][0], 'SELECT page_id AS key, html AS body FROM pages')})"
+    f"SELECT key AS page_id, 'link to ' || m[7:-2] AS message, line, col AS \"column\", line + length(m) - length(replace(m, chr(10), '')) AS end_line, CASE WHEN contains(m, chr(10)) THEN length(string_split(m, chr(10))[-1]) ELSE col + length(m) END AS end_column, 0.9 AS confidence FROM ({positions(_RULES[3][5][0][0], 'SELECT page_id AS key, html AS body FROM pages')})"
 )
 def custom_matches(spark, sf):
     pages = table(spark, sf, "pages").withColumn("language", F.lit("html"))
@@ -168,9 +157,9 @@ def custom_matches(spark, sf):
 
 
 @query(
-    f"SELECT key AS doc_id, count(*) AS n, min(line) AS first_line, sum(col)::BIGINT AS columns FROM ({_positions('[Tt][Hh][Ee] [A-Za-z0-9_]+', 'SELECT doc_id AS key, text AS body FROM documents WHERE NOT regexp_matches(text, chr(1) || chr(124) || chr(2))')}) GROUP BY 1"
+    f"SELECT key AS doc_id, count(*) AS n, min(line) AS first_line, sum(col)::BIGINT AS columns FROM ({positions('[Tt][Hh][Ee] [A-Za-z0-9_]+', 'SELECT doc_id AS key, text AS body FROM documents WHERE NOT regexp_matches(text, chr(1) || chr(124) || chr(2))')}) GROUP BY 1"
 )
-def word_positions(spark, sf):
+def wordpositions(spark, sf):
     """Lines and columns of every match in whole documents."""
     d = table(spark, sf, "documents").filter(~F.col("text").rlike("\x01|\x02"))
     found = d.select("doc_id", F.explode(match.matches(F.col("text"), "[Tt][Hh][Ee] [A-Za-z0-9_]+")).alias("m"))

@@ -15,6 +15,3 @@ def windowed_rate(events: DataFrame, ts: str, key: str, width: str, seconds: int
     return each.select(F.col("w.start").alias("start"), key, "n", F.round(F.col("n") / seconds, 9).alias("rate"))
 
 
-def prioritized_batches(stream: DataFrame, rank, sink, trigger: str = "1 second"):
-    """Micro-batches handed to ``sink(df, batch_id)`` in order of rank."""
-    return stream.writeStream.foreachBatch(lambda df, i: sink(df.orderBy(rank), i)).trigger(processingTime=trigger)

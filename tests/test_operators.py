@@ -1,16 +1,19 @@
-"""Values fixed by hand: redaction, escapes, positions, snippets, state machines, streams."""
+"""Values fixed by hand: redaction, positions, snippets, state machines, documents, streams, own code."""
 
+import json
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltworks import queries as engine
-from siltworks.functions import severity, text
-from siltworks.operators import match, state
+from siltworks.functions import normalize, severity, text
+from siltworks.operators import cache, extension, incremental, joins, match, state, windows
+from siltworks.operators import settings as settings_op
 from siltworks.plans import rules
-from siltworks.sources import reports
-from siltworks.streaming import rates
+from siltworks.sources import files, reports
+from siltworks.streaming import delivery, rates
 
 
 def one(spark, expr, value):
@@ -22,38 +25,48 @@ def test_redaction(spark):
         assert one(spark, text.redact, raw) == want
 
 
+def js_hash(s: str) -> str:
+    h = 0
+    raw = s.encode("utf-16-be")
+    for i in range(0, len(raw), 2):
+        h = (h * 31 + int.from_bytes(raw[i : i + 2], "big") + 2**31) % 2**32 - 2**31
+    return f"{abs(h):x}"
+
+
 def test_hash_and_names(spark):
-    assert one(spark, text.poly_hash, "ab") == hex(97 * 31 + 98)[2:]
+    for s in ("ab", "", "é日本", "😀x", "a long text " * 9):
+        assert one(spark, text.poly_hash, s) == js_hash(s)
     assert one(spark, text.anonymize_path, "a/b/c.py") == "<path-depth-3>/<file>.py"
     assert one(spark, text.title_words, "open_redirect") == "Open Redirect"
     assert one(spark, text.escape_html, "<a href='x'>&") == "&lt;a href=&#039;x&#039;&gt;&amp;"
+    assert one(spark, text.sanitize_input, "&<>\"'/te\x00st\x7f") == "&amp;&lt;&gt;&quot;&#x27;&#x2F;test"
+    assert one(spark, text.sanitize_input, None) == ""
+    assert len(one(spark, text.sanitize_input, "a" * 200_001)) == 200_000
 
 
 def test_offsets_agree_with_a_regex_engine(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab c\n1") for _ in range(rng.randint(0, 80))) for _ in range(60)]
-    pattern = r"a+b?|1"
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", match.matches(F.col("t"), pattern).alias("m"))
-    for r in df.collect():
-        assert [(x.match, x.start) for x in r.m or []] == [(m[0], m.start()) for m in re.finditer(pattern, texts[r.i])]
+    for pattern in (r"a+b?|1", r"b\s*c", r"(?<=a)b"):
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", match.matches(F.col("t"), pattern).alias("m"))
+        for r in df.collect():
+            t = texts[r.i]
+            want = [(m[0], m.start(), t.count("\n", 0, m.start()) + 1, m.start() - t.rfind("\n", 0, m.start()) - 1) for m in re.finditer(pattern, t)]
+            assert [(x.match, x.start, x.line, x.col) for x in r.m or []] == want
 
 
 def test_positions(spark):
-    files = spark.createDataFrame([(1, "javascript", "document.write(name)\n  Math.random()")], "i int, l string, t string")
-    got = {(r.rule_id, r.line, r.col) for r in match.scan(files, rules.BUILT_IN, "i", "t", "l").collect()}
+    code = spark.createDataFrame([(1, "javascript", "document.write(name)\n  Math.random()")], "i int, l string, t string")
+    got = {(r.rule_id, r.line, r.col) for r in match.scan(code, rules.BUILT_IN, "i", "t", "l").collect()}
     assert got == {("SEC002", 1, 0), ("SEC009", 2, 2), ("SEC012", 2, 2)}
+    empty = spark.createDataFrame([(1, "javascript", None), (2, None, "document.write(x)"), (3, "javascript", "")], "i int, l string, t string")
+    assert match.scan(empty, rules.BUILT_IN, "i", "t", "l").collect() == []
 
 
-def test_samples(spark):
-    got = {(r.sample_id, r.rule_id) for r in engine.builtin_rules_all(spark, None).collect()}
-    assert {("s01", "SEC001"), ("s02", "SEC002"), ("s03", "SEC003"), ("s05", "SEC005"), ("s06", "SEC006"), ("s09", "SEC009"), ("s11", "SEC011"), ("s12", "SEC012"), ("s15", "SEC015")} <= got
-    assert not {s for s, _ in got} & {"n01", "n02"}
-
-
-def test_infra(spark):
-    got = {(r.path, r.rule_id, r.line) for r in engine.infra_findings(spark, None).collect()}
-    assert {("a/Dockerfile", "IAC-D1", 1), ("a/Dockerfile", "IAC-D2", 5), ("a/Dockerfile", "IAC-D11", 1), ("b/Dockerfile", "IAC-D11", 1), ("d/main.tf", "IAC-terraform-7", 3), ("c/docker-compose.yml", "IAC-docker-compose-5", 6)} <= got
-    assert any(p == "e/pod.yaml" and r == "IAC-kubernetes-1" for p, r, _ in got)
+def test_user_of_container_files(spark):
+    cases = {"FROM a\nUSER rootless": None, "FROM a\nUSER root": 1, "# x\nFROM a": 2, "": 1, "user Root \nFROM b": 2, "USER\n  me": None}
+    df = spark.createDataFrame([(k, k) for k in cases], "path string, content string")
+    assert {r.path: r.line for r in match.missing_user(df).collect()} == {k: v for k, v in cases.items() if v}
 
 
 def test_snippet(spark):
@@ -65,18 +78,49 @@ def test_snippet(spark):
 def test_breaker():
     b = state.Breaker(failures=3, window=10, wait=5, successes=2)
     assert [b(t, ok) for t, ok in ((0, False), (1, False), (2, True), (3, False), (4, False), (5, False), (7, True), (11, True), (12, True))] == ["closed", "closed", "closed", "closed", "closed", "open", "open", "half-open", "closed"]
+    # a failure exactly one window old does not count
+    b = state.Breaker(failures=2, window=10, wait=5)
+    assert [b(0, False), b(10, False), b(19, False)] == ["closed", "closed", "open"]
+    # a failure while half-open opens again
+    assert [b(24, False), b(28, True), b(29, True), b(30, True)] == ["open", "open", "half-open", "closed"]
 
 
-def test_unknown_severity(spark):
-    df = spark.createDataFrame([("odd",), ("info",)], "s string").select(severity.rank(F.col("s")).alias("r"))
-    assert [r.r for r in df.collect()] == [-1, 4]
+def test_alarm():
+    a = state.Alarm(60, 80)
+    assert [a(t, 90) for t in (0, 61, 122)] == ["critical"] * 3
+    a = state.Alarm(60, 80)
+    assert [a(0, 90), a(61, 10), a(70, 90), a(80, 10), a(131, 70)] == ["critical", "resolved", "critical", None, "warning"]
+    low = state.Alarm(0.5, 0.3, op="lt")
+    assert [low(0, 0.4), low(60, 0.2), low(120, 0.9)] == ["warning", "critical", "resolved"]
+
 
+def streamed(spark, df, tmp_path, name, apply, batches=3):
+    """The result over several micro-batches, files in the order of time."""
+    path = str(tmp_path / name)
+    for i, part in enumerate(df):
+        part.coalesce(1).write.parquet(f"{path}/{i}")
+    stream = spark.readStream.schema(df[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+    q = apply(stream).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return {tuple(r) for r in spark.table(name).collect()}
 
-def test_unsupported_report(spark):
-    import pytest
 
-    with pytest.raises(ValueError, match="Unsupported report format"):
-        reports.write(spark.createDataFrame([], "a int"), "checkstyle", "/nowhere")
+def test_state_on_streams_equals_batch(spark, tmp_path):
+    rng = random.Random(3)
+    calls = [(i % 3, i, float(i * 5), rng.random() > 0.6) for i in range(240)]
+    schema = "endpoint long, seq long, at double, ok boolean"
+    parts = [spark.createDataFrame(calls[i : i + 80], schema) for i in range(0, 240, 80)]
+    run = lambda df: state.circuit_breaker(df, failures=3, window=60, wait=30)
+    assert streamed(spark, parts, tmp_path, "calls", run) == {tuple(r) for r in run(spark.createDataFrame(calls, schema)).collect()}
+    values = [(f"m{i % 2}", float(i * 20), rng.choice([10.0, 70.0, 95.0])) for i in range(120)]
+    schema = "metric string, at double, value double"
+    parts = [spark.createDataFrame(values[i : i + 40], schema) for i in range(0, 120, 40)]
+    run = lambda df: state.alerts(df, 60, 80)
+    assert streamed(spark, parts, tmp_path, "alarms", run) == {tuple(r) for r in run(spark.createDataFrame(values, schema)).collect()}
+    versions = [(f"u{i % 4}", i, rng.choice("ab")) for i in range(60)]
+    schema = "uri string, version long, content string"
+    parts = [spark.createDataFrame(versions[i : i + 20], schema) for i in range(0, 60, 20)]
+    assert streamed(spark, parts, tmp_path, "versions", state.document_changes) == {tuple(r) for r in state.document_changes(spark.createDataFrame(versions, schema)).collect()}
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
@@ -88,6 +132,165 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert {tuple(r) for r in spark.table("rates").collect()} == batch
 
 
+def test_delivery(spark, tmp_path):
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(["low", "critical", "high", "critical", "info"])], "seq long, severity string")
+    got = delivery.prioritized(rows, severity.rank(F.col("severity")), ["seq"], 2).orderBy("delivery", "seq").collect()
+    assert [(r.seq, r.delivery) for r in got] == [(1, 0), (3, 0), (0, 1), (2, 1), (4, 2)]
+    seen = []
+
+    def bad(df, i):
+        raise RuntimeError("sink is gone")
+
+    fan = delivery.FanOut({"bad": bad, "good": lambda df, i: seen.extend(df.collect()), "files": delivery.append_to(str(tmp_path / "out"))})
+    rows.write.parquet(str(tmp_path / "in"))
+    spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(fan).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 5 and [e[0] for e in fan.errors] == ["bad"] and spark.read.parquet(str(tmp_path / "out")).count() == 5
+    told = []
+    delivery.prioritized_batches(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), severity.rank(F.col("severity")), lambda df, i: told.append([r.severity for r in df.collect()])).trigger(availableNow=True).start().awaitTermination()
+    assert told == [["critical", "critical", "high", "low", "info"]]
+    assert json.loads(delivery.lines(rows, "issue").first().value) == {"type": "issue", "payload": {"seq": 0, "severity": "low"}}
+
+
+def test_messages(spark, tmp_path):
+    said = delivery.Messages()
+    spark.streams.addListener(said)
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("noop").trigger(availableNow=True).start().awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    spark.streams.removeListener(said)
+    kinds = [m["type"] for m in said.messages]
+    assert kinds[0] == "started" and kinds[-1] == "completed" and "progress" in kinds
+    assert [m["sequence"] for m in said.messages] == list(range(1, len(kinds) + 1))
+
+
+def test_reports_are_documents(spark, tmp_path):
+    rows = [(2, "R1", "critical", 'a "b"', "x.py", 3, ["CWE-1"]), (1, "R2", "odd", "m", "y.py", 1, None), (3, "R1", None, None, None, None, [])]
+    f = spark.createDataFrame(rows, "seq long, rule_id string, severity string, message string, file string, line long, cwe array<string>")
+    for form in reports.FORMATS:
+        path = str(tmp_path / form)
+        reports.write(f, form, path)
+        whole = "\n".join(r.value for r in sorted(spark.read.text(path).select("value", "_metadata.file_path").collect(), key=lambda r: r.file_path))
+        assert whole
+        if form in ("json", "codeclimate", "sarif"):
+            got = json.loads(whole)
+            items = got if form == "codeclimate" else got["issues"] if form == "json" else got["runs"][0]["results"]
+            assert len(items) == 3
+        if form == "csv":
+            assert whole.splitlines()[1:3] == [",R2,R2,odd,unknown,m,y.py,1,0,0.7,,,No", ',R1,R1,critical,unknown,"a ""b""",x.py,3,0,0.7,CWE-1,,No']
+    for form in ("checkstyle", "sonarqube"):
+        with pytest.raises(ValueError, match="Unsupported report format"):
+            reports.write(f, form, "/nowhere")
+    assert reports.document(f.limit(0), "junit").count() == 2
+
+
+def test_locations(spark):
+    schema = "message string, line int, column int, location struct<startLine:int,endLine:int,startColumn:int,endColumn:int>"
+    df = spark.createDataFrame([("a", None, None, (5, 7, 10, 20)), ("b", 10, 5, None), ("c", None, None, None), ("", 1, 1, None)], schema)
+    got = [tuple(r.range) for r in normalize.diagnostics(df.drop("x")).select("range").collect()]
+    assert got[:3] == [(4, 10, 6, 20), (9, 5, 9, 105), (0, 0, 0, 100)]
+    assert normalize.with_message(df).count() == 3
+    with pytest.raises(Exception, match="line is missing"):
+        normalize.require(df, {"line": "int"}).collect()
+
+
+def test_unknown_severity(spark):
+    df = spark.createDataFrame([("odd",), ("info",)], "s string").select(severity.rank(F.col("s")).alias("r"))
+    assert [r.r for r in df.collect()] == [-1, 4]
+
+
+def test_cache_keeps_what_was_used_last(spark):
+    keys = [(f"key{i}", i, f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}") for i in range(1001)]
+    keys[0] = ("key0", 0, "2024-01-01 01:00:00")
+    e = spark.createDataFrame(keys, "key string, seq int, at string").withColumn("accessed_at", F.to_timestamp("at"))
+    kept = {r.key for r in cache.over_count(e, 1000).collect()}
+    assert "key0" in kept and "key1" not in kept and len(kept) == 1000
+    looked = spark.createDataFrame([("hit",), ("hit",), ("miss",)], "result string")
+    assert tuple(cache.hit_rates(looked).first()) == (2, 1, 0.666667)
+    assert cache.hit_rates(looked.limit(0), "result").collect() == []
+
+
+def test_scopes_and_changes():
+    code = "class A {\n  go() {\n  }\n}\nfunction one() { return 1 }\nconst f = () => {\n"
+    assert [s[:4] for s in incremental.find_scopes(code, "javascript")] == [("class", "A", 0, 3), ("function", "one", 4, 4), ("function", "f", 5, 6)]
+    assert [s[:4] for s in incremental.find_scopes("", "go")] == [("file", "module", 0, 0)]
+    assert [s[:4] for s in incremental.find_scopes("def a():\n  x\ny = 1", "python")] == [("function", "a", 0, 1)]
+    assert [s[:4] for s in incremental.find_scopes("def a():\n  x\ny = 1", "python", compat=True)] == [("function", "a", 0, 0)]
+    assert incremental.line_changes("a\nb\nc", "a\nx\nc") == [("replace", 1, 1, "x", "b")]
+    assert incremental.line_changes("a\nc", "a\nb1\nb2\nc") == [("insert", 1, 2, "b1\nb2", None)]
+    assert incremental.line_changes("a\nb\nc", "a\nc") == [("delete", 1, 1, "", "b")]
+    rng = random.Random(2)
+    for _ in range(80):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(1, 9))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        kept = incremental.common_lines(a, b)
+        assert len(kept) == best[-1][-1]
+        assert not incremental.line_changes("\n".join(a), "\n".join(a))
+
+
+def test_joins_with_nulls(spark):
+    a = spark.createDataFrame([(1, None), (2, "x"), (2, "x")], "k int, v string")
+    assert joins.resolved(a, a).collect() == []
+    assert sorted(r.k for r in joins.resolved(a, a.filter("k = 1")).collect()) == [2, 2]
+    assert windows.sliding_rate(spark.createDataFrame([], "k int, ts timestamp"), "k", "ts", 60).collect() == []
+
+
+def test_sliding_rate_across_stretches(spark):
+    rng = random.Random(1)
+    rows = [(rng.randint(0, 2), rng.randint(0, 20_000), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, s int, i int").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.i: r.rate for r in windows.sliding_rate(df, "k", "ts", 60, 3).collect()}
+    want = {i: round(sum(k2 == k and s - 60 <= s2 <= s for k2, s2, _ in rows) / 60, 9) for k, s, i in rows}
+    assert got == want
+
+
+def test_file_scans(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "node_modules").mkdir()
+    for name, body in (("src/a.py", "x"), ("src/b.md", "x"), ("node_modules/c.js", "x"), ("src/d.js", "long" * 9), ("main.tf", "x"), ("go.mod", "m")):
+        (tmp_path / name).write_text(body)
+    tree = files.read_tree(spark, str(tmp_path))
+    names = lambda df: sorted(r.path.rsplit("/", 1)[1] for r in df.collect())
+    assert names(files.project(tree, 10, 20)) == ["a.py"]
+    assert names(files.infra(tree, "terraform")) == ["main.tf"]
+    assert names(files.manifests(tree)) == ["go.mod"]
+
+
+def test_own_code(spark):
+    r = extension.Registry()
+    assert r.plugin("a", "rule") and not r.plugin("a", "rule") and not r.plugin("b", "odd")
+    assert r.enabled() == ["a"] and r.switch("a", False) and r.enabled("rule") == [] and not r.switch("z", True)
+    with pytest.raises(KeyError):
+        r.execute("none", spark.range(1), "id long")
+    took, waits = [], []
+
+    @extension.timed(lambda name, ms, ok: took.append((name, ok)))
+    @extension.retried(3, sleep=waits.append)
+    def flaky(left=[2]):
+        if left[0]:
+            left[0] -= 1
+            raise OSError("request timeout")
+        return 7
+
+    assert flaky() == 7 and waits == [1, 2] and took == [("flaky", True)]
+
+    @extension.retried(3, sleep=waits.append)
+    def wrong():
+        raise ValueError("401 unauthorized")
+
+    with pytest.raises(ValueError):
+        wrong()
+
+
+def test_settings_defaults_are_valid(spark):
+    d = settings_op.defaults(spark, "p")
+    assert settings_op.validate(d).filter("kind = 'error'").collect() == []
+    assert [r.key for r in settings_op.validate(settings_op.migrate(d, "1.2")).collect()] == []
+    assert settings_op.validate(d.limit(0)).collect() == []
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
