@@ -138,27 +138,28 @@ def alerts(snapshots: DataFrame, warn: float, critical: float, cooldown: float =
 class Documents:
     """The last hash of a document: whether a version is new, changed or as before."""
 
-    STATE = "hash string, version long"
+    STATE = "hash string"
 
     def __init__(self):
-        self.hash, self.version = None, -1
+        self.hash = None
 
     def dump(self) -> tuple:
-        return self.hash, self.version
+        return (self.hash,)
 
     def load(self, state: tuple) -> Documents:
-        self.hash, self.version = state
+        (self.hash,) = state
         return self
 
-    def __call__(self, version: int, digest: str) -> str:
+    def __call__(self, digest: str | None) -> str:
+        digest = digest or ""  # a version without content is one like any other
         kind = "new" if self.hash is None else "same" if digest == self.hash else "changed"
-        self.hash, self.version = digest, int(version)
+        self.hash = digest
         return kind
 
 
 def _versioned(step: Documents, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("version")
-    return pdf.assign(change=[step(v, h) for v, h in zip(pdf["version"], pdf["hash"])])[["uri", "version", "hash", "change"]]
+    return pdf.assign(version=pdf["version"].astype("Int64"), change=[step(h if isinstance(h, str) else None) for h in pdf["hash"]])[["uri", "version", "hash", "change"]]
 
 
 def document_changes(versions: DataFrame) -> DataFrame:
