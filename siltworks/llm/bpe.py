@@ -31,7 +31,11 @@ from siltworks.llm.common import arrow_map
 WIDTH = 16
 NONE = np.int32(2**31 - 1)
 #: Chunks kept by a task; a chunk is one space-separated stretch of text.
-KEEP = 800_000
+KEEP = 250_000
+#: Chunks that are encoded at once.
+PORTION = 20_000
+#: Text bytes of a slice.
+SLICE = 4 << 20
 
 
 @cache
@@ -185,11 +189,16 @@ class Encoder:
             out.update(zip(part, encode_many(part, self.path)))
         return out
 
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        """Each chunk by the pattern's matches, each match by its own tree; ids as 32-bit integers in bytes."""
-        split = [[p.encode() for p in self.find(c)] for c in chunks]
-        done = self._pieces(list(set(chain.from_iterable(split))))
-        return [b"".join(map(done.__getitem__, ps)) for ps in split]
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each chunk by the pattern's matches, each match by its own tree: all ids, and how many each chunk has."""
+        ids, size = [np.zeros(0, "<u4")], []
+        for at in range(0, len(chunks), PORTION):
+            split = [[p.encode() for p in self.find(c)] for c in chunks[at : at + PORTION]]
+            done = self._pieces(list(set(chain.from_iterable(split))))
+            each = [b"".join(map(done.__getitem__, ps)) for ps in split]
+            ids.append(np.frombuffer(b"".join(each), "<u4"))
+            size += [len(x) // 4 for x in each]
+        return np.concatenate(ids), np.array(size, np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.table.__getitem__, ids.tolist()))
@@ -211,17 +220,17 @@ def encode_decode(docs: DataFrame, ranks: str | None = None, pattern: str | None
     def make():
         path, pat = _rank_path()
         enc = Encoder(ranks or path, pattern or pat)
-        column = ChunkEncoder(enc.encode, KEEP)
+        column = ChunkEncoder(enc.encode, keep=KEEP)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, cuts = column(batch.column("text"))
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32, copy=False)))
             decoded = [enc.decode(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
         return step
 
-    return arrow_map(_rows(docs, id_col, text_col), make, "doc_id long, ids array<int>, decoded binary", rows=4096)
+    return arrow_map(_rows(docs, id_col, text_col), make, "doc_id long, ids array<int>, decoded binary", rows=4096, most=SLICE)
 
 
 def digests(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +239,7 @@ def digests(docs: DataFrame, ranks: str | None = None, pattern: str | None = Non
     def make():
         path, pat = _rank_path()
         enc = Encoder(ranks or path, pattern or pat)
-        column = ChunkEncoder(enc.encode, KEEP)
+        column = ChunkEncoder(enc.encode, keep=KEEP)
         number = [str(i) for i in range(len(enc.table))].__getitem__
         sha = lambda b: hashlib.sha256(b).hexdigest()
 
@@ -249,4 +258,4 @@ def digests(docs: DataFrame, ranks: str | None = None, pattern: str | None = Non
 
         return step
 
-    return arrow_map(_rows(docs, id_col, text_col), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows=4096)
+    return arrow_map(_rows(docs, id_col, text_col), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows=4096, most=SLICE)

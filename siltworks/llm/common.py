@@ -17,8 +17,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.session import ship
@@ -42,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = _OWN.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='siltworks-')}")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -82,6 +86,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table does not have, in any case."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def as_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """A string column as UTF-8 bytes, null as empty. No text is decoded."""
     col = batch.column(name)
@@ -89,12 +101,52 @@ def as_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in col.cast(pa.large_binary() if wide else pa.binary()).to_pylist()]
 
 
+#: Text bytes of a slice, beyond which it has one row.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batch: pa.RecordBatch, rows: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into slices of at most ``rows`` rows and ``most`` bytes of text; a longer text has its own slice."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for col in batch.columns:
+        kind = col.type
+        if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+            size += pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, side="right"))), batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def released(run: Callable) -> Callable:
+    """A task function after which the worker, which Spark uses again, gives its free memory back to the system."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+        import gc
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
+
+
 def arrow_map(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]]], schema: str, rows: int = 512
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]]], schema: str, rows: int = 512, most: int = SLICE_BYTES
 ) -> DataFrame:
     """``mapInArrow`` with state for each task: ``make()`` runs once a task and gives the batch function.
 
-    Batches are cut to ``rows`` rows so that memory is bounded by a slice of texts, not by Spark's batch.
+    Batches are cut to ``rows`` rows and ``most`` bytes of text, so what a step holds is bounded by those, or by
+    one text where that is longer; what Spark hands over at once is bounded by its own batch settings.
     """
 
     ship(df.sparkSession)
@@ -103,13 +155,20 @@ def arrow_map(
         step = None
         for batch in batches:
             step = step or make()
-            for at in range(0, batch.num_rows, rows):
-                out = step(batch.slice(at, rows))
+            for part in slices(batch, rows, most):
+                out = step(part)
                 yield from out if isinstance(out, list) else [out]
         if step is not None and hasattr(step, "finish"):
             yield from step.finish()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
+
+
+def smallest(df: DataFrame, keys: list[str], order: str, n: int, buckets: int = 64) -> DataFrame:
+    """The ``n`` rows of each key with the smallest ``order`` (a hash), in two steps, so that no task ranks all rows of a key."""
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    some = df.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(buckets))).withColumn("_r", rank(*keys, "_b")).filter(F.col("_r") <= n).drop("_r", "_b")
+    return some.withColumn("_r", rank(*keys)).filter(F.col("_r") <= n).drop("_r")
 
 
 def remainder(col: str, mod: int):

@@ -12,11 +12,11 @@ Spark's own writer in the shared folder (one row a block: part, block, data), so
 executor opens a path by itself. The reader checks the dictionary's hash in each block.
 
 Edge cases: null text has only the end id; null doc_id sorts first; repeated ids keep all their rows, in
-the order of their texts' checksums; an empty table writes no block; a text of any length is one frame.
+the order of their texts' hashes (equal texts are alike); an empty table writes no block; a text of any length is one frame.
 
-Scale: one range exchange of the texts by id. The dictionary is trained on at most ``TRAIN_DOCS``
-whole documents of at most ``TRAIN_CHARS`` characters each (a model parameter: it changes sizes, never results); all
-documents are encoded and written. Totals for ``start`` are one row for each part.
+Scale: one range exchange of the texts by id and text hash. The dictionary is trained on at most ``TRAIN_DOCS``
+whole documents of at most ``TRAIN_CHARS`` characters each, among those with the smallest hashes of the id (a model
+parameter: it changes sizes, never results); all documents are encoded and written, slices bounded by bytes. Totals for ``start`` are one row for each part.
 """
 
 from __future__ import annotations
@@ -24,16 +24,16 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltworks.llm.chunks import ChunkEncoder
+from siltworks.llm.chunks import ChunkEncoder, Encode, JoinedEncoder
 from siltworks.session import ship
-from siltworks.llm.common import new_path
+from siltworks.llm.common import new_path, released, slices
 
 MAGIC = b"SWIDS1\0\0"
 END = 0
@@ -42,12 +42,18 @@ DICT_BYTES = 64 << 10
 TRAIN_DOCS = 512
 TRAIN_CHARS = 16_384
 LEVEL = 1
+#: Rows and text bytes of a slice; the larger, the fewer words are encoded again.
+SLICE_ROWS, SLICE = 65_536, 32 << 20
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "<u8"), ("offset", "<u8"), ("length", "<u8"), ("n", "<u8")])
 HEAD = "<8s32sQQ"
 
 
-def tokenizer_encode(path: str | None = None):
-    """Chunks of text to ids by the tokenizers library, without special tokens."""
+def tokenizer_encoder(path: str | None = None, special_as_text: bool = False) -> tuple[Encode, Callable]:
+    """Texts to ids, and a column of texts to ids, by the tokenizers library with ``add_special_tokens=False``.
+
+    The string of a special token in a text gives its id, as the library does by default; with
+    ``special_as_text`` it is text like any other.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,16 +64,28 @@ def tokenizer_encode(path: str | None = None):
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    tok.encode_special_tokens = special_as_text
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(each) if each else np.zeros(0, np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
+    feed = encode(["\n"])[0]
+    if len(feed) != 1:
+        return encode, ChunkEncoder(encode)
+    return encode, JoinedEncoder(encode, int(feed[0]), [t.content for t in tok.get_added_tokens_decoder().values()])
 
 
 def train_dictionary(docs: DataFrame, path: str | None = None) -> bytes:
     """A shared dictionary from the id arrays of a bounded sample; empty where there is too little to learn."""
     import zstandard
 
-    rows = docs.filter(F.length("text").between(1, TRAIN_CHARS)).select("text").limit(TRAIN_DOCS).collect()
-    samples = tokenizer_encode(path)([r[0] for r in rows])
+    least = [r[0] for r in docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).collect()]
+    chosen = docs.filter(F.col("doc_id").isin(*[x for x in least if x is not None]) & F.length("text").between(1, TRAIN_CHARS))
+    rows = chosen.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # TRAIN_DOCS rows
+    ids, size = tokenizer_encoder(path)[0]([r.text for r in rows])
+    ends = np.cumsum(size).tolist()
+    samples = [ids[a:b].astype("<u4").tobytes() for a, b in zip([0, *ends], ends)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -86,7 +104,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id_col:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        column = ChunkEncoder(tokenizer_encode(tokenizer))
+        column = tokenizer_encoder(tokenizer)[1]
         made = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(held.value) if held.value else None)
         sha = hashlib.sha256(held.value).digest()
         part, number, before, total = 0, 0, 0, 0
@@ -105,8 +123,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id_col:
             return out
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                b = whole.slice(at, 4096)
+            for b in slices(whole, SLICE_ROWS, SLICE):
                 part = b.column("part")[0].as_py()
                 ids, cuts = column(b.column("text"))
                 for doc, lo, hi in zip(b.column("doc_id").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -120,9 +137,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id_col:
         if entries:
             yield block()
 
-    key = ["doc_id", "text"]
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(*key).withColumn("part", F.spark_partition_id())
-    ordered.mapInArrow(pack, "part int, block long, n_ids long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    key = ["doc_id", "th", "text"]
+    parts = max(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)  # as large as those of the input
+    # the hash parts the rows of one id; the sort inside a part compares ids and hashes first
+    ordered = rows.withColumn("th", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "th").sortWithinPartitions(*key)
+    ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
+    ordered.mapInArrow(released(pack), "part int, block long, n_ids long, data binary").write.options(**{"compression": "none", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}).parquet(f"{path}/blocks")
 
 
 def open_block(data: bytes, dictionary: bytes):
@@ -165,7 +185,7 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                 )
 
     last = "ids_crc32 long" if digest else "ids array<long>"
-    return placed.mapInArrow(unpack, f"doc_id long, start long, n_tokens long, {last}")
+    return placed.mapInArrow(released(unpack), f"doc_id long, start long, n_tokens long, {last}")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

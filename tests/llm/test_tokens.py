@@ -1,6 +1,7 @@
 """Operators 3 and 9 against the libraries."""
 
 import hashlib
+import random
 import zlib
 
 import public_tokenizers as P
@@ -27,7 +28,7 @@ def tik():
 @pytest.fixture(scope="module")
 def column():
     enc = bpe.Encoder(PATH, P.PATTERN)
-    return ChunkEncoder(enc.encode)
+    return ChunkEncoder(enc.encode, keep=50)
 
 
 AWKWARD = ["", " ", "  ", "a  b\n\n c\t d   ", " x", "x ", "\n", "\nx", "a\n b", "a \nb", "é" * 300, "!" * 3000, "ab" * 500, "don't  we'll 'S 12345  x",
@@ -49,6 +50,20 @@ def test_any_text(tik, column, texts):
     assert one_by_one(column, texts) == [tik.encode_ordinary(t) for t in texts]
 
 
+@pytest.mark.parametrize("as_text", [False, True])
+def test_joined_chunks_and_special_strings(as_text):
+    """The library's own ids for whole texts, the special token's string at any place included."""
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = as_text
+    column = idstore.tokenizer_encoder(special_as_text=as_text)[1]
+    rng = random.Random(5)
+    parts = ["a", "word", " ", " ", "\n", "<|endoftext|>", "<|endoftext|", "don't", "12", ".%%%", "\t", "é", "\x1c", "  ", "日本"]
+    texts = [*AWKWARD, *("".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(1500))]
+    for at in range(0, len(texts), 97):
+        some = texts[at : at + 97]
+        assert one_by_one(column, some) == [tok.encode(t, add_special_tokens=False).ids for t in some]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(min_size=1, max_size=200))
 def test_segment_tree(tik, piece):
