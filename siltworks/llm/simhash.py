@@ -29,6 +29,7 @@ smallest id of a component unless all are null; an empty table gives an empty re
 
 from __future__ import annotations
 
+import math
 from functools import cache
 
 import numpy as np
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import arrow_map, as_bytes, written
+from siltworks.llm.common import arrow_map, as_bytes, fresh, written
 
 SHINGLE = 3
 SEED = 42
@@ -48,6 +49,8 @@ BLOCK = 23
 ORDER_SETS, ORDER_LIMIT = 5_000, 100_000
 #: Buckets of a set's sketch, a power of two; they bound a pair's overlap from above before whole sets are compared.
 SKETCH = 256
+#: Rounds of ``similar`` in which each set is compared with one other of its shingle only.
+STARS = 1
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 RADIUS = 3
@@ -229,55 +232,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _flat_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all sets of a batch, and how many each has."""
-    raw = batch.column("shingles").to_pylist()
+    raw = [x or b"" for x in batch.column("shingles").to_pylist()]
     return np.frombuffer(b"".join(raw), "<i8"), np.array([len(x) // 8 for x in raw], np.int64)
 
 
-def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id (smallest doc_id reachable over pairs with a Jaccard similarity of ``similarity`` or more)."""
-    spark = docs.sparkSession
+def _node(hashes: np.ndarray) -> int:
+    """Names a set."""
+    return xxhash.xxh64_intdigest(hashes.astype("<i8").tobytes(), SEED) - (1 << 63)
 
-    def sets():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            raw = [shingle_set(t, shingle).astype("<i8").tobytes() for t in as_bytes(batch)]
-            node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], np.uint64).astype(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node), pa.array(raw, pa.binary())], ["doc_id", "node", "shingles"])
 
-        return step
+def _common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """The shingles that several of about ``ORDER_SETS`` texts have, at most ``ORDER_LIMIT`` of them, sorted."""
 
     def each():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(_flat_sets(batch)[0])], ["shingle"])
+            sets = [shingle_set(t, shingle) for t in as_bytes(batch)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], ["shingle"])
 
         return step
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(arrow_map(rows, sets, "doc_id long, node long, shingles binary", rows=512), "sets")
-    some = rows.filter(F.pmod("node", F.lit(max(1, rows.count() // ORDER_SETS))) == 0).dropDuplicates(["node"])
-    common = arrow_map(some.select("shingles"), each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") > 3)
-    last = spark.sparkContext.broadcast(np.sort(np.array([r.shingle for r in common.orderBy(F.desc("n"), "shingle").limit(ORDER_LIMIT).collect()], np.int64)))
+    some = texts.filter(F.pmod("th", F.lit(max(1, texts.count() // ORDER_SETS))) == 0).dropDuplicates(["th"])
+    common = arrow_map(some.select("text"), each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") > 3)
+    return np.sort(np.array([r.shingle for r in common.orderBy(F.desc("n"), "shingle").limit(ORDER_LIMIT).collect()], np.int64))
+
+
+def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id (smallest doc_id reachable over pairs with a Jaccard similarity of ``similarity`` or more),
+    th (xxhash64 of the text) and root, which names the component also where all its ids are null."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    last = spark.sparkContext.broadcast(_common_shingles(texts, shingle))  # at most ORDER_LIMIT hashes
 
     def prefixes():
         late = last.value
+        done: set[int] = set()  # of a task: equal sets are spread once; beyond the bound some again, which costs rows only
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            flat, size = _flat_sets(batch)
-            hot = np.zeros(len(flat), bool)
-            if len(late):
-                hot = late[np.minimum(np.searchsorted(late, flat), len(late) - 1)] == flat
-            owner = np.repeat(np.arange(len(size)), size)
-            buckets = np.bincount(owner * SKETCH + (flat & (SKETCH - 1)), minlength=len(size) * SKETCH).astype("<u4").reshape(-1, SKETCH)
-            flat = flat[np.lexsort((hot, owner))]  # stable: by hash inside both kinds
-            cuts = np.cumsum(size) - size
-            first = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+            nodes, sizes, heads, sketches = [], [], [], []
+            for t in as_bytes(batch):
+                hashes = shingle_set(t, shingle)
+                node, n = _node(hashes), len(hashes)
+                nodes.append(node)
+                sizes.append(n)
+                if node in done:
+                    heads.append(None)
+                    sketches.append(None)
+                    continue
+                if len(done) >= 1 << 20:
+                    done.clear()
+                done.add(node)
+                first = n - math.ceil(similarity * n - 1e-9) + 1
+                if len(late):
+                    hot = late[np.minimum(np.searchsorted(late, hashes), len(late) - 1)] == hashes
+                    ordered = np.concatenate([hashes[~hot], hashes[hot]])  # by hash inside both kinds
+                else:
+                    ordered = hashes
+                heads.append(ordered[:first].astype("<i8").tobytes())
+                sketches.append(np.bincount(hashes & (SKETCH - 1), minlength=SKETCH).astype("<u4").tobytes())
             return pa.RecordBatch.from_arrays(
                 [
-                    batch.column("node"),
-                    pa.array(size),
-                    pa.array([flat[i : i + n].tobytes() for i, n in zip(cuts.tolist(), first.tolist())], pa.binary()),
-                    pa.array([x.tobytes() for x in buckets], pa.binary()),
+                    batch.column("doc_id"),
+                    batch.column("th"),
+                    pa.array(nodes, pa.int64()),
+                    pa.array(sizes, pa.int32()),
+                    pa.array(heads, pa.binary()),
+                    pa.array(sketches, pa.binary()),
                 ],
-                ["node", "size", "shingles", "sketch"],
+                ["doc_id", "th", "node", "size", "shingles", "sketch"],
             )
 
         return step
@@ -288,15 +309,17 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
             owner = np.repeat(np.arange(len(n)), n)
             at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
             node, size = (batch.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("node", "size"))
-            return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node), pa.array(at), pa.array(size)], ["shingle", "node", "at", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node), pa.array(at.astype(np.int32)), pa.array(size)], ["shingle", "node", "at", "size"])
 
         return step
 
-    heads = arrow_map(rows.select("node", "shingles"), prefixes, "node long, size long, shingles binary, sketch binary", rows=512)
-    heads = written(heads.dropDuplicates(["node"]), "heads")  # equal sets once
-    spread = arrow_map(heads.select("node", "size", "shingles"), spreading, "shingle long, node long, at long, size long", rows=512)
-    spread = spread.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).filter("n > 1").drop("n")
-    spread = written(spread, "shared")
+    rows = written(arrow_map(texts, prefixes, "doc_id long, th long, node long, size int, shingles binary, sketch binary", rows=512), "heads")
+    heads = rows.filter(F.col("shingles").isNotNull())
+    spread = arrow_map(heads.select("node", "size", "shingles"), spreading, "shingle long, node long, at int, size int", rows=512)
+    # one exchange by shingle serves the removal of equal sets and the count
+    spread = spread.repartition("shingle").dropDuplicates(["shingle", "node"])
+    spread = written(spread.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).filter("n > 1").drop("n"), "shared")
+
     def bound():
         """The overlap is at most the sum of the lesser counts of each bucket."""
 
@@ -308,9 +331,12 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
 
         return step
 
-    def sides(pairs: DataFrame, what: DataFrame, column: str) -> DataFrame:
-        x, y = (what.select(F.col("node").alias(end), F.col(column).alias(c)) for end, c in (("a", "x"), ("b", "y")))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    def sets():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            each = [shingle_set(t, shingle) for t in as_bytes(batch)]
+            return pa.RecordBatch.from_arrays([pa.array([_node(x) for x in each], pa.int64()), pa.array([x.astype("<i8").tobytes() for x in each], pa.binary())], ["node", "shingles"])
+
+        return step
 
     def compare():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -323,10 +349,21 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
 
         return step
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+    def sides(pairs: DataFrame, what: DataFrame, column: str) -> DataFrame:
+        x, y = (what.select(F.col("node").alias(end), F.col(column).alias(c)) for end, c in (("a", "x"), ("b", "y")))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(arrow_map(sides(written(pairs, "pairs"), heads, "sketch"), bound, "a long, b long", rows=512), "bounded")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        of = written(rows.select("node", "shingles").join(ends, "node", "left_semi").dropDuplicates(["node"]), "ends")
+        """The pairs that are similar: by their sketches first, then by their whole sets, taken from the texts anew."""
+        pairs = written(pairs, "pairs")
+        of = heads.select("node", "sketch").join(ends(pairs), "node", "left_semi").dropDuplicates(["node"])
+        pairs = written(arrow_map(sides(pairs, of, "sketch"), bound, "a long, b long", rows=512), "bounded")
+        wanted = written(rows.join(ends(pairs), "node", "left_semi").groupBy("node").agg(F.min("th").alias("th")), "wanted")
+        some = texts.join(wanted.select("th"), "th", "left_semi").dropDuplicates(["th"]).select("text")
+        of = written(arrow_map(some, sets, "node long, shingles binary", rows=256).dropDuplicates(["node"]), "ends")
         return written(arrow_map(sides(pairs, of, "shingles"), compare, "a long, b long", rows=512), "links")
 
     fits = (
@@ -334,20 +371,39 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
         # the first shared shingle of a pair leaves room for the overlap that the similarity asks for
         & (F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6)
     )
-    # first each set with the least one of its shingle, so that a large group of near copies is linked by few
-    # pairs; then all pairs that this has left in different components
-    hub = F.min(F.struct("node", "at", "size")).over(Window.partitionBy("shingle"))
-    stars = spread.withColumn("h", hub).select(
-        *(F.col(f"h.{c}").alias(f"{c}_a") for c in ("node", "at", "size")), *(F.col(c).alias(f"{c}_b") for c in ("node", "at", "size"))
-    )
-    star_links = verified(stars.filter((F.col("node_a") < F.col("node_b")) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    linked = written(spread.join(components(star_links), "node", "left").select("shingle", "node", "at", "size", F.coalesce("root", "node").alias("root")), "linked")
+    # first each set with one of its shingle, by a different order each time, so that a large group of near copies
+    # is linked by few pairs; then all pairs that this has left in different components
+    linked, links = spread.withColumn("root", F.col("node")), None
+    for turn in range(STARS):
+        # the set with the fewest rare shingles before this one first: of near copies, the one the others stem from
+        order = F.struct("at", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "root")
+        hub = F.min(order).over(Window.partitionBy("shingle"))
+        stars = linked.withColumn("h", hub).select(*(F.col(f"h.{c}").alias(f"{c}_a") for c in ("node", "at", "size", "root")), *(F.col(c).alias(f"{c}_b") for c in ("node", "at", "size", "root")))
+        stars = stars.filter((F.col("root_a") != F.col("root_b")) & fits)
+        found = verified(stars.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+        links = found if links is None else written(links.union(found), "stars")
+        linked = written(spread.join(components(links), "node", "left").select("shingle", "node", "at", "size", F.coalesce("root", "node").alias("root")), "linked")
     a, b = (linked.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "at", "size", "root"))) for x in "ab")
     apart = (a.shingle == b.shingle) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits
     others = verified(a.join(b, apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    roots = components(star_links.union(others))
+    roots = components(links.union(others))
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least_id")).join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     nodes = written(nodes, "rooted")
     named = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_node = written(nodes.join(named, "root").select("node", "component_id"), "classes")
-    return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
+    by_node = written(nodes.join(named, "root").select("node", "root", "component_id"), "classes")
+    return rows.select("doc_id", "th", "node").join(by_node, "node").select("doc_id", "component_id", "th", "root")
+
+
+def one_of_each(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``similar``, all its columns as they were: that of the smallest id (null last),
+    then of the smallest text hash; of rows alike in both, whatever their number, one stays."""
+    classes = similar(docs, shingle, similarity, id_col, text_col)
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k")).select("k.doc_id", "k.th")
+    first = written(first, "kept")
+    doc, th, n = (fresh(docs, c) for c in ("doc", "th", "n"))
+    rows = docs.withColumn(doc, F.col(id_col).cast("long")).withColumn(th, F.xxhash64(text_col))
+    match = lambda x: rows[doc].eqNullSafe(x["doc_id"]) & (rows[th] == x["th"])
+    often = written(classes.groupBy("doc_id", "th").agg(F.count("*").alias(n)).filter(F.col(n) > 1).select("doc_id", "th").join(first, ["th"], "left_semi"), "often")
+    single = rows.join(first, match(first), "left_semi").join(often, match(often), "left_anti")
+    several = rows.join(first, match(first), "left_semi").join(often, match(often), "left_semi").dropDuplicates([doc, th])
+    return single.union(several).drop(doc, th)

@@ -143,3 +143,16 @@ def test_similar_against_all_pairs(spark, monkeypatch, sets):
 
 def test_similar_empty(spark):
     assert simhash.similar(docs(spark, []), 5, 0.8).collect() == []
+
+
+def test_one_row_of_each_group(spark):
+    """Repeated rows, null ids and columns that clash: one whole row of each group stays."""
+    text = "one two three four five six seven eight nine ten"
+    data = [(1, text, "x"), (1, text, "y"), (None, text, "z"), (None, "alone in its group here now", "u"), (None, "alone in its group here now", "v"), (2, None, "e"), (3, "", "f"), (4, "quite another text than those", "g")]
+    df = spark.createDataFrame(data, "doc_id long, text string, th string").withColumnsRenamed({"th": "doc"})
+    df = df.selectExpr("*", "doc as th", "1 as n", "2 as root", "3 as component_id", "4 as _bad", "5 as _keep")
+    got = simhash.one_of_each(df, 5, 0.8)
+    assert got.columns == df.columns
+    rows = got.collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in rows if r.doc_id is not None) == [(False, 1), (False, 2), (False, 4)]
+    assert [r.text for r in rows if r.doc_id is None] == ["alone in its group here now"]
