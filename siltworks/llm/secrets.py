@@ -5,7 +5,8 @@ length, digits, variety), what stands near it (key words, assignment signs, quot
 before and two after) and the file (whether it has key words, digit-heavy tokens, a key prefix). Weights
 maximise the conditional likelihood of sequences (forward-backward in numpy, regularised), learnt from the
 pattern spans of at most ``TRAIN_DOCS`` documents with spans and as many without (a bounded, documented
-sample, the smallest text hashes; whole texts of up to ``TRAIN_CHARS``). Viterbi decodes every whole text.
+sample, different texts with the smallest hashes; whole texts of up to ``TRAIN_CHARS``, of which the segments of
+``SEGMENT`` tokens with a key word or a digit-heavy token, and the first ones, are fitted on). Viterbi decodes every whole text.
 
 Decoding is exact but short: where "outside" beats the other tags by more than any two transitions can
 give back, every best path has "outside"; Viterbi runs over the stretches between such positions.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from bisect import bisect_left
 from itertools import filterfalse, pairwise
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import arrow_map
+from siltworks.llm.common import arrow_map, smallest
 
 KINDS = ("assign", "access", "hex", "crf")
 TRAIN_DOCS = 200
@@ -219,7 +221,7 @@ def fit(texts: list[str], l2: float = 0.05) -> Field:
     n, t = len(segments), SEGMENT
     y = np.zeros((n, t), np.int64)
     mask = np.zeros((n, t), bool)
-    rows, cols = [], []
+    rows, cols = array("q"), array("q")
     for s, (feats, lo, hi, labels, bits) in enumerate(segments):
         y[s, : hi - lo], mask[s, : hi - lo] = labels, True
         for i in range(lo, hi):
@@ -228,7 +230,7 @@ def fit(texts: list[str], l2: float = 0.05) -> Field:
             for f in fs:
                 rows.append(s * t + i - lo)
                 cols.append(names.setdefault(f, len(names)))
-    rows, cols = np.array(rows), np.array(cols)
+    rows, cols = np.frombuffer(rows, np.int64), np.frombuffer(cols, np.int64)
     w = np.zeros((len(names), 3))
     legal = move > -1e8
     gold_pairs = np.zeros((3, 3))
@@ -308,10 +310,12 @@ def learn(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS)
     """Fits on the bounded sample: documents with pattern spans, and documents without."""
     texts = docs.select(F.col(text_col).alias("text")).filter((F.length("text") > 0) & (F.length("text") <= TRAIN_CHARS))
     marked = F.col("text").rlike(r"AKIA[A-Z0-9]{14}|[0-9a-f]{16}|(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")
-    out = []
-    for part in (texts.filter(marked), texts.filter(~marked)):
-        out += [r.text for r in part.orderBy(F.xxhash64("text"), "text").limit(train_docs).collect()]
-    return fit(list(dict.fromkeys(out)))
+    # hashes first, equal texts once; then the texts of the chosen hashes
+    ranked = smallest(texts.select(marked.alias("m"), F.xxhash64("text").alias("h")).distinct(), ["m"], "h", train_docs)
+    chosen = [r.h for r in ranked.orderBy(F.desc("m"), "h").collect()]  # at most 2 * train_docs hashes
+    rows = texts.withColumn("h", F.xxhash64("text")).filter(F.col("h").isin(*chosen)).dropDuplicates(["h"]).collect()
+    text_of = {r.h: r.text for r in rows}
+    return fit([text_of[h] for h in chosen])
 
 
 def _label(found: list[tuple[int, int, str]]) -> str:
