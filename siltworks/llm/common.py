@@ -164,7 +164,7 @@ def arrow_map(
     return df.mapInArrow(released(run), schema)
 
 
-def smallest(df: DataFrame, keys: list[str], order: str, n: int, buckets: int = 64) -> DataFrame:
+def smallest(df: DataFrame, keys: list[str], order: str, n: int, buckets: int = 16) -> DataFrame:
     """The ``n`` rows of each key with the smallest ``order`` (a hash), in two steps, so that no task ranks all rows of a key."""
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(order))
     some = df.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(buckets))).withColumn("_r", rank(*keys, "_b")).filter(F.col("_r") <= n).drop("_r", "_b")

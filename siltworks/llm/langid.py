@@ -20,16 +20,18 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import arrow_map, remainder
+from siltworks.llm.common import arrow_map, remainder, smallest
 
 DOCS_PER_LANG = 300
 #: Longer labelled texts are passed over in training, not cut; they are scored whole like any other.
@@ -38,12 +40,36 @@ MIN_COUNT = 2
 NGRAM = 5
 SHARPNESS = 4.0
 UND = "und"
-#: Letters only: digits, marks and punctuation say nothing about a language.
-TOKEN = r"[^\W\d_]+"
+
+
+@cache
+def _token() -> re.Pattern:
+    """Letters only: digits, marks and punctuation say nothing about a language."""
+    return re.compile(rf"[^\W\d_{_not_letters()}]+")
+
+
+def _not_letters() -> str:
+    """The characters that count as alphanumeric, but are neither letters nor decimal digits (superscripts, fractions,
+    numerals), as ranges of a character class."""
+    out: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        x = chr(c)
+        if x.isalnum() and not x.isalpha() and not x.isdecimal():
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+_ALNUM = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return re.findall(TOKEN, text.lower())
+    low = text.lower()
+    words = _ALNUM.findall(low)
+    # rarely is there a numeral among them; the exact pattern is slower
+    return words if "".join(words).isalpha() or not words else _token().findall(low)
 
 
 def grams_of(word: str) -> Iterator[str]:
@@ -162,10 +188,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(
         (remainder("doc_id", 3) != 1) & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS)
     )
-    # ids first: the ranking moves hashes, not texts
-    order = rows.select("lang", F.xxhash64("text").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    top = order.groupBy("lang", "h").agg(F.count("*")).withColumn("r", rank).filter(F.col("r") <= docs_per_lang).select("lang", "h")
+    # hashes first, not texts; equal texts count once
+    top = smallest(rows.select("lang", F.xxhash64("text").alias("h")).distinct(), ["lang"], "h", docs_per_lang)
     picked = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(top), ["lang", "h"], "left_semi").select("lang", "text").distinct()
     return Model.fit([(r.lang, r.text) for r in picked.collect()])
 

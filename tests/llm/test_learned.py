@@ -32,6 +32,16 @@ def test_language_edges(spark):
     assert langid.identify(docs(spark, none)).first().lang_pred == "und"
 
 
+def test_letters():
+    """Numerals that are no letters say nothing; the same letters do."""
+    rows = [("en", "the word and the other word " * 9), ("de", "das wort und das andere wort " * 9)]
+    s = langid.Scorer(langid.Model.fit(rows))
+    for t in ("\u00b2 \u00bd 3", "\u2167 \u2460", "12 _ !"):
+        assert s([t]) == [("und", 0.0)]
+    assert [x[0] for x in s(["the word \u00b2", "das\u00b2wort"])] == ["en", "de"]
+    assert all(langid.words_of(c) == ([c.lower()] if c.isalpha() and c.lower().isalpha() else []) for c in map(chr, range(0x20, 0x3000)) if len(c.lower()) == 1)
+
+
 def test_backoff_takes_the_longest():
     m = langid.Model.fit([("a", "abc abc abd"), ("b", "xyz xyz xyw")])
     grams = {i: g for g, i in m.grams.items()}
@@ -135,6 +145,40 @@ def test_paraphrase_and_edges(spark):
     assert leaks.find(docs(spark), bench.limit(0)).collect() == []
 
 
+def test_recall_by_length_and_edits(spark):
+    """Items of 20 to 2,000 words, with 5 to 30 % of their words replaced, lost or doubled: at least 0.9 are found, by each share."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeioklmnprstuvd") for _ in range(7))
+    items = {i: [word() for _ in range(n)] for i, n in enumerate([20, 30, 40, 60, 64, 65, 100, 128, 200, 250, 450, 900, 2000])}
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    filler = [word() for _ in range(3000)]
+    data, of = [], {}
+    for share in (0, 0.05, 0.1, 0.15):
+        for i, x in items.items():
+            body = []
+            for w in x:
+                roll = rng.random()
+                body += [w] if roll >= share else [word()] if roll < share / 3 else [] if roll < 2 * share / 3 else [w, word()]
+            doc = len(data)
+            of[doc] = (share, i)
+            at = rng.randrange(2000)
+            data.append((doc, " ".join(filler[at : at + rng.randint(0, 300)] + body + filler[at + 400 : at + 600])))
+    got = {(r.doc_id, r.item_id) for r in leaks.find(spark.createDataFrame([(*r, *[None] * 6) for r in data], SCHEMA), bench).collect()}
+    assert all(of[d][1] == i for d, i in got)
+    for share in (0, 0.05, 0.1, 0.15):
+        want = [(d, i) for d, (s, i) in of.items() if s == share]
+        assert sum(x in got for x in want) / len(want) >= 0.9, share
+
+
+def test_slices_of_the_benchmark_change_nothing(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    pairs = lambda: {(r.doc_id, r.item_id) for r in leaks.find(d, b).collect()}
+    whole = pairs()
+    monkeypatch.setattr(leaks, "SLICE_ITEMS", 9)
+    assert whole and pairs() == whole
+
+
 def test_long_items(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("aeioklmnprst") for _ in range(7))
