@@ -89,7 +89,7 @@ def line_shares(
         F.coalesce(F.col(host_col), F.lit("\0null")).alias("host"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    hosts = d.groupBy("host").agg(F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("host_docs"))
+    hosts = d.groupBy("host").agg(F.count_distinct(F.struct("doc_id")).alias("host_docs"))
     lines = (
         d.select("doc_id", "host", F.xxhash64("host", "text").alias("text_key"), F.explode(F.split("text", "\n")).alias("line"))
         .filter(F.col("line").rlike(NOT_SPACE))
@@ -97,7 +97,7 @@ def line_shares(
     )
     often = (
         lines.groupBy("host", "line_hash")
-        .agg(F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("n_docs"))
+        .agg(F.count_distinct(F.struct("doc_id")).alias("n_docs"))
         .filter(F.col("n_docs") > min_docs)
         .join(hosts, "host")
         .filter(F.col("n_docs") > max_share * F.col("host_docs"))
