@@ -43,6 +43,11 @@ def debounce(df: DataFrame, key: str, ts: str, wait_seconds: int) -> DataFrame:
     return df.withColumn("_next", F.lead(us).over(w)).filter(F.col("_next").isNull() | (F.col("_next") - us >= wait_seconds * 1_000_000)).drop("_next")
 
 
+def debounce_leading(df: DataFrame, key: str, ts: str, wait_seconds: int) -> DataFrame:
+    """Leading debounce: the first row of each burst; a burst ends where the wait passes without a row of its key."""
+    return sessions(df, key, ts, wait_seconds).withColumn("_n", F.row_number().over(Window.partitionBy(key, "session").orderBy(ts))).filter("_n = 1").drop("_n")
+
+
 def running_mean(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("mean", F.round(F.avg(value).over(w) + 1e-9, 6))

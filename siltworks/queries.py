@@ -13,6 +13,7 @@ from siltworks.oracles import positions
 from siltworks.plans import rules
 from siltworks.registry import QUERIES, SQL, lit, query, table
 from siltworks.session import spread
+from siltworks.sources import reports
 from siltworks.streaming import rates
 
 _RE = {r.id: r.patterns[0].regex for r in rules.CORPUS_PACK}
@@ -202,6 +203,11 @@ def debounce_events(spark, sf):
     return windows.debounce(table(spark, sf, "events"), "user_id", "ts", 3600).select("user_id", "event_id")
 
 
+@query("SELECT user_id, min(ts) AS ts, session::BIGINT AS session FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 3600000000 THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))) GROUP BY ALL")
+def debounce_leading(spark, sf):
+    return windows.debounce_leading(table(spark, sf, "events"), "user_id", "ts", 3600).select("user_id", "ts", "session")
+
+
 @query("SELECT user_id, session::BIGINT AS session, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000 THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))) GROUP BY ALL")
 def sessions(spark, sf):
     return windows.sessions(table(spark, sf, "events"), "user_id", "ts", 6 * 3600).groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -274,5 +280,11 @@ def thresholds(spark, sf):
     return table(spark, sf, "events").select("event_id", scoring.compare(F.col("value"), op, F.lit(50.0)).alias("breach"))
 
 
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title, CASE WHEN p_size * 2 >= 80 THEN 'excellent' WHEN p_size * 2 >= 60 THEN 'good' WHEN p_size * 2 >= 40 THEN 'fair' ELSE 'poor' END AS class FROM part")
+def titles_and_score_classes(spark, sf):
+    snake = F.translate(F.lower("p_type"), " ", "_")
+    return table(spark, sf, "part").select("p_partkey", text.title_words(snake).alias("title"), reports.score_class(F.col("p_size") * 2).alias("class"))
+
+
 # The other families register themselves.
 from siltworks import queries_functions, queries_infra, queries_reports, queries_rules, queries_state, queries_views, queries_vulnerabilities  # noqa: E402, F401

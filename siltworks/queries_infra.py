@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.operators import match
 from siltworks.plans import rules
 from siltworks.registry import lit, query, table
+from siltworks.sources import files as scans
 
 #: Name and content of the files, by turns.
 FILES = (
@@ -50,6 +54,13 @@ def infra_types(spark, sf):
     return files(spark, sf).select("path", match.file_type(F.col("path"), F.col("content")).alias("type"))
 
 
+@query(" UNION ALL ".join(f"(SELECT path, type FROM ({_TYPED}) WHERE type = '{k}' ORDER BY path LIMIT 20)" for k in ("dockerfile", "docker-compose", "kubernetes", "terraform")))
+def infra_files(spark, sf):
+    """At most twenty files of each kind, in the order of their paths."""
+    parts = [scans.infra(files(spark, sf), k, 20) for k in ("dockerfile", "docker-compose", "kubernetes", "terraform")]
+    return reduce(DataFrame.unionByName, parts).select("path", "type")
+
+
 _LINES = f"SELECT path, type, content, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS line, string_split(content, chr(10)) AS l FROM ({_TYPED})"
 #: The manifest pattern with a look-ahead, said otherwise: the line after the limits does not name a processor.
 _AHEAD = r"resources:\s*\n\s*limits:\s*\n([^\n]*)"

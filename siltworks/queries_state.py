@@ -6,12 +6,14 @@ import re
 
 from pyspark.sql import functions as F
 
+from siltworks.functions import severity
 from siltworks.operators import cache as C
 from siltworks.operators import monitor as M
 from siltworks.operators import state
 from siltworks.operators import views as V
 from siltworks.registry import query as registered
 from siltworks.registry import table
+from siltworks.streaming import delivery
 
 
 def query(sql: str):
@@ -314,3 +316,19 @@ def task_throughput(spark, sf):
 def log_export(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 4).cast("int").alias("level"), F.col("event_type").alias("message"))
     return V.log_lines(M.logged(e, 2)).select(F.col("seq").alias("event_id"), "line")
+
+
+_URGENCY = "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'medium' ELSE 'low' END"
+
+
+@query(f"SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY CASE {_URGENCY} WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, event_id) - 1) // 10 AS delivery FROM events")
+def priority_delivery(spark, sf):
+    rows = table(spark, sf, "events").withColumn("severity", F.expr(_URGENCY))
+    return delivery.prioritized(rows, severity.rank(F.col("severity")), ["event_id"], by=["user_id"]).select("event_id", "delivery")
+
+
+@query("SELECT event_id, '{\"type\":\"event\",\"payload\":{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}}' AS line FROM events")
+def stream_lines(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    lines = delivery.lines(e, "event")
+    return lines.select(F.get_json_object("value", "$.payload.event_id").cast("long").alias("event_id"), F.col("value").alias("line"))

@@ -29,6 +29,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     For work that costs far more than moving its rows; a scan of many files stays as it is.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

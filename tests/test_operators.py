@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltworks import queries as engine
 from siltworks.functions import normalize, severity, text
-from siltworks.operators import cache, extension, incremental, joins, match, state, windows
+from siltworks.operators import cache, custom_rules, extension, incremental, joins, match, state, vulnerabilities, windows
 from siltworks.operators import settings as settings_op
 from siltworks.plans import rules
 from siltworks.sources import files, reports
@@ -284,6 +284,24 @@ def test_own_code(spark):
         wrong()
 
 
+def test_rules_from_files(spark, tmp_path):
+    rule = {"id": "a-rule", "name": "A rule", "description": "says something", "version": "1.0.0", "severity": "high", "category": "style", "languages": ["*"], "patterns": [{"type": "regex", "value": "x+", "flags": "gi"}], "message": {"default": "found {{$0}}"}, "enabled": True}
+    (tmp_path / "pack.json").write_text(json.dumps({"id": "p", "name": "Pack", "version": "1.0.0", "rules": [rule, {**rule, "severity": "awful"}]}, indent=1))
+    (tmp_path / "none.json").write_text("{}")
+    read = custom_rules.read_rules(spark, str(tmp_path))
+    good, bad = custom_rules.imported(read)
+    assert [r.pack for r in good.collect()] == ["p"] and len(bad.collect()) == 1
+    found = custom_rules.match(spark.createDataFrame([("a.py", "aXXb"), ("b", None)], "path string, content string"), good).collect()
+    assert [(r.path, r.message, r.line, r.column, r.end_column) for r in found] == [("a.py", "found XX", 1, 1, 3)]
+    again = json.loads(custom_rules.exported(good, "2024-01-01").first().json)
+    assert again["rules"][0]["id"] == "a-rule" and again["exportedAt"] == "2024-01-01"
+
+
+def test_false_positive_tables():
+    assert [p.id for p in vulnerabilities.patterns_for("Reflected XSS")] == ["fp-xss-textcontent", "fp-xss-dompurify", "fp-xss-htmlspecialchars", "fp-xss-escape-function"]
+    assert vulnerabilities.pattern_by_id("fp-cred-env").suppress and vulnerabilities.pattern_by_id("none") is None
+
+
 def test_settings_defaults_are_valid(spark):
     d = settings_op.defaults(spark, "p")
     assert settings_op.validate(d).filter("kind = 'error'").collect() == []

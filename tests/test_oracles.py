@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from siltworks import queries as engine
 
@@ -33,12 +34,15 @@ def test_query(spark, sf, con, name):
         assert plain(got) == plain(want)
 
 
-def test_empty_tables(spark, sf, tmp_path_factory):
-    """Every query runs over tables without rows and keeps its columns."""
-    path = str(tmp_path_factory.mktemp("empty"))
+@pytest.mark.parametrize("rows", ["none", "nulls and repeats"])
+def test_poor_tables(spark, sf, tmp_path_factory, rows):
+    """Every query runs over tables without rows, and over tables with repeated rows and rows of nulls."""
+    path = str(tmp_path_factory.mktemp("poor"))
     for t in TABLES:
-        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).coalesce(1).write.parquet(f"{path}/{t}.parquet")
+        some = spark.read.parquet(f"{sf}/{t}.parquet").limit(0 if rows == "none" else 25)
+        nulls = some.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in some.schema.fields)).limit(2)
+        some.unionByName(some.limit(5)).unionByName(nulls).coalesce(1).write.parquet(f"{path}/{t}.parquet")
     for name, run in engine.QUERIES.items():
         got = run(spark, path)
-        assert len(set(got.columns)) == len(got.columns)
+        assert len(set(got.columns)) == len(got.columns), name
         got.write.format("noop").mode("overwrite").save()
