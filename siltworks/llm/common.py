@@ -13,6 +13,7 @@ Conventions that hold for every operator in this subpackage:
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -83,7 +84,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more, and lets Spark clean up the exchanges behind them.
+
+    Only what later tables no longer need may go: they must be written themselves.
+    """
+    for df in tables:
+        spark, path = df.sparkSession, df._written_to
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _PATHS[:] = [x for x in _PATHS if x[1] != path]
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()  # exchanges go when nothing on the driver refers to them
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -101,6 +119,8 @@ def as_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in col.cast(pa.large_binary() if wide else pa.binary()).to_pylist()]
 
 
+#: What Spark hands to a Python task at once: bytes, beyond which a batch has one row.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
 #: Text bytes of a slice, beyond which it has one row.
 SLICE_BYTES = 8 << 20
 
@@ -126,7 +146,6 @@ def released(run: Callable) -> Callable:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ctypes
-        import gc
 
         try:
             yield from run(batches)
@@ -146,10 +165,11 @@ def arrow_map(
     """``mapInArrow`` with state for each task: ``make()`` runs once a task and gives the batch function.
 
     Batches are cut to ``rows`` rows and ``most`` bytes of text, so what a step holds is bounded by those, or by
-    one text where that is longer; what Spark hands over at once is bounded by its own batch settings.
+    one text where that is longer. What Spark hands over at once is bounded by ``BATCH_BYTES``, a setting of the session.
     """
 
     ship(df.sparkSession)
+    df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None

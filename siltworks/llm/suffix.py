@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import arrow_map, as_bytes, written
+from siltworks.llm.common import arrow_map, as_bytes, discard, written
 from siltworks.session import ship
 
 SPAN = 200
@@ -219,8 +219,8 @@ def _in_arrays(contexts: DataFrame) -> DataFrame:
     return ordered.select("doc_id", "th", "at", "left", "bytes", "gram").mapInArrow(run, "doc_id long, th long, a int, b int")
 
 
-def _by_windows(contexts: DataFrame) -> DataFrame:
-    """The same ranges for grams with very many contexts, by counting window hashes."""
+def _by_windows(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same ranges for grams with very many contexts, by counting window hashes; and the table of windows behind them."""
 
     def make():
         digest = xxhash.xxh3_128_digest
@@ -245,7 +245,7 @@ def _by_windows(contexts: DataFrame) -> DataFrame:
     # overlapping contexts of a document show a window twice; a place counts once
     place = F.struct("doc_id", "th", "a")
     twice = windows.groupBy("w1", "w2").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x != y").select("w1", "w2")
-    return windows.join(twice, ["w1", "w2"], "left_semi").select("doc_id", "th", "a", (F.col("a") + SPAN).cast("int").alias("b"))
+    return windows.join(twice, ["w1", "w2"], "left_semi").select("doc_id", "th", "a", (F.col("a") + SPAN).cast("int").alias("b")), windows
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -255,11 +255,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th (hash of the text), a, b: byte ranges whose union is what repeated strings cover."""
+    return _ranges(docs, id_col, text_col)[0]
+
+
+def _ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The ranges, and the tables that they are read from."""
     ship(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col)
-    found = written(_anchors(rows.filter(F.octet_length("text") >= SPAN)), "anchors")
-    shared = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    found = written(found.join(shared, "gram", "left_semi"), "candidates")
+    every = written(_anchors(rows.filter(F.octet_length("text") >= SPAN)), "anchors")
+    shared = every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    found = written(every.join(shared, "gram", "left_semi"), "candidates")
+    discard(every)
     # kinds of context, with one place of each
     kinds = written(found.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "left", "right")).alias("one")), "kinds")
     same = found.join(kinds.filter("n > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"], "left_semi")
@@ -273,12 +279,16 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cut.select("doc_id", "th", F.col("q.gram").alias("gram"), F.col("q.k").alias("k"), F.col("q.at").alias("at"), F.col("q.left").alias("left"), F.expr("substring(raw, q.at + 1, q.n)").alias("bytes")),
         "contexts",
     )
-    return same.union(_in_arrays(contexts.filter(F.col("k") <= HOT))).union(_by_windows(contexts.filter(F.col("k") > HOT)))
+    hot, windows = _by_windows(contexts.filter(F.col("k") > HOT))
+    return same.union(_in_arrays(contexts.filter(F.col("k") <= HOT))).union(hot), [found, kinds, contexts, windows]
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the bytes left, when asked for)."""
-    spans = written(repeated_ranges(docs, id_col, text_col).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
+    ranges, behind = _ranges(docs, id_col, text_col)
+    spans = written(ranges.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
+    del ranges
+    discard(*behind)
     rows = _keyed(docs, id_col, text_col).join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans.a", "spans.b")
 
     def make():
