@@ -33,7 +33,7 @@ NONE = np.int32(2**31 - 1)
 #: Chunks kept by a task; a chunk is one space-separated stretch of text.
 KEEP = 250_000
 #: Chunks that are encoded at once.
-PORTION = 20_000
+PORTION = 10_000
 #: Text bytes of a slice.
 SLICE = 4 << 20
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from siltworks.llm.chunks import ChunkEncoder, Encode, JoinedEncoder
 from siltworks.session import ship
-from siltworks.llm.common import new_path, released, slices
+from siltworks.llm.common import BATCH_SETTING, new_path, released, slices
 
 MAGIC = b"SWIDS1\0\0"
 END = 0
@@ -142,6 +142,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, id_col:
     # the hash parts the rows of one id; the sort inside a part compares ids and hashes first
     ordered = rows.withColumn("th", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "th").sortWithinPartitions(*key)
     ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
+    spark.conf.set(BATCH_SETTING, "64m")  # two slices: the larger, the fewer words are encoded again
     ordered.mapInArrow(released(pack), "part int, block long, n_ids long, data binary").write.options(**{"compression": "none", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}).parquet(f"{path}/blocks")
 
 
