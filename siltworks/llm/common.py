@@ -89,6 +89,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Gives the driver's free memory back, Python's and the JVM's; exchanges that nothing refers to any more go as well."""
+    gc.collect()
+    _give_back()
+    spark._jvm.System.gc()
+
+
+def _give_back() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that nothing reads any more, and lets Spark clean up the exchanges behind them.
 
@@ -99,9 +115,8 @@ def discard(*tables: DataFrame) -> None:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         _PATHS[:] = [x for x in _PATHS if x[1] != path]
-    gc.collect()
     if tables:
-        tables[0].sparkSession._jvm.System.gc()  # exchanges go when nothing on the driver refers to them
+        tidy(tables[0].sparkSession)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -145,16 +160,11 @@ def released(run: Callable) -> Callable:
     """A task function after which the worker, which Spark uses again, gives its free memory back to the system."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ctypes
-
         try:
             yield from run(batches)
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            _give_back()
 
     return task
 

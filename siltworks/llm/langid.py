@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import arrow_map, remainder, smallest
+from siltworks.llm.common import arrow_map, remainder, smallest, tidy
 
 DOCS_PER_LANG = 300
 #: Longer labelled texts are passed over in training, not cut; they are scored whole like any other.
@@ -191,7 +191,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # hashes first, not texts; equal texts count once
     top = smallest(rows.select("lang", F.xxhash64("text").alias("h")).distinct(), ["lang"], "h", docs_per_lang)
     picked = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(top), ["lang", "h"], "left_semi").select("lang", "text").distinct()
-    return Model.fit([(r.lang, r.text) for r in picked.collect()])
+    model = Model.fit([(r.lang, r.text) for r in picked.collect()])
+    tidy(docs.sparkSession)
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import arrow_map, smallest
+from siltworks.llm.common import arrow_map, smallest, tidy
 
 KINDS = ("assign", "access", "hex", "crf")
 TRAIN_DOCS = 200
@@ -315,7 +315,9 @@ def learn(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS)
     chosen = [r.h for r in ranked.orderBy(F.desc("m"), "h").collect()]  # at most 2 * train_docs hashes
     rows = texts.withColumn("h", F.xxhash64("text")).filter(F.col("h").isin(*chosen)).dropDuplicates(["h"]).collect()
     text_of = {r.h: r.text for r in rows}
-    return fit([text_of[h] for h in chosen])
+    field = fit([text_of[h] for h in chosen])
+    tidy(docs.sparkSession)
+    return field
 
 
 def _label(found: list[tuple[int, int, str]]) -> str:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import arrow_map, as_bytes, fresh, written
+from siltworks.llm.common import arrow_map, as_bytes, fresh, tidy, written
 
 SHINGLE = 3
 SEED = 42
@@ -364,7 +364,9 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
         wanted = written(rows.join(ends(pairs), "node", "left_semi").groupBy("node").agg(F.min("th").alias("th")), "wanted")
         some = texts.join(wanted.select("th"), "th", "left_semi").dropDuplicates(["th"]).select("text")
         of = written(arrow_map(some, sets, "node long, shingles binary", rows=256).dropDuplicates(["node"]), "ends")
-        return written(arrow_map(sides(pairs, of, "shingles"), compare, "a long, b long", rows=512), "links")
+        out = written(arrow_map(sides(pairs, of, "shingles"), compare, "a long, b long", rows=512), "links")
+        tidy(spark)
+        return out
 
     fits = (
         (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6)
@@ -389,6 +391,7 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
     roots = components(links.union(others))
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least_id")).join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     nodes = written(nodes, "rooted")
+    tidy(spark)
     named = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_node = written(nodes.join(named, "root").select("node", "root", "component_id"), "classes")
     return rows.select("doc_id", "th", "node").join(by_node, "node").select("doc_id", "component_id", "th", "root")
