@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltworks.llm import bpe, codes, idstore, langid, leaks, lm, quality, secrets, shards, simhash, suffix, wordbpe
+from siltworks.llm import bpe, codes, idstore, langid, leaks, lm, quality, repair, secrets, shards, simhash, suffix, wordbpe
 from siltworks.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op10_sharding(spark, sf_dir):
     return shards.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op12_word_bpe(spark, sf_dir):
     return wordbpe.digests(table(spark, sf_dir, "documents"))
 
@@ -54,5 +58,5 @@ def op13_vector_codes(spark, sf_dir):
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_ids, op4_suffix_dedup, op5_lm_score, op6_secret_scan, op7_simhash, op8_decontamination, op9_byte_bpe, op10_sharding, op12_word_bpe, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_ids, op4_suffix_dedup, op5_lm_score, op6_secret_scan, op7_simhash, op8_decontamination, op9_byte_bpe, op10_sharding, op11_conversation_repair, op12_word_bpe, op13_vector_codes)}
 SQL = {"op1_quality_rules": quality.SQL}
