@@ -106,7 +106,7 @@ def test_conversations_of_many_blocks_and_partitions(spark, block):
 
 
 def test_same_row_many_times(spark):
-    rows = [(1, 7, "user", "Fine."), (1, 8, "assistant", "Yes.")] * 80
+    rows = [(1, 7, "user", "Fine."), (1, 8, "assistant", "Yes.")] * 60
     assert run(spark, rows, block=10) == run(spark, rows) == expected(rows)
 
 
