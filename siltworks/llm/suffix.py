@@ -272,9 +272,9 @@ def _ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, lis
     same = same.select("doc_id", "th", (F.col("pos") - F.col("left")).cast("int").alias("a"), (F.col("pos") + F.col("right")).cast("int").alias("b"))
     several = kinds.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1")
     places = kinds.join(several, "gram").select("gram", "k", "one.*")
-    # the contexts' bytes, cut inside the row
+    # the contexts' bytes, cut inside the row; of repeated rows in one, or an array would hold a context as often as its row
     places = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "k", "left", (F.col("pos") - F.col("left")).alias("at"), (F.col("left") + F.col("right")).alias("n"))).alias("p"))
-    cut = rows.join(places, ["doc_id", "th"]).select("doc_id", "th", F.encode("text", "UTF-8").alias("raw"), F.explode("p").alias("q"))
+    cut = rows.dropDuplicates(["doc_id", "th"]).join(places, ["doc_id", "th"]).select("doc_id", "th", F.encode("text", "UTF-8").alias("raw"), F.explode("p").alias("q"))
     contexts = written(
         cut.select("doc_id", "th", F.col("q.gram").alias("gram"), F.col("q.k").alias("k"), F.col("q.at").alias("at"), F.col("q.left").alias("left"), F.expr("substring(raw, q.at + 1, q.n)").alias("bytes")),
         "contexts",

@@ -84,5 +84,21 @@ def test_deduplicate(spark, monkeypatch, hot):
     assert sorted(map(tuple, got), key=key) == brute(data)
 
 
+def test_repeated_rows_are_one_context(spark, monkeypatch):
+    """Very many copies of a row and a near copy: no gram comes to an array with more places than kinds of context."""
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("mnopqr") for _ in range(5)) for _ in range(60))
+    tables = {}
+    plain = suffix.written
+    monkeypatch.setattr(suffix, "written", lambda df, label: tables.setdefault(label, plain(df, label)))
+    monkeypatch.setattr(suffix, "discard", lambda *tables: None)
+    row = lambda i, t: (i, t, None, None, 0, "", 0, 0)
+    data = [row(1, text)] * 5000 + [row(2, text[:250] + "Z" + text[251:])]
+    got = sorted(map(tuple, suffix.deduplicate(docs(spark, data)).collect()), key=key)
+    few = brute([row(1, text)] * 2 + [row(2, text[:250] + "Z" + text[251:])])
+    assert got == sorted([few[0]] * 4999 + few[1:], key=key) and len(got) == 5001
+    assert 0 < tables["contexts"].groupBy("gram").count().agg({"count": "max"}).first()[0] <= 3
+
+
 def test_empty(spark):
     assert suffix.deduplicate(docs(spark, [])).collect() == []
