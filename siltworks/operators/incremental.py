@@ -7,6 +7,7 @@ they run in Arrow batches, a document at a time; all else is joins on uri and ve
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -117,21 +118,42 @@ def exports(code: Column, language: Column) -> Column:
     return F.array_distinct(F.transform(each, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")))
 
 
+def _row(above: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences with one line of ``a`` more than ``above``."""
+    out = np.zeros_like(above)
+    out[1:] = np.maximum.accumulate(np.where(equal, above[:-1] + 1, above[1:]))
+    return out
+
+
 def common_lines(a: list[str], b: list[str]) -> list[str]:
     """The longest common subsequence; of several the one that a walk from the end finds that leaves lines of ``b``
-    first where both ways are as long."""
+    first where both ways are as long.
+
+    Of the matrix of lengths only every k-th row is kept, k about the root of their number; the walk works out the rows
+    between two of them again when it gets there. So memory is ``len(b)`` times that root, and time is twice the matrix.
+    """
     names: dict[str, int] = {}
-    x = np.array([names.setdefault(s, len(names)) for s in a], np.int64)
-    y = np.array([names.setdefault(s, len(names)) for s in b], np.int64)
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(1, len(a) + 1):
-        best[i, 1:] = np.maximum.accumulate(np.where(y == x[i - 1], best[i - 1, :-1] + 1, best[i - 1, 1:]))
-    out, i, j = [], len(a), len(b)
+    x = np.array([names.setdefault(s, len(names)) for s in a], np.int32)
+    y = np.array([names.setdefault(s, len(names)) for s in b], np.int32)
+    every = max(1, math.isqrt(len(a)))
+    row, kept = np.zeros(len(b) + 1, np.int32), []
+    for i, line in enumerate(x):
+        if i % every == 0:
+            kept.append(row)
+        row = _row(row, y == line)
+    out, i, j, first = [], len(a), len(b), len(a) + 1
+    rows: list[np.ndarray] = []
     while i and j:
         if x[i - 1] == y[j - 1]:
             out.append(a[i - 1])
             i, j = i - 1, j - 1
-        elif best[i - 1, j] > best[i, j - 1]:
+            continue
+        if i - 1 < first:
+            first = (i - 1) // every * every
+            rows = [kept[first // every]]
+            for line in x[first:i]:
+                rows.append(_row(rows[-1], y == line))
+        if rows[i - 1 - first][j] > rows[i - first][j - 1]:
             i -= 1
         else:
             j -= 1
@@ -191,13 +213,35 @@ def changes(versions: DataFrame) -> DataFrame:
     return rows.select("uri", "version", F.explode(compare("previous", "content")).alias("c")).select("uri", "version", "c.*")
 
 
-def merged(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Regions of one type that touch, made one: gaps and islands over the order of their lines."""
-    w = Window.partitionBy(*keys, "type").orderBy("start_line", "end_line")
-    reach = F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = found.withColumn("_new", F.when(reach.isNull() | (F.col("start_line") > reach + 1), 1).otherwise(0))
-    grouped = marked.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(*keys, "type", "_g").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.count("*").alias("n")).drop("_g")
+def merged(found: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Neighbours of one type in the list of a key (by ``order``) made one where they touch; a region of another type between
+    two keeps them apart. Keys, type, start_line (of the first), end_line (the last line of all), n; and where they are given,
+    content and previous, joined line by line.
+
+    Islands in two steps: stretches of one type, and within each those that begin beyond all lines before. A stretch's lines
+    before a gap all lie before it, so the last line of all before is that of the island.
+    """
+    listed = Window.partitionBy(*keys).orderBy(*order)
+    turn = F.when(F.lag("type").over(listed).eqNullSafe(F.col("type")) & (F.row_number().over(listed) > 1), 0).otherwise(1)
+    rows = found.withColumn("_turn", turn).withColumn("_stretch", F.sum("_turn").over(listed.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy(*keys, "_stretch").orderBy(*order)
+    reach = F.max("end_line").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_gap", F.when(F.col("start_line") > reach + 1, 1).otherwise(0))
+    rows = rows.withColumn("_island", F.sum("_gap").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct(*order)
+    texts = [c for c in ("content", "previous") if c in found.columns]
+    # a previous text is joined once there is one before it
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, *texts))), lambda r: F.struct(*(r[c].alias(c) for c in texts))) if texts else None
+    out = rows.groupBy(*keys, "_stretch", "_island").agg(
+        F.first("type").alias("type"), F.min_by("start_line", place).alias("start_line"), F.max("end_line").alias("end_line"), F.count("*").alias("n"), *([lines.alias("_lines")] if texts else [])
+    )
+    made = []
+    if "content" in texts:
+        made.append(F.array_join(F.transform("_lines", lambda r: F.coalesce(r["content"], F.lit(""))), "\n").alias("content"))
+    if "previous" in texts:
+        add = lambda before, r: F.when(before != "", F.concat(before, F.lit("\n"), F.coalesce(r["previous"], F.lit("")))).otherwise(r["previous"])
+        made.append(F.aggregate("_lines", F.lit(None).cast("string"), add).alias("previous"))
+    return out.select(*keys, "type", "start_line", "end_line", "n", *made)
 
 
 def match_previous(found: DataFrame, before: DataFrame) -> DataFrame:
@@ -236,11 +280,21 @@ def affected(versions: DataFrame, found: DataFrame | None = None, compat: bool =
 
 
 def carried_over(status: DataFrame, findings: DataFrame, versions: DataFrame) -> DataFrame:
-    """Findings(uri, version, name, start_line, finding) of the version before, for the unchanged scopes of that name
-    and first line."""
-    old = previous_scopes(findings, versions)
-    keep = status.filter("status = 'unchanged'").select("uri", "version", "name", "start_line").distinct()
-    return old.join(keep, ["uri", "version", "name", "start_line"])
+    """Findings(uri, version, name, start_line, finding) of earlier versions that still hold: through every later version in
+    which a scope of that name and first line is unchanged, up to the first in which it is not, or is not there.
+
+    The versions in which a scope is unchanged are islands of numbers that follow each other; a finding reaches the
+    rest of the island that begins right after its version, or holds it.
+    """
+    numbered = versions.select("uri", "version").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("uri").orderBy("version")))
+    scope = ["uri", "name", "start_line"]
+    same = status.filter("status = 'unchanged'").select(*scope, "version").distinct().join(numbered, ["uri", "version"])
+    islands = same.withColumn("_i", F.col("_n") - F.row_number().over(Window.partitionBy(*scope).orderBy("_n")))
+    held = findings.join(numbered, ["uri", "version"]).withColumn("_n", F.col("_n") + 1).drop("version").distinct()
+    # the island that a finding comes to, and its versions from there on
+    first = held.join(islands.drop("version"), [*scope, "_n"])
+    rest = islands.select(*scope, "version", "_i", F.col("_n").alias("_at"))
+    return first.join(rest, [*scope, "_i"]).filter("_at >= _n").drop("_n", "_i", "_at").distinct()
 
 
 def coverage(status: DataFrame, versions: DataFrame) -> DataFrame:

@@ -226,14 +226,40 @@ def carried_findings(spark, sf):
     return I.carried_over(I.affected(v), old, v).select("uri", "version", "name", "finding")
 
 
-def _runs(source: str) -> str:
-    return f"SELECT l_suppkey, type, min(s) AS start_line, max(e) AS end_line, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY l_suppkey, type ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END AS new FROM (SELECT *, max(e) OVER (PARTITION BY l_suppkey, type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ({source})))) GROUP BY l_suppkey, type, g"
+# a scope of a line of an order: unchanged unless it was returned; findings are those of its shipped lines
+_STATUS = "SELECT l_orderkey AS uri, l_linenumber AS version, 'n' || (l_suppkey % 2) AS name, l_partkey % 2 AS start_line, CASE WHEN l_returnflag = 'R' THEN 'affected' ELSE 'unchanged' END AS status FROM lineitem"
 
 
-@query(_runs("SELECT l_suppkey, l_returnflag AS type, l_orderkey % 997 AS s, l_orderkey % 997 + l_linenumber AS e FROM lineitem"))
+@query(
+    f"WITH s AS ({_STATUS} UNION ALL SELECT uri, version, 'n0', 0, 'unchanged' FROM ({_STATUS})), f AS (SELECT *, 'F' || (version % 3) AS finding FROM ({_STATUS}) WHERE version < 4), u AS (SELECT DISTINCT uri, version, name, start_line FROM s WHERE status = 'unchanged') "
+    "SELECT DISTINCT uri, name, start_line, finding, version FROM (SELECT f.uri, f.name, f.start_line, f.finding, f.version AS since, u.version FROM f JOIN u ON f.uri = u.uri AND f.name = u.name AND f.start_line = u.start_line AND u.version > f.version "
+    "JOIN s x ON x.uri = f.uri AND x.version > f.version AND x.version <= u.version LEFT JOIN u w ON w.uri = f.uri AND w.name = f.name AND w.start_line = f.start_line AND w.version = x.version GROUP BY ALL HAVING count(DISTINCT x.version) = count(DISTINCT w.version))"
+)
+def findings_through_versions(spark, sf):
+    rows = table(spark, sf, "lineitem").filter("l_orderkey is not null").select(F.col("l_orderkey").alias("uri"), F.col("l_linenumber").alias("version"), F.concat(F.lit("n"), (F.col("l_suppkey") % 2).cast("string")).alias("name"), (F.col("l_partkey") % 2).alias("start_line"), F.when(F.col("l_returnflag") == "R", "affected").otherwise("unchanged").alias("status"))
+    also = rows.select("uri", "version", F.lit("n0").alias("name"), F.lit(0).cast("long").alias("start_line"), F.lit("unchanged").alias("status"))
+    found = rows.filter("version < 4").withColumn("finding", F.concat(F.lit("F"), (F.col("version") % 3).cast("string"))).drop("status")
+    return I.carried_over(rows.unionByName(also), found, rows)
+
+
+# a supplier's list of regions, in the order of orders; a region begins with the line number and is as long as the remainder
+_LIST = "SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_returnflag AS type, l_orderkey // 40 AS s, l_orderkey // 40 + l_partkey % 90 AS e, 'c' || l_linenumber AS content, nullif(l_linestatus, 'F') AS previous FROM lineitem"
+
+
+def _neighbours(source: str) -> str:
+    """The regions one after the other, as a fold over each list: each row looks at the last region made so far."""
+    return f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k FROM ({source})),
+r AS (SELECT l_suppkey, k, 1 AS region, type, s AS start_line, e AS end_line, 1 AS n, content, previous FROM l WHERE k = 1
+UNION ALL SELECT l_suppkey, k, CASE WHEN j THEN region ELSE region + 1 END, type, CASE WHEN j THEN start_line ELSE s END, CASE WHEN j THEN greatest(end_line, e) ELSE e END, CASE WHEN j THEN n + 1 ELSE 1 END,
+CASE WHEN j THEN before || chr(10) || content ELSE content END, CASE WHEN NOT j THEN previous WHEN old <> '' THEN old || chr(10) || coalesce(previous, '') ELSE previous END
+FROM (SELECT l.*, r.region, r.start_line, r.end_line, r.n, r.content AS before, r.previous AS old, l.s <= r.end_line + 1 AND l.type = r.type AS j FROM r JOIN l ON l.l_suppkey = r.l_suppkey AND l.k = r.k + 1))
+SELECT l_suppkey, type, start_line, end_line, n, content, previous FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, region ORDER BY k DESC) AS last FROM r) WHERE last = 1"""
+
+
+@query(_neighbours(_LIST))
 def merged_changes(spark, sf):
-    x = table(spark, sf, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("type"), (F.col("l_orderkey") % 997).alias("start_line"), (F.col("l_orderkey") % 997 + F.col("l_linenumber")).alias("end_line"))
-    return I.merged(x, ["l_suppkey"])
+    x = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.col("l_returnflag").alias("type"), F.expr("l_orderkey div 40").alias("start_line"), F.expr("l_orderkey div 40 + l_partkey % 90").alias("end_line"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("content"), F.expr("nullif(l_linestatus, 'F')").alias("previous"))
+    return I.merged(x, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
 
 
 @query("SELECT 'javascript' AS language, 'lib,y' AS dependencies, 'a,b,one' AS exports UNION ALL SELECT 'python', 'a.b,c,os', 'x,y' UNION ALL SELECT 'java', 'p.Q', '' UNION ALL SELECT 'odd', '', ''")

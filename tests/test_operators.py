@@ -2,6 +2,7 @@
 
 import json
 import random
+import tracemalloc
 import re
 
 import pytest
@@ -230,6 +231,60 @@ def test_scopes_and_changes():
         assert not incremental.line_changes("\n".join(a), "\n".join(a))
 
 
+def walked(a, b):
+    """The common lines by the whole matrix."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            out, i, j = [a[i - 1], *out], i - 1, j - 1
+        elif best[i - 1][j] > best[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def test_common_lines_walk_like_the_matrix():
+    rng = random.Random(6)
+    for n in [*range(9), 10, 24, 25, 26, 60]:
+        for letters in ("ab", "abcdefgh"):
+            a, b = [rng.choice(letters) for _ in range(n)], [rng.choice(letters) for _ in range(rng.randint(0, 50))]
+            assert incremental.common_lines(a, b) == walked(a, b)
+            assert incremental.common_lines(b, a) == walked(b, a)
+
+
+def test_common_lines_of_long_versions_in_little_memory():
+    """The whole matrix of these would have 1.6 GB."""
+    rng = random.Random(1)
+    old = [f"line {rng.randint(0, 3000)}" for _ in range(20_000)]
+    new = [x if rng.random() > 0.1 else f"new {rng.randint(0, 99)}" for x in old]
+    tracemalloc.start()
+    kept = incremental.common_lines(old, new)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(kept) > 17_000 and most < 100 << 20
+
+
+def test_merging_looks_at_neighbours_only(spark):
+    schema = "doc int, seq int, type string, start_line int, end_line int, content string, previous string"
+    rows = [(1, 0, "insert", 1, 1, "a", None), (1, 1, "delete", 1, 1, "", "x"), (1, 2, "insert", 2, 2, "b", None), (1, 3, "insert", 3, 5, "c", "p"), (1, 4, "insert", 1, 2, "d", None), (1, 5, "insert", 7, 7, "e", None), (2, 0, None, 1, 1, "f", ""), (2, 1, None, 2, 2, "g", "q")]
+    got = incremental.merged(spark.createDataFrame(rows, schema), ["doc"], ["seq"]).orderBy("doc", "start_line", "type").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "delete", 1, 1, 1, "", "x"), (1, "insert", 1, 1, 1, "a", None), (1, "insert", 2, 5, 3, "b\nc\nd", "p\n"), (1, "insert", 7, 7, 1, "e", None), (2, None, 1, 2, 2, "f\ng", "q")], key=str)
+
+
+def test_findings_of_a_first_version_hold_until_their_scope_changes(spark):
+    status = [("d", v, name, 1, s) for v, line in enumerate([("affected", "affected"), ("unchanged", "unchanged"), ("unchanged", "affected"), ("unchanged", "unchanged")], 1) for name, s in zip("ab", line)]
+    status += [("d", 5, "a", 2, "unchanged"), ("d", 6, "a", 1, "unchanged")]  # it moves, and comes back
+    status = spark.createDataFrame(status, "uri string, version int, name string, start_line int, status string")
+    found = spark.createDataFrame([("d", 1, "a", 1, "old"), ("d", 1, "b", 1, "gone"), ("d", 3, "b", 1, "late"), ("d", 6, "a", 1, "last")], "uri string, version int, name string, start_line int, finding string")
+    got = incremental.carried_over(status, found, spark.createDataFrame([("d", v) for v in range(1, 8)], "uri string, version int"))
+    assert sorted((r.version, r.finding) for r in got.collect()) == [(2, "gone"), (2, "old"), (3, "old"), (4, "late"), (4, "old")]
+
+
 def test_joins_with_nulls(spark):
     a = spark.createDataFrame([(1, None), (2, "x"), (2, "x")], "k int, v string")
     assert joins.resolved(a, a).collect() == []
