@@ -279,6 +279,29 @@ def affected(versions: DataFrame, found: DataFrame | None = None, compat: bool =
     return rows.withColumn("status", F.when(F.col("_direct") | used, "affected").otherwise("unchanged")).drop("_first", "_same", "_touched", "_direct", "_names")
 
 
+def _names(code: str, language: str | None, table: dict) -> list[str]:
+    return [x for regex in table.get(language or "", ()) for x in re.findall(regex, code, re.A)]
+
+
+def scope_status(previous: tuple[str, list[tuple]] | None, content: str, language: str | None, found: list[tuple]) -> list[str]:
+    """affected or unchanged for each scope of a version, as ``affected`` gives it, from the content and the scopes of the
+    version before (None for a first one): for states that keep one version of a document."""
+    if previous is None:
+        return ["affected"] * len(found)
+    before, olds = previous
+    if before == content:
+        return ["unchanged"] * len(found)
+    regions = [(c[1] - REACH, c[2] + REACH) for c in line_changes(before, content)]
+    lines = content.split("\n")
+    direct = []
+    for _, name, start, end, digest in found:
+        old = next((o for o in olds if o[1] == name and abs(o[2] - start) < MOVE), None)
+        direct.append(old is None or old[4] != digest or any(a <= end and b >= start for a, b in regions))
+    names = {s[1] for s, d in zip(found, direct) if d}
+    used = [bool(names.intersection(_names("\n".join(lines[s[2] : s[3] + 1]), language, DEPENDENCIES))) for s in found]
+    return ["affected" if d or u else "unchanged" for d, u in zip(direct, used)]
+
+
 def carried_over(status: DataFrame, findings: DataFrame, versions: DataFrame) -> DataFrame:
     """Findings(uri, version, name, start_line, finding) of earlier versions that still hold: through every later version in
     which a scope of that name and first line is unchanged, up to the first in which it is not, or is not there.
