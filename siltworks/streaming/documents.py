@@ -8,6 +8,7 @@ which versions are worked off one by one; more buckets work side by side.
 
 from __future__ import annotations
 
+import json
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -24,23 +25,18 @@ from siltworks.streaming.stateful import as_rows, need_rocksdb, over_table
 CAPACITY = 100
 ANALYZED = "uri string, version long, seq long, change string, hash string, lines long, scopes array<struct<type:string,name:string,start_line:int,end_line:int,status:string>>"
 _NAMES = ["uri", "version", "seq", "change", "hash", "lines", "scopes"]
-_STATE = "hash string, content string, types array<string>, names array<string>, starts array<int>, ends array<int>, hashes array<string>"
 
 
-def _packed(digest: str, content: str, found: list[tuple]) -> tuple:
-    return (digest, content, *([s[i] for s in found] for i in range(5)))
-
-
-def analyzed(row: dict, before: tuple | None) -> tuple[dict, tuple]:
+def analyzed(row: dict, before: list | None) -> tuple[dict, list]:
     """What a version gives, and what is kept of it."""
     content = row["content"] or ""
     digest = text_hash(content)
-    olds = None if before is None else (before[1], list(zip(*before[2:])))
+    olds = None if before is None else (before[1], before[2])
     found = find_scopes(content, row["language"])
     status = scope_status(olds, content, row["language"], found)
     change = "new" if before is None else "same" if before[0] == digest else "changed"
     scopes = [dict(zip(("type", "name", "start_line", "end_line", "status"), (*s[:4], x))) for s, x in zip(found, status)]
-    return {"uri": row["uri"], "version": row["version"], "seq": row["seq"], "change": change, "hash": digest, "lines": content.count("\n") + 1, "scopes": scopes}, _packed(digest, content, found)
+    return {"uri": row["uri"], "version": row["version"], "seq": row["seq"], "change": change, "hash": digest, "lines": content.count("\n") + 1, "scopes": scopes}, [digest, content, found]
 
 
 class Recent:
@@ -68,25 +64,25 @@ def analyze(versions: DataFrame, capacity: int = CAPACITY, buckets: int = 1) ->
 
 
 class _Documents(StatefulProcessor):
-    """State: a map of the documents, and the order of their last use. Only documents that a micro-batch has are read and written."""
+    """State: a map of the documents (as JSON), and the order of their last use. Only documents that a micro-batch has are read and written."""
 
     def __init__(self, capacity: int, ttl_ms: int | None):
         self.capacity, self.ttl = capacity, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getMapState("held", "uri string", _STATE, self.ttl)
-        self.order = handle.getValueState("order", "uris array<string>", self.ttl)
+        self.held = handle.getMapState("held", "uri string", "kept string", self.ttl)
+        self.order = handle.getValueState("order", "uris string", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        order = OrderedDict.fromkeys(self.order.get()[0] if self.order.exists() else [])
-        now: dict[str, tuple] = {}
+        order = OrderedDict.fromkeys(json.loads(self.order.get()[0]) if self.order.exists() else [])
+        now: dict[str, list] = {}
         out = []
         for row in sorted((r for pdf in rows for r in as_rows(pdf, ("version", "seq"))), key=lambda r: r["seq"]):
             uri = row["uri"] or ""
             before = None
             if uri in order:
                 del order[uri]
-                before = now.get(uri) or (tuple(self.held.getValue((uri,))) if self.held.containsKey((uri,)) else None)
+                before = now.get(uri) or (json.loads(self.held.getValue((uri,))[0]) if self.held.containsKey((uri,)) else None)
             elif len(order) >= self.capacity:
                 gone, _ = order.popitem(last=False)
                 now.pop(gone, None)
@@ -96,8 +92,8 @@ class _Documents(StatefulProcessor):
             order[uri] = None
             out.append(given)
         for uri, kept in now.items():
-            self.held.updateValue((uri,), kept)
-        self.order.update((list(order),))
+            self.held.updateValue((uri,), (json.dumps(kept),))
+        self.order.update((json.dumps(list(order)),))
         yield pd.DataFrame(out, columns=_NAMES)
 
     def close(self) -> None:
@@ -106,7 +102,7 @@ class _Documents(StatefulProcessor):
 
 def analyze_stream(versions: DataFrame, capacity: int = CAPACITY, buckets: int = 1, ttl_ms: int | None = None) -> DataFrame:
     """The same on a stream whose micro-batches come in order; with ``ttl_ms`` a document is also forgotten when it has not
-    been used for so long, by the clock."""
+    been used for so long, by the clock (such a query does not end by itself under the trigger ``availableNow``)."""
     need_rocksdb(versions.sparkSession)
     ship(versions.sparkSession)
-    return _columns(versions, buckets).groupBy("bucket").transformWithStateInPandas(_Documents(capacity, ttl_ms), ANALYZED, "append", "processingtime")
+    return _columns(versions, buckets).groupBy("bucket").transformWithStateInPandas(_Documents(capacity, ttl_ms), ANALYZED, "append", "none" if ttl_ms is None else "processingtime")
