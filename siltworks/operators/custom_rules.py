@@ -34,6 +34,8 @@ VERSION = r"^\d+\.\d+\.\d+$"
 CATEGORIES = ("security", "quality", "performance", "style", "best_practice", "compliance", "custom")
 PATTERN_TYPES = ("regex", "ast", "semantic", "dataflow")
 CONFIDENCE, FIX_CONFIDENCE = 0.8, 0.7
+#: Different broken patterns that a table may have, and rules that are matched with at once.
+BROKEN, RULES = 10_000, 5_000
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -61,9 +63,11 @@ def java_regex(value: str, flags: str | None, multiline: bool | None) -> str:
 
 
 def broken_patterns(rules: DataFrame) -> dict[str, str]:
-    """The regexes that do not compile, with the reason; tried on the driver, one by one."""
+    """The regexes that do not compile, with the reason. They are tried where they are; only those come to the driver, for the reason."""
     jvm = rules.sparkSession._jvm
-    rows = rules.select(F.explode("patterns").alias("p")).filter("p.type = 'regex' and p.value is not null").select("p.value").distinct().collect()
+    rows = rules.select(F.explode("patterns").alias("p")).filter("p.type = 'regex' and p.value is not null").select("p.value").distinct().filter(~compiles(F.col("value"))).limit(BROKEN + 1).collect()
+    if len(rows) > BROKEN:
+        raise ValueError(f"more than {BROKEN} different patterns do not compile")
     out = {}
     for r in rows:
         try:
@@ -187,7 +191,10 @@ def compiled(rules: DataFrame) -> list[Compiled]:
     other types than regex, are left out."""
     broken = broken_patterns(rules)
     out = []
-    for r in (rules.orderBy("ord") if "ord" in rules.columns else rules).collect():  # rules are few
+    rows = (rules.orderBy("ord") if "ord" in rules.columns else rules).limit(RULES + 1).collect()
+    if len(rows) > RULES:
+        raise ValueError(f"more than {RULES} rules to match with")
+    for r in rows:
         patterns = r.patterns or []
         message = (r.message.default if r.message else None) or ""
         for key, value in sorted(((r.message.placeholders if r.message else None) or {}).items()):
@@ -254,15 +261,31 @@ def by_severity(found: DataFrame) -> DataFrame:
     return found.orderBy(severities.rank(F.col("severity")), "seq", "line", "column")
 
 
+def compiles(regex: Column) -> Column:
+    """Whether a regex is one, tried where the row is."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), regex).isNotNull()
+
+
+def _regex(p: Column) -> Column:
+    """``java_regex`` of a pattern's columns."""
+    has = lambda flag: F.coalesce(F.contains(p["flags"], F.lit(flag)), F.lit(False))
+    own = F.concat(F.when(has("i"), "i").otherwise(""), F.when(has("m") | F.coalesce(p["multiline"], F.lit(False)), "m").otherwise(""), F.when(has("s"), "s").otherwise(""))
+    return F.concat(F.when(own != "", F.concat(F.lit("(?"), own, F.lit(")"))).otherwise(""), p["value"])
+
+
 def run_tests(rules: DataFrame) -> DataFrame:
-    """id, test, passed, found: each test case's code scanned by its rule, by the language it names."""
-    cases = rules.select("id", F.posexplode("testCases").alias("at", "t")).select("id", "at", "t.*")
-    each = match(cases.withColumn("_key", F.concat_ws("\0", "id", F.col("at").cast("string"))), rules, "_key", "code", "language", keep=["id", "at"])
-    each = each.filter(F.col("rule_id") == F.col("id")).groupBy("id", "at").agg(F.count("*").alias("found"), F.collect_set("line").alias("lines"))
-    full = cases.join(each, ["id", "at"], "left")
-    found = F.coalesce("found", F.lit(0))
-    wanted = (found > 0) & F.coalesce(found == F.col("expectedMatches"), F.lit(True)) & F.coalesce(F.array_contains("lines", F.col("expectedLine")), F.col("expectedLine").isNull())
-    return full.select("id", F.col("name").alias("test"), F.when(F.col("shouldMatch"), wanted).otherwise(found == 0).alias("passed"), found.cast("long").alias("found"))
+    """id, test, passed, found: each test case's code scanned by its own rule, if that applies to the language it names.
+
+    A case is worked out inside its row, patterns and all, so a rule table may have any size.
+    """
+    rows = rules.select("id", "languages", "patterns", F.explode("testCases").alias("t"))
+    here = F.coalesce(F.exists("languages", lambda x: (x == "*") | (F.lower(x) == F.lower("t.language"))), F.lit(False))
+    usable = F.filter("patterns", lambda p: (p["type"] == "regex") & (F.length(p["value"]) > 0) & compiles(_regex(p)))
+    lines = F.flatten(F.transform(usable, lambda p: F.transform(F.coalesce(matches(F.col("t.code"), _regex(p)), F.array().cast("array<struct<match:string,start:int,line:int,col:int,k:int>>")), lambda m: m["line"])))
+    rows = rows.select("id", "t", F.coalesce(F.when(here, lines), F.array().cast("array<int>")).alias("_lines"))
+    found = F.size("_lines")
+    wanted = (found > 0) & F.coalesce(found == F.col("t.expectedMatches"), F.lit(True)) & F.coalesce(F.array_contains("_lines", F.col("t.expectedLine")), F.col("t.expectedLine").isNull())
+    return rows.select("id", F.col("t.name").alias("test"), F.when(F.col("t.shouldMatch"), wanted).otherwise(found == 0).alias("passed"), found.cast("long").alias("found"))
 
 
 def statistics(rules: DataFrame) -> DataFrame:
@@ -280,9 +303,29 @@ def coverage(findings: DataFrame, applicable: int, total: int) -> DataFrame:
 
 def vocabulary(rules: DataFrame) -> DataFrame:
     """One row: the languages and categories of all rules, sorted."""
-    return rules.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("languages")))).alias("languages"), F.array_sort(F.collect_set("category")).alias("categories"))
+    return rules.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("languages")))).alias("languages"), F.array_sort(F.collect_set("category")).alias("categories"))
 
 
 def exported(rules: DataFrame, at: str) -> DataFrame:
     """One row: the rules as JSON in an envelope with the time ``at``."""
     return rules.agg(F.to_json(F.struct(F.lit("1.0.0").alias("version"), F.lit(at).alias("exportedAt"), F.collect_list(F.struct(*(x.strip().split(" ")[0] for x in _fields()))).alias("rules"))).alias("json"))
+
+
+def export_rows(rules: DataFrame, at: str) -> DataFrame:
+    """The same document as ordered rows (part, seq, text), for tables of any size: a head, a rule a row, and an end."""
+    fields = [x.strip().split(" ")[0] for x in _fields()]
+    first = rules.agg(F.min("ord").alias("_first"))
+    head = first.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit('{"version":"1.0.0","exportedAt":'), F.lit(f'"{at}"'), F.lit(',"rules":[')).alias("text"))
+    body = rules.crossJoin(F.broadcast(first)).select(F.lit(1).alias("part"), F.col("ord").cast("long").alias("seq"), F.concat(F.when(F.col("ord") > F.col("_first"), ",").otherwise(""), F.to_json(F.struct(*fields))).alias("text"))  # one row
+    return head.unionByName(body).unionByName(first.select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("seq"), F.lit("]}").alias("text")))
+
+
+def applicable(asked: DataFrame, rules: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """asked(disabled array, categories array or null, and the columns to ``keep``) with the rules(id, category, enabled, priority) of each:
+    rule_id and place, by priority and id. The rules, of which there are few, are one array in each row's reach."""
+    few = rules.limit(RULES + 1).select("priority", "id", "category", "enabled").collect()
+    if len(few) > RULES:
+        raise ValueError(f"more than {RULES} rules to choose from")
+    listed = F.array(*(F.struct(F.lit(r.priority).alias("priority"), F.lit(r.id).alias("id"), F.lit(r.category).alias("category"), F.lit(r.enabled).alias("enabled")) for r in sorted(few, key=lambda r: (r.priority, r.id))))
+    fits = lambda r: r["enabled"] & ~F.coalesce(F.array_contains("disabled", r["id"]), F.lit(False)) & (F.col("categories").isNull() | F.array_contains("categories", r["category"]))
+    return asked.select(*keep, F.posexplode(F.filter(listed, fits)).alias("place", "r")).select(*keep, F.col("r.id").alias("rule_id"), "place")

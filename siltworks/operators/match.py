@@ -21,12 +21,13 @@ def newlines(col: Column) -> Column:
     return F.length(col) - F.length(F.translate(col, "\n", ""))
 
 
-def matches(col: Column, regex: str) -> Column:
+def matches(col: Column, regex: str | Column) -> Column:
     """array<struct<match, start, line, col, k>>: all non-overlapping matches with their 0-based offsets, 1-based lines,
     0-based columns and numbers from 0; null where nothing matches.
 
     What lies between matches is what ``split`` gives. One fold over gaps and matches carries the position along.
     """
+    test = col.rlike(regex) if isinstance(regex, str) else F.rlike(col, regex)
     found = F.regexp_extract_all(col, F.lit(regex), F.lit(0))
     pairs = F.zip_with(F.slice(F.split(col, regex, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     start = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("line"), F.lit(0).alias("col"), F.array().cast("array<struct<match:string,start:int,line:int,col:int,k:int>>").alias("out"))
@@ -44,7 +45,7 @@ def matches(col: Column, regex: str) -> Column:
         return F.struct((at + F.length(match)).alias("pos"), next_line.alias("line"), next_column.alias("col"), F.concat(acc["out"], F.array(here)).alias("out"))
 
     out = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(col.rlike(regex), F.filter(out, lambda s: s["match"] != ""))
+    return F.when(test, F.filter(out, lambda s: s["match"] != ""))
 
 
 def applicable(rules: Iterable[Rule], disabled: Iterable[str] = (), categories: Iterable[str] | None = None) -> list[Rule]:
@@ -163,20 +164,38 @@ def infra_scan(files: DataFrame, line_rules: dict[str, Iterable[Rule]], manifest
     return out.unionByName(manifest_scan(of("kubernetes"), manifest_rules, path, content)).unionByName(helm_scan(of("helm"), manifest_rules, path, content))
 
 
+def last_start_line(body: Column, regex: str) -> Column:
+    """The line, from 0, of the last place where a match begins, whatever other matches it lies in; null without one.
+
+    A split before each such place leaves what follows the last one as its last part.
+    """
+    rest = F.element_at(F.split(body, f"(?={regex})", -1), -1)
+    return F.when(body.rlike(regex), newlines(body) - newlines(rest))
+
+
 def manifest_scan(files: DataFrame, rules: Iterable[Rule], path: str = "path", content: str = "content", before: int = 5, after: int = 4) -> DataFrame:
     """Multi-line rules of a manifest: a line is hit if the text from it to the end matches and so does the line
-    or the lines around it; of the rules that hit a line the first wins. All inside the row."""
-    rows = files.select(path, F.split(content, "\n", -1).alias("_l"))
-    lines = rows.select(path, "_l", F.posexplode("_l").alias("pos", "t"))
-    size = F.size("_l")
-    rest = F.array_join(F.slice("_l", F.col("pos") + 1, size), "\n")
-    first = F.greatest(F.lit(0), F.col("pos") - before)
-    near = F.array_join(F.slice("_l", first + 1, F.least(size, F.col("pos") + after + 1) - first), "\n")
-    lines = lines.select(path, "pos", "t", rest.alias("rest"), near.alias("near"))
-    hit = None
-    for r in rules:
-        regex = r.patterns[0].regex
-        test = F.col("rest").rlike(regex) & (F.col("t").rlike(regex) | ((F.col("pos") > 0) & F.col("near").rlike(regex)))
-        found = F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"))
-        hit = F.when(test, found) if hit is None else hit.when(test, found)
-    return lines.select(path, (F.col("pos") + 1).cast("long").alias("line"), hit.alias("h")).filter("h is not null").select(path, "h.rule_id", "h.name", "h.severity", "line")
+    or the lines around it; of the rules that hit a line the first wins.
+
+    All inside the row, in time that is linear in the lines: the text from a line on matches if a match begins there or later,
+    so one number a rule stands for all of these texts; and only lines up to the last of these numbers are looked at.
+    """
+    rules = list(rules)
+    body = F.coalesce(F.col(content), F.lit(""))
+    rows = files.select(path, F.split(body, "\n", -1).alias("_l"), F.array(*(last_start_line(body, r.patterns[0].regex) for r in rules)).alias("_last"))
+    some = F.slice("_l", 1, F.coalesce(F.array_max("_last"), F.lit(-1)) + 1)
+    # line by line, as a slice would copy the whole array for each line; what lies outside is null and left out
+    near = lambda pos: F.array_join(F.array(*(F.get("_l", pos + d) for d in range(-before, after + 1))), "\n")
+    lines = F.transform(some, lambda t, pos: F.struct(pos.alias("pos"), t.alias("t"), near(pos).alias("near")))
+
+    def hit(x: Column) -> Column:
+        out = F
+        for i, r in enumerate(rules):
+            regex = r.patterns[0].regex
+            test = (x["pos"] <= F.get("_last", F.lit(i))) & (x["t"].rlike(regex) | ((x["pos"] > 0) & x["near"].rlike(regex)))
+            out = out.when(test, F.lit(i))
+        return F.struct(x["pos"].alias("pos"), (out if rules else F.lit(None).cast("int")).alias("rule"))
+
+    named = F.array(*(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity")) for r in rules))
+    hits = rows.select(path, F.explode(F.filter(F.transform(lines, hit), lambda x: x["rule"].isNotNull())).alias("h"))
+    return hits.select(path, (F.col("h.pos") + 1).cast("long").alias("line"), F.get(named, F.col("h.rule")).alias("n")).select(path, "n.rule_id", "n.name", "n.severity", "line")

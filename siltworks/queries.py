@@ -287,4 +287,4 @@ def titles_and_score_classes(spark, sf):
 
 
 # The other families register themselves.
-from siltworks import queries_functions, queries_infra, queries_reports, queries_rules, queries_state, queries_views, queries_vulnerabilities  # noqa: E402, F401
+from siltworks import queries_functions, queries_infra, queries_reports, queries_rules, queries_state, queries_tables, queries_views, queries_vulnerabilities  # noqa: E402, F401

@@ -195,11 +195,6 @@ def report_sarif_levels(spark, sf):
     return f.groupBy("rule_id", "rule_index", "level").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({lit(f)}, {lit(e)}, {lit(reports.MEDIA_TYPE[f])})" for f, e in reports.EXTENSION.items()) + ", ('other', 'txt', 'text/plain')) AS t(form, extension, media_type)")
-def report_formats(spark, sf):
-    return spark.createDataFrame([(f, reports.extension(f), reports.media_type(f)) for f in (*reports.EXTENSION, "other")], "form string, extension string, media_type string")
-
-
 # files: each order is a file of a project
 _PLACES = ("src/a.ts", "src/b.PY", "node_modules/x.js", "lib/c.rs", "main.go", "docs/readme.md", "dist/d.java", "web/e.cs", "x/package.json", "vendor/go.mod", "requirements-dev.txt", "app.csproj", "noext")
 _PATH = f"concat(CAST(o_orderkey AS STRING), '/', CASE o_orderkey % {len(_PLACES)} " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PLACES)) + " END)"

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from siltworks.operators import custom_rules as C
 from siltworks.operators import match
 from siltworks.oracles import positions
-from siltworks.plans import rules as plans
 from siltworks.registry import lit, query, table
 
 #: id, name, severity, category, languages, (regex, flags), message, case: code, language, should match, matches, line
@@ -100,53 +99,6 @@ def rule_import(spark, sf):
     return good.agg(F.count("*").alias("imported")).join(bad.agg(F.count("*").alias("refused")))
 
 
-_SELECT = [r for r in _RULES if r[0] in ("url-link", "bad-regex", "long-run")]
-
-
-@query(f"SELECT id FROM (VALUES {', '.join(f'({lit(r[0])})' for r in _SELECT if 'python' in r[4] or '*' in r[4])}) AS t(id)")
-def rule_selection(spark, sf):
-    return C.select(rule_table(spark), categories=("security", "quality"), min_severity="medium", language="Python").select("id")
-
-
-@query("SELECT 'no-var' AS id, true AS enabled UNION ALL SELECT 'long-run', false UNION ALL SELECT 'url-link', true UNION ALL SELECT 'bad-regex', true")
-def rule_changes(spark, sf):
-    rules = rule_table(spark)
-    changed = C.switched(C.removed(rules, ["the-word"]), ["long-run"], False)
-    return C.added(changed, rules.filter("id = 'no-var'")).select("id", "enabled")
-
-
-@query("SELECT * FROM (VALUES ('no-var', 'case 0', true, 1), ('long-run', 'case 1', true, 2), ('the-word', 'case 2', true, 0), ('url-link', 'case 3', false, 1), ('bad-regex', 'case 4', false, 0)) AS t(id, test, passed, found)")
-def rule_tests(spark, sf):
-    return C.run_tests(rule_table(spark)).withColumn("found", F.col("found").cast("int"))
-
-
-_STATS = [("total", "", len(_RULES)), ("enabled", "", len(_RULES) - 1)]
-for _what, _at in (("category", 3), ("severity", 2)):
-    _names = [r[_at] for r in _RULES]
-    _STATS += [(_what, x, _names.count(x)) for x in dict.fromkeys(_names)]
-_langs = [x for r in _RULES for x in r[4]]
-_STATS += [("language", x, _langs.count(x)) for x in dict.fromkeys(_langs)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({lit(a)}, {lit(b)}, {n}::BIGINT)" for a, b, n in _STATS) + ") AS t(what, name, n)")
-def rule_statistics(spark, sf):
-    return C.statistics(rule_table(spark))
-
-
-@query("SELECT 'go,html,javascript,python' AS languages, 'custom,quality,security,style' AS categories")
-def rule_vocabulary(spark, sf):
-    more = rule_table(spark, ("no-var",)).withColumn("languages", F.array(F.lit("go"), F.lit("javascript")))
-    v = C.vocabulary(C.appended(rule_table(spark), more))
-    return v.select(F.array_join(F.filter("languages", lambda x: x != "*"), ",").alias("languages"), F.array_join("categories", ",").alias("categories"))
-
-
-@query(f"SELECT '1.0.0' AS version, {len(_RULES)} AS n, 'Bad regex' AS last")
-def rule_export(spark, sf):
-    j = C.exported(rule_table(spark), "2024-01-01T00:00:00Z")
-    names = F.from_json(F.get_json_object("json", "$.rules[*].name"), "array<string>")
-    return j.select(F.get_json_object("json", "$.version").alias("version"), F.size(names).alias("n"), F.element_at(names, -1).alias("last"))
-
-
 # custom matches over whole pages and documents; a split at marks around each match gives lines and columns in SQL
 @query(
     f"SELECT key AS page_id, 'link to ' || m[7:-2] AS message, line, col AS \"column\", line + length(m) - length(replace(m, chr(10), '')) AS end_line, CASE WHEN contains(m, chr(10)) THEN length(string_split(m, chr(10))[-1]) ELSE col + length(m) END AS end_column, 0.9 AS confidence FROM ({positions(_RULES[3][5][0][0], 'SELECT page_id AS key, html AS body FROM pages')})"
@@ -183,10 +135,3 @@ def custom_soft_limit(spark, sf):
 def rules_triggered(spark, sf):
     f = table(spark, sf, "orders").select(F.concat(F.lit("R"), (F.col("o_orderkey") % 23).cast("string")).alias("rule_id"))
     return C.coverage(f, 12, 15)
-
-
-@query("SELECT * FROM (VALUES ('CORPUS', 5), ('BUILT_IN', 15)) AS t(pack, n)")
-def rule_priorities(spark, sf):
-    """Applicable rules: enabled, not disabled, in the categories asked for, by priority."""
-    rows = [("CORPUS", len(match.applicable(plans.CORPUS_PACK))), ("BUILT_IN", len(match.applicable(plans.BUILT_IN, disabled=["none"])))]
-    return spark.createDataFrame(rows, "pack string, n int")

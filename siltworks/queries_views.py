@@ -260,12 +260,3 @@ SELECT l_suppkey, type, start_line, end_line, n, content, previous FROM (SELECT
 def merged_changes(spark, sf):
     x = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.col("l_returnflag").alias("type"), F.expr("l_orderkey div 40").alias("start_line"), F.expr("l_orderkey div 40 + l_partkey % 90").alias("end_line"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("content"), F.expr("nullif(l_linestatus, 'F')").alias("previous"))
     return I.merged(x, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
-
-
-@query("SELECT 'javascript' AS language, 'lib,y' AS dependencies, 'a,b,one' AS exports UNION ALL SELECT 'python', 'a.b,c,os', 'x,y' UNION ALL SELECT 'java', 'p.Q', '' UNION ALL SELECT 'odd', '', ''")
-def code_relations(spark, sf):
-    code = (("javascript", "import { x } from 'lib'\nconst z = require('y')\nexport { a, b }\nmodule.exports = one"), ("python", "from a.b import c\nimport os\n__all__ = [x, y]"), ("java", "import p.Q;"), ("odd", "import x"))
-    df = spark.createDataFrame(code, "language string, content string")
-    return df.select("language", F.array_join(I.dependencies(F.col("content"), F.col("language")), ",").alias("dependencies"), F.array_join(I.exports(F.col("content"), F.col("language")), ",").alias("exports"))
-
-

@@ -59,6 +59,14 @@ def media_type(form: str) -> str:
     return MEDIA_TYPE.get(form, "text/plain")
 
 
+def extension_of(form: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in EXTENSION.items() for x in kv)), form), F.lit("txt"))
+
+
+def media_type_of(form: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in MEDIA_TYPE.items() for x in kv)), form), F.lit("text/plain"))
+
+
 def canonical(findings: DataFrame) -> DataFrame:
     """All columns by name and type; ``column`` may be called col, and the rule's name defaults to its id."""
     df = findings.withColumnRenamed("col", "column") if "col" in findings.columns and "column" not in findings.columns else findings

@@ -13,7 +13,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -53,12 +53,13 @@ class Recent:
         return [out]
 
 
-def _columns(versions: DataFrame, buckets: int) -> DataFrame:
-    bucket = F.pmod(F.xxhash64(F.col("uri").cast("string")), F.lit(buckets))
+def _columns(versions: DataFrame, buckets: int | Column) -> DataFrame:
+    """``buckets``: how many, or the bucket of each document."""
+    bucket = buckets if isinstance(buckets, Column) else F.pmod(F.xxhash64(F.col("uri").cast("string")), F.lit(buckets))
     return versions.select(bucket.alias("bucket"), F.col("uri").cast("string"), F.col("version").cast("long"), F.col("seq").cast("long"), "language", "content")
 
 
-def analyze(versions: DataFrame, capacity: int = CAPACITY, buckets: int = 1) -> DataFrame:
+def analyze(versions: DataFrame, capacity: int = CAPACITY, buckets: int | Column = 1) -> DataFrame:
     """uri, version, seq, change (new, changed, same), hash, lines, and the scopes with their status, of a table."""
     return over_table(_columns(versions, buckets), "bucket", ["seq"], lambda: Recent(capacity), ANALYZED)
 
@@ -100,7 +101,7 @@ class _Documents(StatefulProcessor):
         pass
 
 
-def analyze_stream(versions: DataFrame, capacity: int = CAPACITY, buckets: int = 1, ttl_ms: int | None = None) -> DataFrame:
+def analyze_stream(versions: DataFrame, capacity: int = CAPACITY, buckets: int | Column = 1, ttl_ms: int | None = None) -> DataFrame:
     """The same on a stream whose micro-batches come in order; with ``ttl_ms`` a document is also forgotten when it has not
     been used for so long, by the clock (such a query does not end by itself under the trigger ``availableNow``)."""
     need_rocksdb(versions.sparkSession)

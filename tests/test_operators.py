@@ -2,8 +2,8 @@
 
 import json
 import random
-import tracemalloc
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -369,3 +369,31 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def manifest_lines(body, of):
+    """Line by line: (line, rule) with the text from each line on written out."""
+    lines, out = body.split("\n"), []
+    for pos, t in enumerate(lines):
+        rest, near = "\n".join(lines[pos:]), "\n".join(lines[max(0, pos - 5) : pos + 5])
+        first = next((r.id for r in of if (q := re.compile(r.patterns[0].regex)).search(rest) and (q.search(t) or (pos > 0 and q.search(near)))), None)
+        if first:
+            out.append((pos + 1, first))
+    return out
+
+
+def test_manifest_rules_in_one_pass(spark):
+    rng = random.Random(11)
+    parts = ["kind: Secret", "stringData:", "data: x", "privileged: true", "resources:", "  limits:", "    cpu: 1", "    other: 2", "capabilities:", "  add:", "  - ALL", "hostPID: true", "", "runAsUser: 0", "x"]
+    bodies = ["\n".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(150)] + ["", "\n\n", "kind: Secret kind: Secret\nstringData: kind: Secret"]
+    got = match.manifest_scan(spark.createDataFrame(list(enumerate(bodies)), "path int, content string"), rules.KUBERNETES).collect()
+    found = {i: sorted((r.line, r.rule_id) for r in got if r.path == i) for i in range(len(bodies))}
+    assert found == {i: manifest_lines(b, rules.KUBERNETES) for i, b in enumerate(bodies)}
+    assert match.manifest_scan(spark.createDataFrame([(1, None)], "path int, content string"), rules.KUBERNETES).collect() == []
+
+
+def test_manifest_of_many_lines(spark):
+    """Twenty thousand lines with a match at the end: the text from each line on would be two gigabytes."""
+    body = "\n".join(["kind: Secret", *(f"  name{i}: value" for i in range(20_000)), "stringData:", "hostIPC: true"])
+    got = match.manifest_scan(spark.createDataFrame([(1, body)], "path int, content string"), rules.KUBERNETES).collect()
+    assert {r.line for r in got} == {*range(19_999, 20_004)}
