@@ -17,11 +17,13 @@ def confidence(match: Column, severity: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.lit(0.7) + more + grave), 6)
 
 
-def false_positive(match: Column, patterns=()) -> Column:
-    """0.2, and 0.1 for each doubtful word in the match, 0.15 for each pattern of the rule, at most 0.9."""
+def false_positive(match: Column, patterns: Column | tuple = ()) -> Column:
+    """0.2, and 0.1 for each doubtful word in the match, 0.15 for each pattern of the rule (regexes, or a column of arrays of them), at most 0.9."""
     low, total = F.lower(match), F.lit(0.2)
     for word in DOUBTFUL:
         total = total + F.when(F.contains(low, F.lit(word)), 0.1).otherwise(0.0)
+    if isinstance(patterns, Column):
+        return F.round(F.least(total + 0.15 * F.size(F.filter(patterns, lambda r: F.rlike(match, r))), F.lit(0.9)), 6)
     for regex in patterns:
         total = total + F.when(match.rlike(f"(?i){regex}"), 0.15).otherwise(0.0)
     return F.round(F.least(total, F.lit(0.9)), 6)

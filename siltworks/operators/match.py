@@ -6,8 +6,9 @@ stage; nothing is shuffled until findings are ranked. Matches of zero width are
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
+import json
+import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,30 +22,58 @@ def newlines(col: Column) -> Column:
     return F.length(col) - F.length(F.translate(col, "\n", ""))
 
 
+_PLACE = "array<struct<match:string,start:int,line:int,col:int,k:int>>"
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def matches(col: Column, regex: str | Column) -> Column:
     """array<struct<match, start, line, col, k>>: all non-overlapping matches with their 0-based offsets, 1-based lines,
     0-based columns and numbers from 0; null where nothing matches.
 
-    What lies between matches is what ``split`` gives. One fold over gaps and matches carries the position along.
+    What lies between matches is what ``split`` gives. A fold over gaps and matches carries the position along; as a fold
+    copies what it has gathered at each step, it gathers in blocks, as many as a block has matches, whose
+    first positions come from a fold that gathers those only.
     """
     test = col.rlike(regex) if isinstance(regex, str) else F.rlike(col, regex)
     found = F.regexp_extract_all(col, F.lit(regex), F.lit(0))
     pairs = F.zip_with(F.slice(F.split(col, regex, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("line"), F.lit(0).alias("col"), F.array().cast("array<struct<match:string,start:int,line:int,col:int,k:int>>").alias("out"))
 
     def after(line: Column, column: Column, part: Column) -> tuple[Column, Column]:
         n = newlines(part)
         return line + n, F.when(n > 0, F.length(F.substring_index(part, "\n", -1))).otherwise(column + F.length(part))
 
-    def step(acc: Column, pair: Column) -> Column:
+    def moved(at: Column, pair: Column) -> tuple[tuple[Column, Column, Column], Column]:
+        """Where the match of a pair is, and the position after it."""
         gap, match = F.coalesce(pair["g"], F.lit("")), pair["m"]
-        at = acc["pos"] + F.length(gap)
-        line, column = after(acc["line"], acc["col"], gap)
-        here = F.struct(match.alias("match"), at.alias("start"), line.alias("line"), column.alias("col"), F.size(acc["out"]).alias("k"))
+        pos = at["pos"] + F.length(gap)
+        line, column = after(at["line"], at["col"], gap)
         next_line, next_column = after(line, column, match)
-        return F.struct((at + F.length(match)).alias("pos"), next_line.alias("line"), next_column.alias("col"), F.concat(acc["out"], F.array(here)).alias("out"))
+        return (pos, line, column), F.struct((pos + F.length(match)).alias("pos"), next_line.alias("line"), next_column.alias("col"), (at["k"] + 1).alias("k"))
+
+    def first(acc: Column, block: Column) -> Column:
+        return F.struct(F.aggregate(block, acc["at"], lambda at, pair: moved(at, pair)[1]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def gathered(acc: Column, pair: Column) -> Column:
+        (pos, line, column), then = moved(acc["at"], pair)
+        here = F.struct(pair["m"].alias("match"), pos.alias("start"), line.alias("line"), column.alias("col"), acc["at"]["k"].alias("k"))
+        return F.struct(then.alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
 
-    out = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def placed(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("line"), F.lit(0).alias("col"), F.lit(0).alias("k"))
+        firsts = F.aggregate(blocks, F.struct(start.alias("at"), F.array().cast("array<struct<pos:int,line:int,col:int,k:int>>").alias("out")), first, lambda acc: acc["out"])
+        one = lambda block, at: F.aggregate(block, F.struct(at.alias("at"), F.array().cast(_PLACE).alias("out")), gathered, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, firsts, one))
+
+    def in_blocks(all_pairs: Column) -> Column:
+        size = F.size(all_pairs)
+        width = F.ceil(F.sqrt(size)).cast("int")
+        return F.transform(F.sequence(F.lit(0), size - 1, width), lambda i: F.slice(all_pairs, i + 1, width))
+
+    out = _bound(pairs, lambda x: _bound(in_blocks(x), placed))
     return F.when(test, F.filter(out, lambda s: s["match"] != ""))
 
 
@@ -54,56 +83,92 @@ def applicable(rules: Iterable[Rule], disabled: Iterable[str] = (), categories:
     return sorted((r for r in rules if r.enabled and r.id not in off and (only is None or r.category in only)), key=lambda r: r.priority)
 
 
-_FINDINGS = "array<struct<rule_id:string,severity:string,category:string,seq:int,match:string,start:int,line:int,col:int>>"
-
-
-def _finding(rule: Rule, seq: int):
-    fixed = (F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.category).alias("category"), F.lit(seq).alias("seq"))
-    return lambda s: F.struct(*fixed, *(s[c].alias(c) for c in ("match", "start", "line", "col")))
-
+def needed(regex: str) -> list[str]:
+    """Lower-case texts of which one at least is in whatever a regex matches, in lower case; none where that is not known.
 
-def _without(regex: str):
-    """Negative patterns look inside the matched text only, in either case."""
-    return lambda s: ~s["match"].rlike(f"(?i){regex}")
-
-
-def here(rule: Rule, language: str | None) -> Column:
-    return F.lit(True) if language is None or "*" in rule.languages else F.col(language).isin(*rule.languages)
+    The longest run of plain characters that each match has; of alternatives, one of each.
+    """
+    from re import _constants as kinds
+    from re import _parser
+
+    def best(options: list[list[str]]) -> list[str]:
+        return max(options, key=lambda words: (min(map(len, words)), -len(words)), default=[])
+
+    def of(items) -> list[str]:
+        options, run = [], ""
+        for kind, value in [*items, (None, None)]:
+            if kind is kinds.LITERAL and value < 128:
+                run += chr(value).lower()
+                continue
+            if run:
+                options.append([run])
+                run = ""
+            if kind is kinds.SUBPATTERN:
+                options.append(of(value[-1]))
+            elif kind in (kinds.MAX_REPEAT, kinds.MIN_REPEAT) and value[0] > 0:
+                options.append(of(value[2]))
+            elif kind is kinds.BRANCH:
+                ways = [of(way) for way in value[1]]
+                options.append(sorted({w for way in ways for w in way}) if all(ways) else [])
+        return best([o for o in options if o])
+
+    try:
+        return of(_parser.parse(regex))
+    except (re.error, OverflowError):  # a dialect of its own; each text is then tried
+        return []
+
+
+_PATTERNS = "array<struct<rule_id:string,severity:string,category:string,name:string,cwe:array<string>,languages:array<string>,doubtful:array<string>,seq:int,regex:string,negative:string,need:array<string>>>"
+
+
+def _listed(rules: list[Rule]) -> Column:
+    """All patterns of the rules as one literal."""
+    rows = [
+        {"rule_id": r.id, "severity": r.severity, "category": r.category, "name": r.name, "cwe": list(r.cwe), "languages": list(r.languages), "doubtful": [f"(?i){x}" for x in r.false_positives], "seq": 100 * i + j, "regex": p.regex,
+         # negative patterns look inside the matched text only, in either case
+         "negative": f"(?i){'|'.join(p.negative)}" if p.negative else None, "need": needed(p.regex)}
+        for i, r in enumerate(rules) for j, p in enumerate(r.patterns)
+    ]
+    return F.from_json(F.lit(json.dumps(rows)), _PATTERNS)
 
 
 def scan(docs: DataFrame, rules: Iterable[Rule], key: str, content: str, language: str | None = None, keep: Iterable[str] = (), details: bool = False) -> DataFrame:
     """One row a match: key, the columns to ``keep``, rule_id, severity, category, seq, match, start, line, col, confidence.
 
     With ``details`` also name, cwe, likelihood (of a false positive) and snippet (one line before, two after).
+
+    All patterns are one literal, and a text is only tried with those of its language of which it has a text that each match
+    has; so the plan is of one size for any number of rules.
     """
-    rules = applicable(rules)
+    keep = list(keep)
     body = F.col(content)
-    arrays = []
-    for i, rule in enumerate(rules):
-        for j, p in enumerate(rule.patterns):
-            found = matches(body, p.regex)
-            if p.negative:
-                found = F.filter(found, _without("|".join(p.negative)))
-            arrays.append(F.coalesce(F.transform(F.when(here(rule, language), found), _finding(rule, 100 * i + j)), F.array().cast(_FINDINGS)))
-    all_found = F.flatten(F.array(*arrays)) if arrays else F.array().cast(_FINDINGS)
-    if details:
-        # the lines around are cut inside the row, so that the text is not copied to each finding
-        all_found = F.transform(all_found, lambda s: s.withField("snippet", text.snippet(body, s["line"])))
-    rows = spread(docs).select(F.col(key), *keep, F.explode(all_found).alias("m")).select(key, *keep, "m.*")
-    out = rows.select(
+
+    def possible(low: Column):
+        def test(p: Column) -> Column:
+            has = (F.size(p["need"]) == 0) | F.exists(p["need"], lambda w: F.contains(low, w))
+            return has if language is None else (F.array_contains(p["languages"], "*") | F.coalesce(F.array_contains(p["languages"], F.col(language)), F.lit(False))) & has
+
+        return test
+
+    def found(p: Column) -> Column:
+        some = F.filter(F.coalesce(matches(body, p["regex"]), F.array().cast(_PLACE)), lambda s: p["negative"].isNull() | ~F.rlike(s["match"], p["negative"]))
+
+        def one(s: Column) -> Column:
+            fields = [*(p[c].alias(c) for c in ("rule_id", "severity", "category", "seq")), *(s[c].alias(c) for c in ("match", "start", "line", "col"))]
+            if details:
+                # the lines around are cut inside the row, so that the text is not copied to each finding
+                fields += [*(p[c].alias(c) for c in ("name", "cwe", "doubtful")), text.snippet(body, s["line"]).alias("snippet")]
+            return F.struct(*fields)
+
+        return F.transform(some, one)
+
+    patterns = _bound(F.lower(body), lambda low: F.filter(_listed(applicable(rules)), possible(low)))
+    rows = spread(docs).select(F.col(key), *keep, F.explode(F.flatten(F.transform(patterns, found))).alias("m")).select(key, *keep, "m.*")
+    out = [
         key, *keep, "rule_id", "severity", "category", "seq", "match", F.col("start").cast("long").alias("start"), F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"),
-        scoring.confidence(F.col("match"), F.col("severity")).alias("confidence"), *(["snippet"] if details else []),
-    )
-    if not details:
-        return out
-    of = lambda get, none: reduce(lambda e, r: F.when(F.col("rule_id") == r.id, get(r)).otherwise(e), rules, none)
-    return out.withColumns(
-        {
-            "name": of(lambda r: F.lit(r.name), F.lit(None).cast("string")),
-            "cwe": of(lambda r: F.array(*map(F.lit, r.cwe)).cast("array<string>"), F.lit(None).cast("array<string>")),
-            "likelihood": of(lambda r: scoring.false_positive(F.col("match"), r.false_positives), scoring.false_positive(F.col("match"))),
-        }
-    )
+        scoring.confidence(F.col("match"), F.col("severity")).alias("confidence"),
+    ]
+    return rows.select(*out, "snippet", "name", "cwe", scoring.false_positive(F.col("match"), F.col("doubtful")).alias("likelihood")) if details else rows.select(*out)
 
 
 def best_of_place(findings: DataFrame, key: str) -> DataFrame:
