@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,18 +32,45 @@ def operations(timed: DataFrame, *by: str) -> DataFrame:
     return timed.groupBy(*by).agg(F.count_if(ended).alias("total"), F.count_if(F.col("ok")).alias("successful"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(~ended).alias("pending"))
 
 
-def distribution(df: DataFrame, value: str, by: Sequence[str] = (), order: Sequence | None = None, last: int | None = None) -> DataFrame:
-    """count, mean, least, most, total, p50, p95, p99 of each group, percentiles by nearest rank; with ``last`` of the last so many by ``order``.
+#: Ranges of values that a group's ranks are looked for in.
+RANGES = 256
+
 
-    Ranks are counted over distinct values with their counts, so that a large group does not meet in one sort buffer.
+def nearest_ranks(rows: DataFrame, value: str, by: Sequence[str], percents: Sequence[int]) -> DataFrame:
+    """The columns ``by``, percent and ``at``: the least value of the group that so many percent of its rows do not exceed.
+
+    Exact, in two steps: a sketch of each group's values cuts them into ranges; the ranges' counts tell in which
+    range each rank lies, and only those ranges are sorted. So neither a sort nor a buffer ever holds
+    all values of a group.
     """
+    keys = [f"_k{i}" for i in range(len(by))]
+    same = lambda other: reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in keys), F.lit(True))
+    renamed = lambda df, other: df.select(*(F.col(k).alias(f"{other}{k}") for k in keys), *(c for c in df.columns if c not in keys))
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 10_000).alias("_cuts"), F.sum("_c").alias("_all"))
+    ranged = counts.join(renamed(cuts, "s"), same("s")).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).select(*keys, "_v", "_c", "_r", "_all")
+    per_range = ranged.groupBy(*keys, "_r").agg(F.sum("_c").alias("_n"), F.first("_all").alias("_all"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.explode(F.array(*(F.struct(F.lit(p).alias("percent"), F.greatest(F.lit(1), F.expr(f"(_all * {p} + 99) div 100")).alias("rank")) for p in percents)))
+    wanted = per_range.withColumn("_before", before).withColumn("_p", ranks).filter((F.col("_p.rank") > F.col("_before")) & (F.col("_p.rank") <= F.col("_before") + F.col("_n")))
+    wanted = wanted.select(*keys, F.col("_r").alias("_in"), F.col("_p.percent").alias("percent"), (F.col("_p.rank") - F.col("_before")).alias("_rank"))
+    some = ranged.join(renamed(wanted, "w"), same("w") & (F.col("_r") == F.col("_in"))).select(*keys, "percent", "_rank", "_v", "_c")
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "percent").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = some.withColumn("_upto", upto).filter("_upto >= _rank").groupBy(*keys, "percent").agg(F.min("_v").alias("at"))
+    return found.select(*(F.col(k).alias(c) for c, k in zip(by, keys)), "percent", "at")
+
+
+def distribution(df: DataFrame, value: str, by: Sequence[str] = (), order: Sequence | None = None, last: int | None = None) -> DataFrame:
+    """count, mean, least, most, total, p50, p95, p99 of each group, percentiles by nearest rank; with ``last`` of the last so many by ``order``."""
     rows = df.filter(F.col(value).isNotNull())
     if last is not None:
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*(F.desc(o) for o in order or [])))).filter(F.col("_n") <= last)
-    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by `{value}`)")
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.sum(value), 4).alias("total"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99")
-    )
+    whole = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.sum(value), 4).alias("total"))
+    p = lambda q: F.max(F.when(F.col("percent") == q, F.col("at"))).alias(f"p{q}")
+    ranks = nearest_ranks(rows, value, by, (50, 95, 99)).groupBy(*by).agg(p(50), p(95), p(99))
+    ranks = ranks.select(*(F.col(c).alias(f"_{c}") for c in by), "p50", "p95", "p99")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.lit(True))
+    return whole.join(ranks, same, "left").drop(*(f"_{c}" for c in by))
 
 
 def analysis_times(timed: DataFrame) -> DataFrame:

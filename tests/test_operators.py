@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltworks import queries as engine
 from siltworks.functions import normalize, severity, text
-from siltworks.operators import cache, custom_rules, extension, incremental, joins, match, state, vulnerabilities, windows
+from siltworks.operators import cache, custom_rules, extension, incremental, joins, match, monitor, state, vulnerabilities, windows
 from siltworks.operators import settings as settings_op
 from siltworks.plans import rules
 from siltworks.sources import files, reports
@@ -397,3 +397,17 @@ def test_manifest_of_many_lines(spark):
     body = "\n".join(["kind: Secret", *(f"  name{i}: value" for i in range(20_000)), "stringData:", "hostIPC: true"])
     got = match.manifest_scan(spark.createDataFrame([(1, body)], "path int, content string"), rules.KUBERNETES).collect()
     assert {r.line for r in got} == {*range(19_999, 20_004)}
+
+
+def test_percentiles_of_a_hot_key(spark):
+    """By nearest rank, whatever the values: many, few, negative, one, and of a group without a name."""
+    rng = random.Random(12)
+    rows = [("hot", rng.gauss(0, 1)) for _ in range(4000)] + [("hot", 0.25)] * 1500 + [("few", float(rng.randint(0, 3))) for _ in range(50)] + [("one", -7.5)] + [(None, float(i)) for i in range(20)] + [("none", None)]
+    got = {r.k: r for r in monitor.distribution(spark.createDataFrame(rows, "k string, v double"), "v", ["k"]).collect()}
+    assert set(got) == {"hot", "few", "one", None}
+    for k, r in got.items():
+        values = sorted(v for g, v in rows if g == k)
+        assert (r.n, r.least, r.most) == (len(values), values[0], values[-1])
+        assert [r.p50, r.p95, r.p99] == [values[-(-len(values) * q // 100) - 1] for q in (50, 95, 99)]
+    whole = monitor.distribution(spark.createDataFrame(rows, "k string, v double"), "v").collect()
+    assert len(whole) == 1 and whole[0].n == len(rows) - 1
