@@ -9,7 +9,7 @@ from siltworks.operators import incremental as I
 from siltworks.plans import rules as plans
 from siltworks.queries_views import _V
 from siltworks.registry import lit, query, table
-from siltworks.sources import reports
+from siltworks.sources import plugins, reports
 from siltworks.streaming import cached, documents
 
 # one rule a customer, k; ``x`` is the same in both dialects
@@ -179,3 +179,27 @@ def cache_replay(spark, sf):
     e = table(spark, sf, "events").filter("event_id is not null and ts is not null")
     ops = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), *(F.expr(x).alias(n) for n, x in _OPS.items()))
     return cached.replay(ops).select(F.col("seq").alias("event_id"), "tier", "result", "promoted")
+
+
+# a nation's customers have one manifest each, in folders of four classes
+_MANIFESTS = (
+    "SELECT c_nationkey AS owner, (c_custkey % 4)::INT AS place, '/f' || (c_custkey % 4) || '/p' || c_custkey || '/plugin.json' AS path, CASE WHEN c_custkey % 6 > 0 THEN 'plugin-' || (c_custkey % 23) END AS id, CASE c_custkey % 8 WHEN 0 THEN '' ELSE c_name END AS name, c_custkey % 9 <> 3 AS whole, "
+    "CASE WHEN c_custkey % 5 = 1 THEN 'Shown ' || c_custkey END AS shown, c_custkey % 3 AS n FROM customer WHERE c_custkey IS NOT NULL"
+)
+
+
+@query(
+    f"WITH m AS (SELECT *, whole AND id IS NOT NULL AND name <> '' AS valid FROM ({_MANIFESTS})), f AS (SELECT *, valid AND row_number() OVER (PARTITION BY owner, valid, id ORDER BY place, path) = 1 AS first FROM m), c AS (SELECT *, count(*) FILTER (first) OVER (PARTITION BY owner ORDER BY place, path ROWS UNBOUNDED PRECEDING) AS upto FROM f) "
+    "SELECT owner, place, path, CASE WHEN whole THEN id END AS id, CASE WHEN whole THEN coalesce(shown, name) END AS name, CASE WHEN NOT valid THEN 'invalid' WHEN NOT first THEN 'repeated' WHEN upto > 3 THEN 'refused' ELSE 'enabled' END AS status, CASE WHEN whole THEN n ELSE 0 END::INT AS rules FROM c"
+)
+def plugin_manifests(spark, sf):
+    """What becomes of each manifest where three plugins are taken for each owner."""
+    c = table(spark, sf, "customer").filter("c_custkey is not null")
+    k = F.col("c_custkey")
+    rule = F.concat(F.lit('{"id":"r'), k.cast("string"), F.lit('","name":"a rule"}'))
+    content = F.concat(
+        F.lit("{"), F.when(k % 6 > 0, F.concat(F.lit('"id":"plugin-'), (k % 23).cast("string"), F.lit('",'))).otherwise(""), F.lit('"name":"'), F.when(k % 8 > 0, F.col("c_name")).otherwise(""), F.lit('","version":"1.0.0"'),
+        F.when(k % 5 == 1, F.concat(F.lit(',"displayName":"Shown '), k.cast("string"), F.lit('"'))).otherwise(""), F.lit(',"contributes":{"rules":['), F.array_join(F.array_repeat(rule, (k % 3).cast("int")), ","), F.when(k % 9 == 3, "]}").otherwise("]}}"),
+    )
+    files = c.select(F.col("c_nationkey").alias("owner"), (k % 4).cast("int").alias("place"), F.concat(F.lit("/f"), (k % 4).cast("string"), F.lit("/p"), k.cast("string"), F.lit("/plugin.json")).alias("path"), content.alias("content"))
+    return plugins.manifests(files, ["owner"], 3).select("owner", "place", "path", "id", "name", "status", F.size("rules").alias("rules"))

@@ -13,7 +13,7 @@ from siltworks.functions import normalize, severity, text
 from siltworks.operators import cache, custom_rules, extension, incremental, joins, match, monitor, state, vulnerabilities, windows
 from siltworks.operators import settings as settings_op
 from siltworks.plans import rules
-from siltworks.sources import files, reports
+from siltworks.sources import files, plugins, reports
 from siltworks.streaming import delivery, rates
 
 
@@ -411,3 +411,21 @@ def test_percentiles_of_a_hot_key(spark):
         assert [r.p50, r.p95, r.p99] == [values[-(-len(values) * q // 100) - 1] for q in (50, 95, 99)]
     whole = monitor.distribution(spark.createDataFrame(rows, "k string, v double"), "v").collect()
     assert len(whole) == 1 and whole[0].n == len(rows) - 1
+
+
+def test_plugins_of_folders(spark, tmp_path):
+    rule = {"id": "a-rule", "name": "A rule", "description": "x", "version": "1.0.0", "severity": "high", "category": "style", "languages": ["*"], "patterns": [{"type": "regex", "value": "a+"}], "message": {"default": "no"}, "enabled": False}
+    own = {
+        "user/zeta/plugin.json": {"id": "one", "name": "One of the user", "version": "2.0.0"}, "mine/alpha/plugin.json": {"id": "one", "name": "One", "displayName": "The one", "version": "1.0.0", "contributes": {"rules": [rule, {"id": "x"}]}},
+        "mine/beta/plugin.json": {"id": "two", "name": "Two"}, "mine/loose.json": {"rules": []}, "mine/alpha/other.json": {"id": "no"}, "mine/gamma/readme.json": {}, "user/late/plugin.json": {"id": "three", "name": "Three", "version": "1.0.0"},
+    }
+    for name, body in own.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(body))
+    (tmp_path / "mine/delta").mkdir()
+    (tmp_path / "mine/delta/plugin.json").write_text("{no json")
+    found = plugins.read_folders(spark, {"settings": [str(tmp_path / "mine"), str(tmp_path / "nowhere")], "user": [str(tmp_path / "user")]})
+    assert sorted(r.path.rsplit("/", 2)[-1] for r in found.collect()) == ["loose.json", *["plugin.json"] * 5]
+    got = plugins.manifests(found, most=1)
+    assert {r.path.split("/")[-2]: (r.place, r.name, r.status) for r in got.collect()} == {"alpha": (0, "The one", "enabled"), "beta": (0, "Two", "invalid"), "delta": (0, None, "invalid"), "zeta": (3, "One of the user", "repeated"), "late": (3, "Three", "refused")}
+    assert [(r.plugin, r.id, r.enabled, r.valid) for r in plugins.contributed(got).orderBy("ord").collect()] == [("one", "a-rule", True, True), ("one", "x", True, False)]
