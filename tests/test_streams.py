@@ -1,12 +1,13 @@
 """Operators with keyed state: over micro-batches they give what they give over the whole table."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from siltworks.operators import cache, incremental, windows
-from siltworks.streaming import cached, debounce, documents, stateful
+from siltworks.streaming import cached, debounce, documents, messages, stateful
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +127,53 @@ def test_a_store_without_timers_is_refused(spark):
     stream = spark.readStream.format("rate").load()
     with pytest.raises(ValueError, match="RocksDB"):
         debounce.debounce(stream, "value", "timestamp", 1)
+
+
+def test_messages_of_all_kinds_over_a_restart(spark, tmp_path):
+    """Three queries: one ends, one fails, one is cancelled; then the log goes on where it was."""
+    schema = "seq long, severity string"
+    rows = [(i, s) for i, s in enumerate(["low", "high", "critical"] * 4)]
+    for i in range(2):
+        spark.createDataFrame(rows[6 * i : 6 * i + 6], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).otherwise(2)
+
+    def run(log, name, sink, check):
+        return stream().writeStream.queryName(name).foreachBatch(sink).option("checkpointLocation", str(tmp_path / check)).trigger(availableNow=True).start()
+
+    def told(log, work):
+        listener = messages.Told(log)
+        spark.streams.addListener(listener)
+        try:
+            work()
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        finally:
+            spark.streams.removeListener(listener)
+
+    def broken(df, batch):
+        raise RuntimeError("sink is gone")
+
+    log = messages.MessageLog(spark, str(tmp_path / "log"))
+    sink = log.issues("good", [rank, F.col("seq")], 4)
+
+    def first():
+        run(log, "good", sink, "good").awaitTermination()
+        with pytest.raises(Exception, match="sink is gone"):
+            run(log, "bad", broken, "bad").awaitTermination()
+        log.cancel(spark.readStream.format("rate").load().writeStream.queryName("endless").format("noop").start())
+
+    told(log, first)
+    before = log.read().orderBy("sequence").collect()
+    assert {m.kind for m in before} == set(messages.KINDS)
+    assert [m.sequence for m in before] == list(range(1, len(before) + 1))
+    issues = [json.loads(m.payload)["severity"] for m in before if m.kind == "issue"]
+    assert issues == ["critical"] * 2 + ["high"] * 2 + ["low"] * 2 + ["critical"] * 2 + ["high"] * 2 + ["low"] * 2
+    assert [json.loads(m.payload)["issues"] for m in before if m.kind == "batch"] == [4, 6, 4, 6]
+    # another process: a batch that comes again changes nothing, what is new goes on from the last number
+    again = messages.MessageLog(spark, str(tmp_path / "log"))
+    again.issues("good", [rank, F.col("seq")], 4)(spark.createDataFrame(rows[6:], schema), 1)
+    assert [tuple(m) for m in again.read().orderBy("sequence").collect()] == [tuple(m) for m in before]
+    again.issues("good", [rank, F.col("seq")], 4)(spark.createDataFrame(rows[:1], schema), 2)
+    again.say("completed", "good")
+    after = [m.sequence for m in again.read().orderBy("sequence").collect()]
+    assert after == list(range(1, len(before) + 4))
