@@ -114,6 +114,28 @@ def replace_first(col: Column, old: Column, new: Column) -> Column:
     return F.when((at > 0) & (F.length(old) > 0), F.concat(F.substring(col, F.lit(1), at - 1), new, F.substring(col, at + F.length(old), F.length(col)))).otherwise(col)
 
 
+#: Fixed value: where a range ends that does not say in which column.
+LAST_COLUMN = 999
+
+
+def fixed(content: Column, original: Column, new: Column, start_line: Column, start_column: Column, end_line: Column, end_column: Column) -> Column:
+    """``new`` in place of the first exact occurrence of ``original``; where that is empty or not there, in place of the range
+    (lines from 1, columns from 0; no end column, or 0, is the line's end). A range beyond the text ends with it, one that ends before it
+    begins is turned round, and one without lines or without a new text changes nothing."""
+    lines = F.split(content, "\n", -1)
+
+    def offset(line: Column, column: Column) -> Column:
+        before = F.length(F.array_join(F.slice(lines, 1, F.greatest(line - 1, F.lit(0))), "\n")) + F.when(line > 1, 1).otherwise(0)
+        return F.when(line > F.size(lines), F.length(content)).otherwise(before + F.least(column, F.length(F.get(lines, line - 1))))
+
+    a = offset(start_line, F.coalesce(start_column, F.lit(0)))
+    b = offset(end_line, F.when(end_column > 0, end_column).otherwise(LAST_COLUMN))
+    in_range = F.concat(F.substring(content, F.lit(1), F.least(a, b)), new, F.substring(content, F.greatest(a, b) + 1, F.length(content)))
+    exact = (F.length(original) > 0) & (F.position(original, content) > 0)
+    usable = (start_line >= 1) & (end_line >= 1)
+    return F.when(~F.coalesce(F.length(new) > 0, F.lit(False)), content).when(F.coalesce(exact, F.lit(False)), replace_first(content, original, new)).when(F.coalesce(usable, F.lit(False)), in_range).otherwise(content)
+
+
 def template(message: Column, values: dict[str, Column]) -> Column:
     """``{{name}}`` replaced by its value, the first occurrence of each name only; null counts as empty."""
     for name, value in values.items():

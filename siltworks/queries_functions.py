@@ -16,10 +16,10 @@ def fingerprints(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", text.poly_hash(F.col("c_name")).alias("fingerprint"))
 
 
-@query(f"SELECT doc_id, printf('%x', abs({_HASH.format('substr(text, 1, 300)')})) AS fingerprint FROM documents WHERE text <> ''")
+@query(f"SELECT doc_id, printf('%x', abs({_HASH.format('text')})) AS fingerprint FROM documents WHERE text <> ''")
 def text_fingerprints(spark, sf):
     d = table(spark, sf, "documents").filter("text != ''")
-    return d.select("doc_id", text.poly_hash(F.substring("text", 1, 300)).alias("fingerprint"))
+    return d.select("doc_id", text.poly_hash(F.col("text")).alias("fingerprint"))
 
 
 _SANE = "regexp_replace(coalesce(html, ''), '[\\x00-\\x1F\\x7F]', '', 'g')"
@@ -37,6 +37,26 @@ def apply_fix(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.replace_first(F.col("url"), F.lit("/"), F.lit("|")).alias("fixed"))
 
 
+_LINE = "string_split(html, chr(10))"
+
+
+def _offset(line: str, column: str) -> str:
+    """Characters before a place: of the lines before it, each with its end, and of its own line."""
+    return f"CASE WHEN {line} > len({_LINE}) THEN length(html) ELSE coalesce(list_sum(list_transform({_LINE}[1:{line} - 1], lambda x: length(x) + 1)), 0) + least({column}, length({_LINE}[{line}])) END"
+
+
+@query(
+    f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN html WHEN page_id % 3 = 0 AND contains(html, '<p>') THEN substr(html, 1, instr(html, '<p>') - 1) || 'NEW' || substr(html, instr(html, '<p>') + 3) "
+    f"ELSE substr(html, 1, least(a, b)::BIGINT) || 'NEW' || substr(html, greatest(a, b)::BIGINT + 1) END AS fixed FROM (SELECT *, {_offset('l', 'c')} AS a, {_offset('m', 'd')} AS b FROM (SELECT page_id, html, (page_id % 4 + 1)::INT AS l, (page_id % 13)::INT AS c, (page_id % 6 + 1)::INT AS m, (CASE page_id % 9 WHEN 0 THEN 999 ELSE page_id % 9 END)::INT AS d FROM pages))"
+)
+def fixes_by_range(spark, sf):
+    """A fix for each page: of a text where it is there, else of a range of lines and columns; every fifth has none."""
+    k = F.col("page_id")
+    n = lambda x: x.cast("int")
+    new = F.when(k % 5 > 0, "NEW")
+    return table(spark, sf, "pages").select("page_id", text.fixed(F.col("html"), F.when(k % 3 == 0, "<p>").otherwise("not there"), new, n(k % 4 + 1), n(k % 13), n(k % 6 + 1), n(k % 9)).alias("fixed"))
+
+
 @query("SELECT event_id, 'type ' || event_type || ' at ' || coalesce(user_id::VARCHAR, '') || ', again {{type}} {{none}}' AS message FROM events")
 def message_template(spark, sf):
     m = text.template(F.lit("type {{type}} at {{$1}}, again {{type}} {{none}}"), {"type": F.col("event_type"), "$1": F.col("user_id")})

@@ -168,20 +168,44 @@ _E = lambda x: _esc(f"coalesce({x}, '')", "&#039;")
 _GROUPS = "(SELECT category, count(*) AS n, min(seq) AS first FROM f GROUP BY category)"
 
 
+_HTML_HEAD = (
+    "'<!DOCTYPE html>' || chr(10) || '<html lang=\"en\">' || chr(10) || '<head><meta charset=\"UTF-8\"><title>Scan &lt;1&gt;</title></head>' || chr(10) || '<body>' || chr(10) || '<h1>Scan &lt;1&gt;</h1>' || chr(10) || '<p>2024-01-01T00:00:00Z</p>' || chr(10) || "
+    + " || ".join(f"'<div class=\"card {s}\"><b>' || {s} || '</b> {s.capitalize()}</div>'" for s in ("critical", "high", "medium", "low", "info"))
+    + " || '<div class=\"card\"><b>' || total || '</b> Total</div>'"
+)
+
+
 @query(
     _document(
         (1, 0, "first", 0, "NULL", f"'<section><h3>' || {_E('category')} || ' (' || n || ')</h3>'", _GROUPS),
         (1, 0, "first", 1, "seq", f"'<div class=\"issue\"><b>' || {_E('rule_name')} || '</b> <i class=\"' || lower(severity) || '\">' || severity || '</i> <i>' || {_E('category')} || '</i><p>📁 ' || {_E('file')} || ':' || line || ':' || \"column\" || '</p><p>' || {_E('message')} || '</p>' || CASE WHEN snippet <> '' THEN '<pre>' || {_E('snippet')} || '</pre>' ELSE '' END || CASE WHEN suggestion <> '' THEN '<p>💡 ' || {_E('suggestion')} || '</p>' ELSE '' END || '<small>' || floor(confidence * 100 + 0.5)::BIGINT || '%' || CASE WHEN len(cwe) > 0 THEN ' ' || array_to_string(cwe, ', ') ELSE '' END || CASE WHEN fix_available THEN ' 🔧' ELSE '' END || '</small></div>'", f"f JOIN (SELECT category AS k, first FROM {_GROUPS}) ON k = category"),
         (1, 0, "first", 2, "NULL", "'</section>'", _GROUPS),
+        (0, 0, "NULL", 1, "NULL", _HTML_HEAD, "n"),
+        (2, 0, "NULL", 1, "NULL", "'</body>' || chr(10) || '</html>'", "n"),
     )
 )
 def report_html(spark, sf):
-    return reports.document(findings(spark, sf), "html", META).filter("part = 1")
+    """The whole page."""
+    return reports.document(findings(spark, sf), "html", META)
+
+
+_TEXTS, _NUMBERS, _LISTS = ("id", "rule_id", "rule_name", "severity", "category", "message", "description", "file", "suggestion", "snippet"), ("line", "column", "end_line", "end_column", "confidence", "fix_available", "cvss"), ("cwe", "owasp")
+
+
+def _field(name: str) -> str:
+    """A field of an object of JSON with the comma before it, or nothing where it is null."""
+    c = f'"{name}"'
+    inner = f"'\"' || replace({c}, '\"', '\\\"') || '\"'" if name in _TEXTS else f"'[\"' || array_to_string({c}, '\",\"') || '\"]'" if name in _LISTS else f"{c}::VARCHAR"
+    return f"CASE WHEN {c} IS NOT NULL THEN ',\"{name}\":' || {inner} ELSE '' END"
+
+
+_ISSUE = "'{' || substr(" + " || ".join(_field(n) for n in reports._COLUMNS) + ", 2) || '}'"
 
 
-@query(_document((0, 0, "NULL", 1, "NULL", "'{\"metadata\":{\"title\":\"Scan <1>\",\"generatedAt\":\"2024-01-01T00:00:00Z\"},\"summary\":{\"totalIssues\":' || total || ',\"criticalCount\":' || critical || ',\"highCount\":' || high || ',\"mediumCount\":' || medium || ',\"lowCount\":' || low || ',\"infoCount\":' || info || '},\"issues\":['", "n"), (2, 0, "NULL", 1, "NULL", "']}'", "n")))
+@query(_document((0, 0, "NULL", 1, "NULL", "'{\"metadata\":{\"title\":\"Scan <1>\",\"generatedAt\":\"2024-01-01T00:00:00Z\"},\"summary\":{\"totalIssues\":' || total || ',\"criticalCount\":' || critical || ',\"highCount\":' || high || ',\"mediumCount\":' || medium || ',\"lowCount\":' || low || ',\"infoCount\":' || info || '},\"issues\":['", "n"), (1, 0, "NULL", 1, "seq", f"{_list('f')} || {_ISSUE}", "f"), (2, 0, "NULL", 1, "NULL", "']}'", "n")))
 def report_json(spark, sf):
-    return reports.document(findings(spark, sf), "json", META).filter("part != 1")
+    """The whole document."""
+    return reports.document(findings(spark, sf), "json", META)
 
 
 @query(f"SELECT seq FROM (SELECT * FROM ({_F}) WHERE lower(severity) NOT IN ('low', 'info') ORDER BY confidence DESC, seq LIMIT 25)")

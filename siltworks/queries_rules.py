@@ -109,11 +109,11 @@ def custom_matches(spark, sf):
 
 
 @query(
-    f"SELECT key AS doc_id, count(*) AS n, min(line) AS first_line, sum(col)::BIGINT AS columns FROM ({positions('[Tt][Hh][Ee] [A-Za-z0-9_]+', 'SELECT doc_id AS key, text AS body FROM documents WHERE NOT regexp_matches(text, chr(1) || chr(124) || chr(2))')}) GROUP BY 1"
+    f"SELECT key AS doc_id, count(*) AS n, min(line) AS first_line, sum(col)::BIGINT AS columns FROM ({positions('[Tt][Hh][Ee] [A-Za-z0-9_]+', 'SELECT doc_id AS key, text AS body FROM documents')}) GROUP BY 1"
 )
 def wordpositions(spark, sf):
     """Lines and columns of every match in whole documents."""
-    d = table(spark, sf, "documents").filter(~F.col("text").rlike("\x01|\x02"))
+    d = table(spark, sf, "documents")
     found = d.select("doc_id", F.explode(match.matches(F.col("text"), "[Tt][Hh][Ee] [A-Za-z0-9_]+")).alias("m"))
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("m.line").cast("long").alias("first_line"), F.sum("m.col").alias("columns"))
 

@@ -142,10 +142,12 @@ def cache_size_estimate(spark, sf):
     return table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.sum(C.size_estimate(key, F.col("c_name"))).alias("bytes"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars > 10240 AND n_chars * (doc_id % 9) / 10 < n_chars * 0.9 THEN n_chars * (doc_id % 9) // 10 ELSE n_chars END AS stored FROM documents WHERE n_chars IS NOT NULL")
+@query("SELECT doc_id, CASE WHEN n > 10240 AND z < n * 0.9 THEN z ELSE n END AS stored FROM (SELECT doc_id, 2 * length(text) AS n, length(regexp_replace(text, '[aeiou]', '', 'g')) * (doc_id % 3 + 1) AS z FROM documents WHERE text IS NOT NULL)")
 def cache_stored_size(spark, sf):
-    d = table(spark, sf, "documents").filter("n_chars is not null")
-    return d.select("doc_id", C.stored_size(F.col("n_chars"), F.floor(F.col("n_chars") * (F.col("doc_id") % 9) / 10)).cast("long").alias("stored"))
+    """Whole texts, and what is left of them without vowels for a compressed form."""
+    d = table(spark, sf, "documents").filter("text is not null")
+    packed = F.length(F.regexp_replace("text", "[aeiou]", "")) * (F.col("doc_id") % 3 + 1)
+    return d.select("doc_id", C.stored_size(2 * F.length("text"), packed).cast("long").alias("stored"))
 
 
 @query("SELECT doc_id, 'analysis:' || substr(sha256('{\"codeHash\":\"' || sha256(text) || '\"' || CASE WHEN lang IS NOT NULL THEN ',\"language\":\"' || lang || '\"' ELSE '' END || '}'), 1, 16) AS key FROM documents WHERE text IS NOT NULL")
@@ -257,9 +259,12 @@ def circuit_breaker(spark, sf):
     return state.circuit_breaker(calls, failures=5, window=86400, wait=3600).select("endpoint", "seq", "state")
 
 
-@query("SELECT conv_id::VARCHAR AS uri, turn AS version, CASE WHEN lag(substr(text, 1, 1)) OVER w IS NULL THEN 'new' WHEN lag(substr(text, 1, 1)) OVER w = substr(text, 1, 1) THEN 'same' ELSE 'changed' END AS change FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query("SELECT conv_id::VARCHAR AS uri, turn AS version, CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN 'new' WHEN lag(text) OVER w IS NOT DISTINCT FROM text THEN 'same' ELSE 'changed' END AS change FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'the same' ELSE text END AS text FROM conversations UNION ALL SELECT conv_id, turn + 100, text FROM conversations WHERE turn % 3 = 1) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def document_changes(spark, sf):
-    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("uri"), F.col("turn").alias("version"), F.substring("text", 1, 1).alias("content"))
+    """Whole turns as versions; some are like the one before."""
+    c = table(spark, sf, "conversations")
+    versions = c.select(F.col("conv_id").alias("uri"), F.col("turn").alias("version"), F.when(F.col("turn") % 3 == 0, "the same").otherwise(F.col("text")).alias("content"))
+    c = versions.unionByName(c.filter("turn % 3 = 1").select(F.col("conv_id").alias("uri"), (F.col("turn") + 100).alias("version"), F.col("text").alias("content")))
     return state.document_changes(c).select("uri", "version", "change")
 
 
