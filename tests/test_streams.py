@@ -123,10 +123,13 @@ def test_cache_as_lookups_of_a_table(spark):
     assert rows_of(got) == rows_of(looked.select("ask", "key", "tier", "result", "promoted"))
 
 
-def test_a_store_without_timers_is_refused(spark):
-    stream = spark.readStream.format("rate").load()
-    with pytest.raises(ValueError, match="RocksDB"):
-        debounce.debounce(stream, "value", "timestamp", 1)
+def test_a_store_without_timers_is_refused(rocks):
+    rocks.conf.set(stateful.PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        with pytest.raises(ValueError, match="RocksDB"):
+            debounce.debounce(rocks.readStream.format("rate").load(), "value", "timestamp", 1)
+    finally:
+        rocks.conf.set(stateful.PROVIDER, stateful.ROCKSDB)
 
 
 def test_messages_of_all_kinds_over_a_restart(spark, tmp_path):
