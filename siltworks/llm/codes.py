@@ -3,7 +3,7 @@
 Method: the entries of a part's codebook are sorted by norm. By the triangle inequality an entry at a distance of
 at most d from a vector has a norm within d of the vector's. A vector's current best distance comes from the entries
 around its norm; binary search then gives the interval of norms which that distance allows, its ends included, and
-only the entries of that annulus are evaluated exactly. Vectors of like norm share one block, whose annulus is the
+only the entries of that annulus are evaluated exactly, each once. Vectors of like norm share one block, whose annulus is the
 union of theirs. Equal distances go to the lower index.
 
 Edge cases: a null vector, or one with a null or non-finite component, is dropped; so is a vector shorter than the
@@ -64,14 +64,15 @@ class Annuli:
         for at in range(0, n, BLOCK):
             rows = by_norm[at : at + BLOCK]
             part, part_xx, r = x[rows], xx[rows], norm[rows]
-            lo = max(0, int(np.searchsorted(self.norm, r[0])) - SEEDS)
-            hi = min(m, int(np.searchsorted(self.norm, r[-1], side="right")) + SEEDS)
-            best = np.sqrt(self._distances(part, part_xx, lo, hi).min(axis=1).astype(np.float64))
+            first = max(0, int(np.searchsorted(self.norm, r[0])) - SEEDS)
+            end = min(m, int(np.searchsorted(self.norm, r[-1], side="right")) + SEEDS)
+            dist = self._distances(part, part_xx, first, end)
+            best = np.sqrt(dist.min(axis=1).astype(np.float64))
             # what rounding of the roots can take away is given back: an annulus too wide loses nothing
             slack = 1e-9 * (1 + r + best)
             inner, outer = (r - best - slack).min(), (r + best + slack).max()
-            lo, hi = int(np.searchsorted(self.norm, inner)), int(np.searchsorted(self.norm, outer, side="right"))
-            dist = self._distances(part, part_xx, lo, hi)
+            lo, hi = min(first, int(np.searchsorted(self.norm, inner))), max(end, int(np.searchsorted(self.norm, outer, side="right")))
+            dist = np.concatenate([self._distances(part, part_xx, lo, first), dist, self._distances(part, part_xx, end, hi)], axis=1)
             least[rows] = dist.min(axis=1)
             index[rows] = np.where(dist == least[rows][:, None], self.order[None, lo:hi], m).min(axis=1)
         return index, least
