@@ -77,21 +77,9 @@ def title_words(col: Column) -> Column:
     return F.initcap(F.replace(col, F.lit("_"), F.lit(" ")))
 
 
-def line_of(text: Column, offset: Column) -> Column:
-    """1-based line of a 0-based offset."""
-    return F.size(F.split(F.substring(text, F.lit(1), offset), "\n", -1)).cast("long")
-
-
-def column_of(text: Column, offset: Column) -> Column:
-    """0-based column of a 0-based offset."""
-    return F.length(F.substring_index(F.substring(text, F.lit(1), offset), "\n", -1)).cast("long")
-
-
-def snippet(text: Column, line: Column, before: int = 1, after: int = 2) -> Column:
-    """The lines around a 1-based line."""
-    lines = F.split(text, "\n", -1)
-    first = F.greatest(F.lit(1), line - before)
-    return F.array_join(F.slice(lines, first.cast("int"), (line + after - first + 1).cast("int")), "\n")
+def snippet(lines: Column, line: Column, before: int = 1, after: int = 2) -> Column:
+    """The lines around a 1-based line of a text's ``lines``; line by line, as a slice would copy them all."""
+    return F.array_join(F.array(*(F.get(lines, (line - 1 + d).cast("int")) for d in range(-before, after + 1))), "\n")
 
 
 #: Longer input is cut after it is escaped.

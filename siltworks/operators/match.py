@@ -153,14 +153,16 @@ def scan(docs: DataFrame, rules: Iterable[Rule], key: str, content: str, languag
     def found(p: Column) -> Column:
         some = F.filter(F.coalesce(matches(body, p["regex"]), F.array().cast(_PLACE)), lambda s: p["negative"].isNull() | ~F.rlike(s["match"], p["negative"]))
 
-        def one(s: Column) -> Column:
+        def one(s: Column, lines: Column | None = None) -> Column:
             fields = [*(p[c].alias(c) for c in ("rule_id", "severity", "category", "seq")), *(s[c].alias(c) for c in ("match", "start", "line", "col"))]
             if details:
                 # the lines around are cut inside the row, so that the text is not copied to each finding
-                fields += [*(p[c].alias(c) for c in ("name", "cwe", "doubtful")), text.snippet(body, s["line"]).alias("snippet")]
+                fields += [*(p[c].alias(c) for c in ("name", "cwe", "doubtful")), text.snippet(lines, s["line"]).alias("snippet")]
             return F.struct(*fields)
 
-        return F.transform(some, one)
+        if not details:
+            return F.transform(some, lambda s: one(s))
+        return _bound(F.split(body, "\n", -1), lambda lines: F.transform(some, lambda s: one(s, lines)))
 
     patterns = _bound(F.lower(body), lambda low: F.filter(_listed(applicable(rules)), possible(low)))
     rows = spread(docs).select(F.col(key), *keep, F.explode(F.flatten(F.transform(patterns, found))).alias("m")).select(key, *keep, "m.*")
@@ -197,7 +199,7 @@ def missing_user(files: DataFrame, path: str = "path", content: str = "content")
 
 
 def file_type(path: Column, content: Column) -> Column:
-    """Kind of an infrastructure file by name, then extension, then content; null where it is none."""
+    """Kind of an infrastructure file by name, then extension, then content; null where it is none. The patterns are fixed values."""
     low = F.lower(path)
     name = F.substring_index(low, "/", -1)
     yaml = name.rlike(r"\.ya?ml$")

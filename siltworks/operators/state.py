@@ -1,7 +1,9 @@
 """Sequential state machines per key: circuit breaker and alerts with cooldown, on tables and on streams.
 
 Each step depends on all earlier ones of its key, so a key's rows are worked off in order, in Arrow batches; the
-state itself is small and bounded. On a table a key's history is one group; on a stream only the state stays.
+state itself is small and bounded. On a table a key's history streams through one task, which holds the state and a batch;
+on a stream only the state stays. A micro-batch is put in order, but the rows of one batch all come after those of the batches
+before: late rows are worked off when they come, and a key's state never ends (``siltworks.streaming`` has operators with watermarks).
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.session import ship
+from siltworks.streaming.stateful import over_table
 
 _TESTS: dict[str, Callable[[float, float], bool]] = {
     "gt": lambda v, t: v > t,
@@ -105,11 +108,24 @@ def _raised(step: Alarm, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["metric", "at", "level", "value"])
 
 
-def _run(rows: DataFrame, key: str, make: Callable, apply: Callable, schema: str) -> DataFrame:
-    """A machine for each key: over whole groups of a table, or with its state kept between the batches of a stream."""
+_NAN = float("nan")
+
+
+def _number(x: float | None) -> float:
+    return _NAN if x is None else x
+
+
+def _run(rows: DataFrame, key: str, order: list[str], make: Callable, each: Callable[..., list[dict]], apply: Callable, schema: str) -> DataFrame:
+    """A machine for each key: ``each`` of a table's rows in their order (nulls last), or ``apply`` of what a micro-batch of a
+    stream has, with the state kept between batches."""
     ship(rows.sparkSession)
     if not rows.isStreaming:
-        return rows.groupBy(key).applyInPandas(lambda pdf: apply(make(), pdf), schema)
+
+        def machine() -> Callable[[dict], list[dict]]:
+            step = make()
+            return lambda row: each(step, row)
+
+        return over_table(rows, key, [F.asc_nulls_last(c) for c in order], machine, schema)
 
     def step(_key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         machine = make()
@@ -127,12 +143,18 @@ def _run(rows: DataFrame, key: str, make: Callable, apply: Callable, schema: str
 
 def circuit_breaker(calls: DataFrame, **limits) -> DataFrame:
     """calls(endpoint long, seq long, at double, ok boolean) with the state after each call."""
-    return _run(calls, "endpoint", lambda: Breaker(**limits), _called, _CALLS)
+    rows = calls.select("endpoint", "seq", "at", "ok")
+    return _run(rows, "endpoint", ["at", "seq"], lambda: Breaker(**limits), lambda step, r: [{**r, "state": step(_number(r["at"]), r["ok"])}], _called, _CALLS)
 
 
 def alerts(snapshots: DataFrame, warn: float, critical: float, cooldown: float = 60, op: str = "gte") -> DataFrame:
     """snapshots(metric string, at double, value double): alerts raised and resolved, in the order of time."""
-    return _run(snapshots, "metric", lambda: Alarm(warn, critical, cooldown, op), _raised, _ALERTS)
+
+    def each(step: Alarm, r: dict) -> list[dict]:
+        level = step(_number(r["at"]), _number(r["value"]))
+        return [] if level is None else [{"metric": r["metric"], "at": r["at"], "level": level, "value": r["value"]}]
+
+    return _run(snapshots.select("metric", "at", "value"), "metric", ["at"], lambda: Alarm(warn, critical, cooldown, op), each, _raised, _ALERTS)
 
 
 class Documents:
@@ -165,4 +187,5 @@ def _versioned(step: Documents, pdf: pd.DataFrame) -> pd.DataFrame:
 def document_changes(versions: DataFrame) -> DataFrame:
     """versions(uri string, version long, content string): uri, version, hash, change (new, changed, same)."""
     rows = versions.select(F.col("uri").cast("string"), F.col("version").cast("long"), F.substring(F.sha2("content", 256), 1, 16).alias("hash"))
-    return _run(rows, "uri", Documents, _versioned, "uri string, version long, hash string, change string")
+    each = lambda step, r: [{**r, "change": step(r["hash"])}]
+    return _run(rows, "uri", ["version"], Documents, each, _versioned, "uri string, version long, hash string, change string")

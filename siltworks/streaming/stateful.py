@@ -28,7 +28,7 @@ def need_rocksdb(spark: SparkSession) -> None:
         raise ValueError(f"{PROVIDER} must be {ROCKSDB}")
 
 
-def over_table(rows: DataFrame, key: str, order: list[str], make: Callable[[], Callable[[dict], list[dict]]], schema: str) -> DataFrame:
+def over_table(rows: DataFrame, key: str, order: list, make: Callable[[], Callable[[dict], list[dict]]], schema: str) -> DataFrame:
     """Runs a fresh machine over the rows of each key in their order. A machine may have ``end()``, which gives what is left."""
     ship(rows.sparkSession)
     names = rows.columns
