@@ -33,7 +33,7 @@ def operations(timed: DataFrame, *by: str) -> DataFrame:
 
 
 #: Ranges of values that a group's ranks are looked for in.
-RANGES = 256
+RANGES = 32
 
 
 def nearest_ranks(rows: DataFrame, value: str, by: Sequence[str], percents: Sequence[int]) -> DataFrame:
