@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.plans.scopes import DEPENDENCIES, EXPORTS, SCOPE_KINDS, SCOPE_STARTS
-from siltworks.session import ship
+from siltworks.session import dealt, ship
 
 #: A change reaches this many lines beyond itself; a scope may move by less than this and be the same.
 REACH, MOVE = 5, 5
@@ -90,12 +91,17 @@ def _shipped(df: DataFrame) -> DataFrame:
 def scopes(versions: DataFrame, compat: bool = False) -> DataFrame:
     """uri, version, seq, type, name, start_line, end_line, hash, dependencies, exports."""
 
-    @F.pandas_udf(f"array<{SCOPE}>")
-    def detect(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for content, language in batches:
-            yield pd.Series([[dict(zip(("type", "name", "start_line", "end_line", "hash"), s)) for s in find_scopes(c or "", g, compat)] for c, g in zip(content, language)])
+    names = ("type", "name", "start_line", "end_line", "hash")
+    kind = pa.list_(pa.struct([(n, pa.int32() if n.endswith("line") else pa.string()) for n in names]))
 
-    rows = _shipped(versions).withColumn("_lines", F.split(F.coalesce("content", F.lit("")), "\n", -1))
+    @F.arrow_udf(f"array<{SCOPE}>")
+    def detect(content: pa.Array, language: pa.Array) -> pa.Array:
+        # versions of a batch that are alike are looked at once
+        places: dict[tuple, int] = {}
+        at = [places.setdefault(x, len(places)) for x in zip(content.to_pylist(), language.to_pylist())]
+        return pa.array([[dict(zip(names, s)) for s in find_scopes(c or "", g, compat)] for c, g in places], kind).take(pa.array(at, pa.int64()))
+
+    rows = dealt(_shipped(versions)).withColumn("_lines", F.split(F.coalesce("content", F.lit("")), "\n", -1))
     rows = rows.select("uri", "version", "language", "_lines", F.posexplode(detect("content", "language")).alias("seq", "s"))
     rows = rows.select("uri", "version", "language", "seq", "s.*", F.array_join(F.slice("_lines", F.col("s.start_line") + 1, F.col("s.end_line") - F.col("s.start_line") + 1), "\n").alias("_text"))
     return rows.select("uri", "version", "seq", "type", "name", "start_line", "end_line", "hash", dependencies(F.col("_text"), F.col("language")).alias("dependencies"), exports(F.col("_text"), F.col("language")).alias("exports"))

@@ -441,3 +441,16 @@ def test_long_histories_stream_through_a_task(spark):
     want = [(s, step(float("nan") if a is None else a, o)) for _, s, a, o in sorted(calls, key=lambda r: (r[2] is None, r[2] or 0, r[1]))]
     assert sorted((r.seq, r.state) for r in got.collect()) == sorted(want)
     assert {r.at for r in got.filter("seq % 97 = 0").collect()} == {None}
+
+
+def test_scopes_of_alike_versions(spark):
+    """Equal versions of a batch are looked at once; each still has its own rows, and rows are dealt out by number."""
+    from siltworks.operators import incremental as I
+    from siltworks.session import dealt
+
+    texts = ["function a() {\n}", None, "def b():\n    pass", "function a() {\n}"] * 5
+    rows = [(str(i), 1, "python" if i % 2 == 0 and i % 4 else "javascript", t) for i, t in enumerate(texts)]
+    v = spark.createDataFrame(rows, "uri string, version int, language string, content string").coalesce(1)
+    got = sorted((r.uri, r.seq, r.type, r.name, r.start_line, r.end_line, r.hash) for r in I.scopes(v).collect())
+    assert got == sorted((u, k, *s) for u, _, g, t in rows for k, s in enumerate(I.find_scopes(t or "", g)))
+    assert dealt(v, 5).rdd.getNumPartitions() == 4 and dealt(v).rdd.getNumPartitions() == 1
