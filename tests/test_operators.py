@@ -443,6 +443,15 @@ def test_long_histories_stream_through_a_task(spark):
     assert {r.at for r in got.filter("seq % 97 = 0").collect()} == {None}
 
 
+def test_versions_are_joined_without_broadcasts(spark):
+    """All sides of these joins grow with the versions, whatever Spark estimates: none may be gathered on the driver."""
+    from siltworks import queries_views as V
+
+    for make in (V.affected_scopes, V.analysis_coverage, V.carried_findings):
+        plan = make(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_scopes_of_alike_versions(spark):
     """Equal versions of a batch are looked at once; each still has its own rows, and rows are dealt out by number."""
     from siltworks.operators import incremental as I
