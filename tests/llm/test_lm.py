@@ -152,3 +152,19 @@ def test_beats_base_on_held_out(spark):
 
 def test_empty(spark):
     assert lm.score(docs(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("learn", [True, False])
+def test_base_where_the_end_is_rare_or_not_learnt(spark, learn):
+    """A few long texts, all of whose words are more frequent than the end; and rows that are all held out."""
+    ids = [i for i in range(200) if (remainder(i, 5) == 1) != learn][:4]
+    data = [(i, " ".join(f"w{(j * k) % 40}" for j in range(1, 900)) + f" only{k} É", *[None] * 6) for k, i in enumerate(ids, 1)]
+    data += [(next(i for i in range(200) if remainder(i, 5) == 1 and i not in ids), "w1 unseen W2", *[None] * 6)]
+    c = Counter(t for r in data if remainder(r[0], 5) != 1 for t in brute_tokens(r[1]))
+    n, v = sum(c.values()), len(c)
+    tokens = {r[0]: brute_tokens(r[1]) for r in data}
+    got = {r.doc_id: r for r in lm.score(docs(spark, data), lexicon=8, warm_tokens=500).collect()}
+    for i, t in tokens.items():
+        assert tuple(got[i])[1:5] == (remainder(i, 5) == 1, len(t), sum(c[x] > 0 for x in t), n)
+        assert np.isclose(got[i].base_score, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t), rtol=1e-9, atol=1e-9)
+        assert np.isfinite(got[i].score) and got[i].score <= 0
