@@ -12,8 +12,11 @@ No suffix array of the whole corpus is built. Every ``SPAN``-byte window has an
 has no repeat around it, and goes. For the others, all that can hold a window with this anchor is its
 context, ``2 * SPAN - GRAM`` bytes. Equal windows lie alike around their anchors, so the arrays hold the
 suffixes that begin at anchors only, with what precedes them for the left extensions. Equal contexts are repeats as a whole and are counted, not compared;
-of grams with several different contexts, one of each kind goes to the suffix arrays, many grams to one
-array. A gram with over ``HOT`` different contexts is not gathered: its windows are hashed (128 bits), and
+of grams with several different contexts, one of each kind is looked at further. Where a window begins to the left of its anchor
+falls into one of ``CORES`` ranges, and all windows of a range hold the same bytes around the anchor, the range's core; equal
+windows have equal cores. So a context none of whose cores is in another goes, however frequent its gram is; the larger the corpus, the more
+grams are frequent by chance. The rest go to the suffix arrays, many grams to one
+array. A gram with over ``HOT`` different contexts left is not gathered: its windows are hashed (128 bits), those of shared cores, and
 counted by a distributed aggregation instead. Both ways are exact, and linear in the number of anchors.
 
 Edge cases: null text is empty; texts shorter than ``SPAN`` bytes lose nothing; matches do not cross
@@ -39,6 +42,7 @@ SPAN = 200
 GRAM = 32
 REACH = SPAN - GRAM
 HOT = 500
+CORES = 4
 BATCH_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 
@@ -219,19 +223,60 @@ def _in_arrays(contexts: DataFrame) -> DataFrame:
     return ordered.select("doc_id", "th", "at", "left", "bytes", "gram").mapInArrow(run, "doc_id long, th long, a int, b int")
 
 
+def core_ranges() -> list[tuple[int, int]]:
+    """The ranges, both ends included, of how far before its anchor a window begins."""
+    edges = [(REACH + 1) * i // CORES for i in range(CORES + 1)]
+    return [(a, b - 1) for a, b in zip(edges, edges[1:])]
+
+
+def _with_shared_cores(contexts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The contexts that share a core with another, with ``live`` (a bit for each range with a shared core) and ``k``, how many
+    their gram has left; and the tables behind them."""
+
+    def make():
+        digest, ranges = xxhash.xxh3_64_intdigest, core_ranges()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows, bits, raw = [], [], []
+            for i, (text, left) in enumerate(zip(as_bytes(batch, "bytes"), batch.column("left").to_pylist())):
+                right = len(text) - left
+                for bit, (least, most) in enumerate(ranges):
+                    if left >= least and right >= SPAN - most:
+                        rows.append(i)
+                        bits.append(1 << bit)
+                        raw.append(digest(text[left - least : left + SPAN - most], bit))
+            take = pa.array(rows, pa.int64())
+            at = batch.column("at").take(take)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), at, pa.array(bits, pa.int32()), pa.array(np.array(raw, np.uint64).astype(np.int64))], ["doc_id", "th", "at", "bit", "core"])
+
+        return step
+
+    # a context is named by its row and where its anchor is
+    named = contexts.select("doc_id", "th", (F.col("at") + F.col("left")).cast("int").alias("at"), "left", "bytes")
+    cores = written(arrow_map(named, make, "doc_id long, th long, at int, bit int, core long", rows=1024), "cores")
+    shared = cores.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    live = cores.join(shared, "core", "left_semi").groupBy("doc_id", "th", F.col("at").alias("anchor")).agg(F.bit_or("bit").alias("live"))
+    left = written(contexts.withColumn("anchor", (F.col("at") + F.col("left")).cast("int")).join(live, ["doc_id", "th", "anchor"]).drop("anchor"), "live")
+    discard(cores)
+    number = left.groupBy("gram").agg(F.count("*").alias("k"))
+    return left.join(number, "gram"), [left]
+
+
 def _by_windows(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same ranges for grams with very many contexts, by counting window hashes; and the table of windows behind them."""
 
     def make():
-        digest = xxhash.xxh3_128_digest
+        digest, ranges = xxhash.xxh3_128_digest, core_ranges()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, at, raw = [], [], []
-            for i, (text, first) in enumerate(zip(as_bytes(batch, "bytes"), batch.column("at").to_pylist())):
-                for j in range(len(text) - SPAN + 1):
-                    rows.append(i)
-                    at.append(first + j)
-                    raw.append(digest(text[j : j + SPAN]))
+            for i, (text, first, left, live) in enumerate(zip(as_bytes(batch, "bytes"), *(batch.column(c).to_pylist() for c in ("at", "left", "live")))):
+                for bit, (least, most) in enumerate(ranges):
+                    if live >> bit & 1:
+                        for j in range(max(left - most, 0), min(left - least, len(text) - SPAN) + 1):
+                            rows.append(i)
+                            at.append(first + j)
+                            raw.append(digest(text[j : j + SPAN]))
             w = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
             take = pa.array(rows, pa.int64())
             return pa.RecordBatch.from_arrays(
@@ -241,7 +286,7 @@ def _by_windows(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         return step
 
-    windows = written(arrow_map(contexts.select("doc_id", "th", "at", "bytes"), make, "doc_id long, th long, a int, w1 long, w2 long", rows=256), "windows")
+    windows = written(arrow_map(contexts.select("doc_id", "th", "at", "left", "live", "bytes"), make, "doc_id long, th long, a int, w1 long, w2 long", rows=256), "windows")
     # overlapping contexts of a document show a window twice; a place counts once
     place = F.struct("doc_id", "th", "a")
     twice = windows.groupBy("w1", "w2").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x != y").select("w1", "w2")
@@ -271,16 +316,19 @@ def _ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, lis
     same = found.join(kinds.filter("n > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"], "left_semi")
     same = same.select("doc_id", "th", (F.col("pos") - F.col("left")).cast("int").alias("a"), (F.col("pos") + F.col("right")).cast("int").alias("b"))
     several = kinds.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1")
-    places = kinds.join(several, "gram").select("gram", "k", "one.*")
+    places = kinds.join(several.select("gram"), "gram").select("gram", "one.*")
     # the contexts' bytes, cut inside the row; of repeated rows in one, or an array would hold a context as often as its row
-    places = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "k", "left", (F.col("pos") - F.col("left")).alias("at"), (F.col("left") + F.col("right")).alias("n"))).alias("p"))
+    places = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "left", (F.col("pos") - F.col("left")).alias("at"), (F.col("left") + F.col("right")).alias("n"))).alias("p"))
     cut = rows.dropDuplicates(["doc_id", "th"]).join(places, ["doc_id", "th"]).select("doc_id", "th", F.encode("text", "UTF-8").alias("raw"), F.explode("p").alias("q"))
     contexts = written(
-        cut.select("doc_id", "th", F.col("q.gram").alias("gram"), F.col("q.k").alias("k"), F.col("q.at").alias("at"), F.col("q.left").alias("left"), F.expr("substring(raw, q.at + 1, q.n)").alias("bytes")),
+        cut.select("doc_id", "th", F.col("q.gram").alias("gram"), F.col("q.at").alias("at"), F.col("q.left").alias("left"), F.expr("substring(raw, q.at + 1, q.n)").alias("bytes")),
         "contexts",
     )
+    every = contexts
+    contexts, behind = _with_shared_cores(every)
+    discard(every)
     hot, windows = _by_windows(contexts.filter(F.col("k") > HOT))
-    return same.union(_in_arrays(contexts.filter(F.col("k") <= HOT))).union(hot), [found, kinds, contexts, windows]
+    return same.union(_in_arrays(contexts.filter(F.col("k") <= HOT))).union(hot), [found, kinds, *behind, windows]
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:

@@ -102,3 +102,26 @@ def test_repeated_rows_are_one_context(spark, monkeypatch):
 
 def test_empty(spark):
     assert suffix.deduplicate(docs(spark, [])).collect() == []
+
+
+def test_frequent_grams_alone_make_no_windows(spark, monkeypatch):
+    """A phrase in many texts that have nothing else in common costs no windows; a longer repeat around it is still found."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    phrase = noise(150)
+    passage = noise(60) + phrase + noise(60)
+    texts = [noise(300) + phrase + noise(300) for _ in range(40)] + [noise(50) + passage + noise(70), passage + noise(10)]
+    seen = {}
+    old = suffix.written
+
+    def written(df, label):
+        seen[label] = out = old(df, label)
+        seen[label + " rows"] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix, "written", written)
+    monkeypatch.setattr(suffix, "HOT", 2)
+    got = {r.doc_id: r.n_removed for r in suffix.deduplicate(docs(spark, [(i, t, *[None] * 6) for i, t in enumerate(texts)])).collect()}
+    want = [0] * 40 + [len(passage)] * 2
+    assert [got[i] for i in range(42)] == want
+    assert seen["contexts rows"] > 40 and seen["windows rows"] <= 2 * (len(passage) - suffix.SPAN + 1) * 3
