@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltworks.functions import normalize, scoring, text
 from siltworks.operators import settings as S
 from siltworks.registry import lit, query, table
+from siltworks.session import dealt
 
 _HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)"
 
@@ -173,7 +174,7 @@ _RULES = "(VALUES " + ", ".join(f"({i}, {lit(s.key)}, {lit(s.type)}, {str(s.requ
 
 def settings(spark, sf):
     keys = S.schema_table(spark).select("ord", "key", "fallback", "want")
-    rows = table(spark, sf, "customer").select("c_custkey").join(F.broadcast(keys))  # the schema has a fixed number of rows
+    rows = dealt(table(spark, sf, "customer").select("c_custkey"), 20_000).join(F.broadcast(keys))  # the schema has a fixed number of rows
     pick = F.expr(_PICK)
     value = F.when(pick == 1, "").when(pick == 2, "-1").when(pick == 3, "99999999999").when(pick == 4, "true").when(pick == 5, "https://host/x").otherwise(F.col("fallback"))
     kind = F.when(pick.isin(1, 5), "string").when(pick.isin(2, 3), "number").when(pick == 4, "boolean").otherwise(F.col("want"))
@@ -207,7 +208,10 @@ def settings_migration(spark, sf):
 @query(f"SELECT profile, count(*) AS n, min(key) AS first_key FROM ({_SETTINGS}) WHERE key <> 'apiKey' GROUP BY 1")
 def settings_import(spark, sf):
     rows = settings(spark, sf).unionByName(settings(spark, sf).withColumn("key", F.lit("aaa")))
-    return S.importable(rows).groupBy("profile").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
+    # the least known key by its place in a fixed list: numbers are aggregated by hashing, texts by sorting all rows of a task
+    keys = F.array(*map(F.lit, sorted(s.key for s in S.SCHEMA)))
+    found = S.importable(rows).groupBy("profile").agg(F.count("*").alias("n"), F.min(F.array_position(keys, F.col("key"))).alias("place"))
+    return found.select("profile", "n", F.element_at(keys, F.col("place").cast("int")).alias("first_key"))
 
 
 @query(f"SELECT profile, key, CASE WHEN key = 'apiKey' AND value <> '' THEN '[REDACTED]' ELSE value END AS value FROM ({_SETTINGS})")

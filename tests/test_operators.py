@@ -475,3 +475,11 @@ def test_groups_of_reports_are_joined_alike_whatever_their_size(spark, monkeypat
         monkeypatch.setattr(reports, "LARGE", large)
         documents.append([sorted(map(tuple, reports.document(f, form).collect()), key=key) for form in ("html", "junit")])
     assert documents[0] == documents[1] == documents[2] and sum(r[3] == 1 and r[0] == 1 for r in documents[0][1]) == 60
+
+
+def test_settings_are_counted_without_sorting(spark):
+    """The least key of a profile comes by hashing; all rows of a task would be sorted for it otherwise."""
+    from siltworks import queries_functions as Q
+
+    plan = Q.settings_import(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
