@@ -16,8 +16,9 @@ Distinct fingerprints are compared, not documents; equal texts cost one row. Com
 alternating large-star and small-star rounds over written tables, none of it on the driver.
 
 ``similar`` is the wide relation: texts whose sets of shingles have a Jaccard similarity of ``similarity`` or
-more. At 0.8 fingerprints differ by up to 11 bits, which no affordable radius of the covering reaches, so
-candidates come from prefixes instead: with all sets in one common order, two sets as similar as that share
+more. Sets are linked by the fingerprints of their shingles first, through the same covering, and each link is
+compared by whole sets. At 0.8 fingerprints differ by up to 11 bits, which no affordable radius of the covering reaches, so
+what this leaves apart is completed exactly by prefixes: with all sets in one common order, two sets as similar as that share
 a shingle among the first n - ceil(similarity n) + 1 of each. That misses no pair; each candidate's whole sets
 are then compared. The order is by hash, with the shingles that are common in a sample last; it decides how many
 candidates there are, never which pairs are found.
@@ -89,6 +90,24 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, stops)]), ">i8").astype(np.int64))
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The same majority over a set of hashes, signed."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """a, b: candidate pairs of sets (node, fp), each with the one that stands for its fingerprint, and those of linked fingerprints."""
+    of = written(sets.select("node", "fp").distinct(), "set_fingerprints")
+    one = written(of.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
+    same = of.join(one, "fp").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    x, y = (one.select(F.col("fp").alias(end), F.col("rep").alias(c)) for end, c in (("a", "x"), ("b", "y")))
+    near = links(one.select("fp")).join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return same.union(near).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (signed 64-bit) of each document."""
 
@@ -268,12 +287,13 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
         done: set[int] = set()  # of a task: equal sets are spread once; beyond the bound some again, which costs rows only
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, sizes, heads, sketches = [], [], [], []
+            nodes, sizes, fps, heads, sketches = [], [], [], [], []
             for t in as_bytes(batch):
                 hashes = shingle_set(t, shingle)
                 node, n = _node(hashes), len(hashes)
                 nodes.append(node)
                 sizes.append(n)
+                fps.append(set_fingerprint(hashes))
                 if node in done:
                     heads.append(None)
                     sketches.append(None)
@@ -295,10 +315,11 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
                     batch.column("th"),
                     pa.array(nodes, pa.int64()),
                     pa.array(sizes, pa.int32()),
+                    pa.array(fps, pa.int64()),
                     pa.array(heads, pa.binary()),
                     pa.array(sketches, pa.binary()),
                 ],
-                ["doc_id", "th", "node", "size", "shingles", "sketch"],
+                ["doc_id", "th", "node", "size", "fp", "shingles", "sketch"],
             )
 
         return step
@@ -313,7 +334,7 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
 
         return step
 
-    rows = written(arrow_map(texts, prefixes, "doc_id long, th long, node long, size int, shingles binary, sketch binary", rows=512), "heads")
+    rows = written(arrow_map(texts, prefixes, "doc_id long, th long, node long, size int, fp long, shingles binary, sketch binary", rows=512), "heads")
     heads = rows.filter(F.col("shingles").isNotNull())
     spread = arrow_map(heads.select("node", "size", "shingles"), spreading, "shingle long, node long, at int, size int", rows=512)
     # one exchange by shingle serves the removal of equal sets and the count
@@ -382,7 +403,8 @@ def similar(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc
         hub = F.min(order).over(Window.partitionBy("shingle"))
         stars = linked.withColumn("h", hub).select(*(F.col(f"h.{c}").alias(f"{c}_a") for c in ("node", "at", "size", "root")), *(F.col(c).alias(f"{c}_b") for c in ("node", "at", "size", "root")))
         stars = stars.filter((F.col("root_a") != F.col("root_b")) & fits)
-        found = verified(stars.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+        found = stars.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        found = verified((found.union(fingerprint_pairs(heads)) if turn == 0 else found).distinct())
         links = found if links is None else written(links.union(found), "stars")
         linked = written(spread.join(components(links), "node", "left").select("shingle", "node", "at", "size", F.coalesce("root", "node").alias("root")), "linked")
     a, b = (linked.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "at", "size", "root"))) for x in "ab")

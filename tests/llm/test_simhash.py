@@ -156,3 +156,21 @@ def test_one_row_of_each_group(spark):
     rows = got.collect()
     assert sorted((r.doc_id is None, r.doc_id) for r in rows if r.doc_id is not None) == [(False, 1), (False, 2), (False, 4)]
     assert [r.text for r in rows if r.doc_id is None] == ["alone in its group here now"]
+
+
+def test_similar_links_by_fingerprints(spark):
+    """SimHash itself gives candidates: sets of one fingerprint, and those of fingerprints within two bits; no others."""
+    from siltworks.llm.simhash import shingle_set
+
+    texts = planted()
+    sets = [shingle_set((t or "").encode(), 5) for t in texts]
+    fps = [simhash.set_fingerprint(x) for x in sets]
+    for x, fp in zip(sets[:5], fps):
+        bits = [2 * sum(int(h) >> b & 1 for h in x) > len(x) for b in range(64)]
+        assert fp & (1 << 64) - 1 == sum(1 << b for b in range(64) if bits[b])
+    df = spark.createDataFrame([(i, fp) for i, fp in enumerate(fps)], "node long, fp long")
+    got = {(r.a, r.b) for r in simhash.fingerprint_pairs(df).collect()}
+    bits = lambda a, b: ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count()
+    assert got and all(bits(a, b) <= 2 for a, b in got)
+    first = {fp: fps.index(fp) for fp in fps}
+    assert {(min(a, b), max(a, b)) for a in first.values() for b in first.values() if a < b and bits(a, b) <= 2} <= got
